@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("metrics",)
+_MODULES = ("metrics", "interval")
 
 
 def load_queries():

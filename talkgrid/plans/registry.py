@@ -13,8 +13,8 @@ ORACLES: dict[str, str] = {}
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles at the precision results are compared at."""
-    return df.select(*[F.round(f.name, digits).alias(f.name) if f.dataType.typeName() in ("double", "float") else F.col(f.name)
+    """Doubles at the precision results are compared at; 12 digits first, so that noise never decides a tie."""
+    return df.select(*[F.round(F.round(f.name, 12), digits).alias(f.name) if f.dataType.typeName() in ("double", "float") else F.col(f.name)
                        for f in df.schema.fields])
 
 
@@ -31,7 +31,7 @@ def query(name: str, sql: str | None = None, r: str = ""):
         if sql:
             body = with_views(sql)
             if r:
-                body = f"select * replace ({', '.join(f'round({c}, 6) + 0.0 as {c}' for c in r.split())}) from ({body})"
+                body = f"select * replace ({', '.join(f'round({c}::decimal(38,12), 6)::double as {c}' for c in r.split())}) from ({body})"
             ORACLES[name] = body
         return fn
 

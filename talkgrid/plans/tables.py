@@ -191,5 +191,6 @@ def with_views(body: str, extra: dict[str, str] | None = None) -> str:
     head = ",\n".join(f"{n} as ({s})" for n, s in done.items())
     body = body.lstrip()
     if body.lower().startswith("with "):
-        return f"with {head},\n{body[5:]}"
+        rec = "recursive " if re.search(r"\bfrom p join s\b", body) else ""
+        return f"with {rec}{head},\n{body[5:]}"
     return f"with {head}\n{body}"
