@@ -25,7 +25,7 @@ def value_block(value: Column, bits: int = 10) -> Column:
     return F.when(a == 0, F.lit(0).cast("bigint")).when(value > 0, b).otherwise(-b)
 
 
-_FOLD = {"sum": F.sum, "max": F.max, "min": F.min, "total": F.sum, "total_max": F.max,
+_FOLD = {"sum": F.sum, "sum<": F.sum, "max": F.max, "min": F.min, "total": F.sum, "total_max": F.max,
          "last": lambda c: F.last(c, ignorenulls=True)}
 
 
@@ -35,7 +35,8 @@ def scan(df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[str]
 
     ``block`` must grow with ``order``. ``specs`` maps an output name to ``(op, column)``:
     ``sum``, ``max``, ``min``, ``last`` (last non-null) run up to the row (or to the one
-    before it when not ``inclusive``); ``total`` and ``total_max`` cover the whole key.
+    before it when not ``inclusive``), ``sum<`` always up to the one before it;
+    ``total`` and ``total_max`` cover the whole key.
     """
     keys = list(keys)
     bk = keys + [BLK]
@@ -53,17 +54,17 @@ def scan(df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[str]
     carry = totals.select(*bk, *[
         _FOLD[op](F.col(f"__t_{o}")).over(whole if op.startswith("total") else before).alias(f"__c_{o}")
         for o, (op, _) in specs.items()])
-    local = (W.partitionBy(*bk).orderBy(*order)
-             .rowsBetween(W.unboundedPreceding, 0 if inclusive else -1))
+    w = W.partitionBy(*bk).orderBy(*order)
+    local = lambda op: w.rowsBetween(W.unboundedPreceding, 0 if inclusive and op != "sum<" else -1)
     running = {o: s for o, s in specs.items() if not s[0].startswith("total")}
-    out = d.withColumns({f"__l_{o}": _FOLD[op](F.col(c)).over(local) for o, (op, c) in running.items()})
+    out = d.withColumns({f"__l_{o}": _FOLD[op](F.col(c)).over(local(op)) for o, (op, c) in running.items()})
     out = out.join(carry, bk)
     cols = {}
     for o, (op, _) in specs.items():
         l, c = F.col(f"__l_{o}"), F.col(f"__c_{o}")
         if op.startswith("total"):
             cols[o] = c
-        elif op == "sum":
+        elif op.startswith("sum"):
             cols[o] = F.coalesce(l, F.lit(0)) + F.coalesce(c, F.lit(0))
         elif op == "max":
             cols[o] = F.greatest(l, c)

@@ -52,7 +52,7 @@ def known_mean(c: Column) -> Column:
 
 def mask_identifier(c: Column, keep: int = 4) -> Column:
     digits = F.regexp_replace(c, r"\D", "")
-    return F.concat(F.lit("***"), F.right(digits, F.lit(keep)))
+    return F.when(F.length(digits) >= keep, F.concat(F.lit("…"), F.right(digits, F.lit(keep)))).otherwise(F.lit("…"))
 
 
 def level_gain(rms: Column, target_db: float = -26.0) -> Column:
@@ -63,11 +63,20 @@ def apply_gain(samples: Column, gain: Column) -> Column:
     return F.transform(samples, lambda x: x * gain)
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and hand it to ``body``; inside a lambda it would be evaluated per element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def zscore_array(samples: Column, floor: float = 1e-7) -> Column:
     n = F.size(samples).cast("double")
     mean = F.aggregate(samples, F.lit(0.0), lambda a, x: a + x) / n
-    var = F.aggregate(samples, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n
-    return F.transform(samples, lambda x: (x - mean) / F.sqrt(var + floor))
+
+    def scaled(m):
+        var = F.aggregate(samples, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / n
+        return let(F.sqrt(var + floor), lambda sd: F.transform(samples, lambda x: (x - m) / sd))
+
+    return let(mean, scaled)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -76,7 +85,7 @@ def dot(a: Column, b: Column) -> Column:
 
 def l2_normalized(v: Column) -> Column:
     n = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
-    return F.transform(v, lambda x: x.cast("double") / F.greatest(n, F.lit(1e-12)))
+    return let(F.greatest(n, F.lit(1e-12)), lambda m: F.transform(v, lambda x: x.cast("double") / m))
 
 
 def hash_uniform(*cols: Column) -> Column:

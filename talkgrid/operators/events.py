@@ -247,7 +247,7 @@ def conversation_features(norm: DataFrame, calls: DataFrame, keys: Sequence[str]
     inside = caller & (F.col("prev_agent.end_ms") > F.col("start_ms"))
     # a simultaneous agent onset sorts behind the caller's: look it up on the next agent turn too
     metrics = {"caller_turn": F.when(caller, d), "agent_turn": F.when(~caller, d),
-               "pause": F.when(caller, F.greatest(F.lit(0.0), (F.col("next_own") - F.col("end_ms")) / 1000)),
+               "pause": F.when(caller & F.col("next_own").isNotNull(), F.greatest(F.lit(0.0), (F.col("next_own") - F.col("end_ms")) / 1000)),
                "interruption": F.when(inside | (caller & F.col("same_start")), 1.0)}
     tie = F.lead("channel").over(W.partitionBy(*keys).orderBy("start_ms", "channel"))
     tie_at = F.lead("start_ms").over(W.partitionBy(*keys).orderBy("start_ms", "channel"))

@@ -112,19 +112,30 @@ def rasterize(regions: DataFrame, keys: Sequence[str] = CALL, hop: int = 10) ->
     return regions.select(*keys, F.explode(F.sequence(lo, hi)).alias("bin")).distinct()
 
 
+def bin_spans(regions: DataFrame, keys: Sequence[str] = CALL, hop: int = 10) -> DataFrame:
+    """The true bins of :func:`rasterize` as disjoint bin ranges: counts and overlaps need no row per bin."""
+    b = regions.select(*keys, F.floor(F.col("start_ms") / hop).alias("start_ms"), F.ceil(F.col("end_ms") / hop).alias("end_ms"))
+    return merge_intervals(b, keys, tile=TILE // hop)
+
+
+def _shared_bins(a, b, keys, hop):
+    return intersection_duration(bin_spans(a, keys, hop), bin_spans(b, keys, hop), keys)
+
+
 def overlap_seconds(caller: DataFrame, agent: DataFrame, keys: Sequence[str] = CALL, hop: int = 10) -> DataFrame:
-    both = rasterize(caller, keys, hop).join(rasterize(agent, keys, hop), [*keys, "bin"])
-    return both.groupBy(*keys).agg((F.count(F.lit(1)) * hop / 1000).alias("overlap_s"))
+    s = _shared_bins(caller, agent, keys, hop)
+    return s.select(*keys, (F.col("shared_ms") * hop / 1000).alias("overlap_s"))
 
 
 def frame_agreement(ref: DataFrame, hyp: DataFrame, keys: Sequence[str] = CALL, hop: int = 10) -> DataFrame:
     """Precision, recall and F1 of one segmentation against another on the bin grid."""
-    r = rasterize(ref, keys, hop).withColumn("in_ref", F.lit(1))
-    h = rasterize(hyp, keys, hop).withColumn("in_hyp", F.lit(1))
-    j = r.join(h, [*keys, "bin"], "full")
-    tp = F.count_if(F.col("in_ref").isNotNull() & F.col("in_hyp").isNotNull())
-    p, q = safe_div(tp, F.count("in_hyp"), 0.0), safe_div(tp, F.count("in_ref"), 0.0)
-    g = j.groupBy(*keys).agg(p.alias("precision"), q.alias("recall"))
+    keys = list(keys)
+    r, h = bin_spans(ref, keys, hop), bin_spans(hyp, keys, hop)
+    n = lambda d, c: d.groupBy(*keys).agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias(c))
+    j = (n(r, "in_ref").join(n(h, "in_hyp"), keys, "full").join(intersection_duration(r, h, keys), keys, "left")
+         .fillna(0, subset=["in_ref", "in_hyp", "shared_ms"]))
+    tp = F.col("shared_ms")
+    g = j.select(*keys, safe_div(tp, F.col("in_hyp"), 0.0).alias("precision"), safe_div(tp, F.col("in_ref"), 0.0).alias("recall"))
     return g.withColumn("f1", safe_div(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"), 0.0))
 
 

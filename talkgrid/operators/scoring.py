@@ -250,4 +250,4 @@ def shift_summary(pairs: DataFrame, by: Sequence[str] = (), least_shift: float =
         F.count(F.lit(1)).alias("n"), F.avg(F.col("ok_original").cast("double")).alias("accuracy_original"),
         F.avg(F.col("ok_changed").cast("double")).alias("accuracy_changed"),
         shift.alias("mean_abs_delta_p"), flips.alias("flips"), dead.alias("segmentation_failures"),
-        ~((shift < least_shift) & (flips == 0) & (dead == 0)).alias("go"))
+        (~((shift < least_shift) & (flips == 0) & (dead == 0))).alias("go"))

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("metrics", "interval")
+_MODULES = ("metrics", "interval", "event", "scoring")
 
 
 def load_queries():
