@@ -102,7 +102,8 @@ def combine(layers: DataFrame, configs: DataFrame, extra: Sequence[str] = ()) ->
     g = g.withColumn("primary_p", mixed(F.col("px"), F.col("pw")))
     pc = F.when(F.col("pw") > 0, F.greatest(F.col("primary_p"), 1 - F.col("primary_p"))).otherwise(0.0)
     g = g.withColumn("primary_confidence", pc)
-    g = g.withColumn("settled", (F.col("pw") > 0) & (pc >= F.col("verify_threshold")))
+    # 12 digits: the order in which partial sums meet must not decide a tie with a threshold
+    g = g.withColumn("settled", (F.col("pw") > 0) & (F.round(pc, 12) >= F.col("verify_threshold")))
     gate = (F.col("verifiers") > 0) & F.col("use_verifiers")
     g = g.withColumns({"gate_on": gate, "consult": (F.col("verifiers") > 0) & (~gate | ~F.col("settled"))})
     total = F.col("pw") + F.when(F.col("consult"), F.col("vw")).otherwise(0.0)
@@ -115,7 +116,7 @@ def combine(layers: DataFrame, configs: DataFrame, extra: Sequence[str] = ()) ->
             .when(~F.col("gate_on"), "").when(F.col("settled"), "settled by the primaries").otherwise("verifier consulted"))
     return g.select(
         "call_id", "config_id", *extra, F.bround("p", 6).alias("p"),
-        F.when(decisive, F.col("p") >= F.col("threshold")).otherwise(False).alias("is_synthetic"),
+        F.when(decisive, F.round("p", 12) >= F.col("threshold")).otherwise(False).alias("is_synthetic"),
         F.bround(F.when(decisive, conf).otherwise(0.5), 4).alias("confidence"), "decisive", "n_layers_used",
         F.bround("primary_p", 6).alias("primary_p"), F.bround("primary_confidence", 4).alias("primary_confidence"),
         "settled", (F.col("consult") & decisive).alias("verifiers_consulted"), note.alias("note"))

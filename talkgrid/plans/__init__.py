@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("metrics", "interval", "event", "scoring")
+_MODULES = ("metrics", "interval", "event", "scoring", "fusion")
 
 
 def load_queries():
