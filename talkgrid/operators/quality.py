@@ -25,10 +25,9 @@ def semantic_quality(path: Column) -> Column:
 
 def semantic_path(n_words: Column, has_agent: Column, has_rubric: Column) -> Column:
     """Transcript and rubric, transcript alone, or nothing usable; with the reason."""
-    return (F.when(n_words.isNull(), F.struct(F.lit("abstain").alias("path"), F.lit("asr_error").alias("reason")))
-            .when(n_words < MIN_WORDS, F.struct(F.lit("abstain"), F.lit("no_speech")))
-            .when(~has_agent | ~has_rubric, F.struct(F.lit("f4"), F.lit("degraded")))
-            .otherwise(F.struct(F.lit("f4+f5"), F.lit(""))))
+    way = lambda p, r: F.struct(F.lit(p).alias("path"), F.lit(r).alias("reason"))
+    return (F.when(n_words.isNull(), way("abstain", "asr_error")).when(n_words < MIN_WORDS, way("abstain", "no_speech"))
+            .when(~has_agent | ~has_rubric, way("f4", "degraded")).otherwise(way("f4+f5", "")))
 
 
 def input_guard(features: Sequence[str], min_s: float, max_s: float, min_speech_s: float,

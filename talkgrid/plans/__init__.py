@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("metrics", "interval", "event", "scoring", "fusion")
+_MODULES = ("metrics", "interval", "event", "scoring", "fusion", "corpus")
 
 
 def load_queries():

@@ -332,7 +332,7 @@ def _(t):
 N = f"timestamp '{NOW}'"
 
 
-@query("set_01_recent", f"select id, \"at\", verdict, latency_ms from d_log where \"at\" >= {N} - interval 48 hour and ok order by \"at\" desc, id limit 100")
+@query("set_01_recent", f"select id, \"at\", verdict, latency_ms from d_log where \"at\" >= {N} - interval 48 hour and ok order by \"at\" desc, id limit 100", r="latency_ms")
 def _(t):
     return L.recent(t.call_log(), NOW, 48, 100).select("id", "at", "verdict", "latency_ms")
 
