@@ -11,7 +11,8 @@ import math
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.ordered import cumulative, interpolated, quantiles, scan, value_block
 from ..functions.scalar import bool_int, clamp, safe_div, sigmoid
@@ -224,7 +225,7 @@ def single_feature_auc(long: DataFrame, by=("feature",), y="y", min_n: int = 4)
     return c.groupBy(*by).agg(n.alias("n"), F.when(n >= min_n, auc_column()).alias("auc"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _two_sided_p(z: pd.Series) -> pd.Series:
     return z.map(lambda v: math.erfc(v / math.sqrt(2)), na_action="ignore")
 

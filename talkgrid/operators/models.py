@@ -16,12 +16,11 @@ from pyspark.ml.classification import (GBTClassifier, LogisticRegression, Multil
                                        RandomForestClassifier)
 from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.ordered import cumulative, hash_rank, interpolated
-from ..functions.scalar import bool_int, calibrate, clamp, hash_uniform, sigmoid
+from ..functions.scalar import calibrate, clamp, let, sigmoid
 from .metrics import evaluate
 
 CLIP = 6.0
@@ -58,18 +57,24 @@ class LinearModel:
     clip: float | None = CLIP
     notes: dict = field(default_factory=dict)
 
-    def terms(self) -> list[Column]:
-        """Standardised inputs: the imputed values, then a flag per column that was missing in training."""
-        cols = [F.col(n).cast("double") for n in self.names]
-        known = [F.when(c.isNull() | F.isnan(c), F.lit(None)).otherwise(c) for c in cols]
-        raw = [F.coalesce(c, F.lit(m)) for c, m in zip(known, self.impute)] + [known[i].isNull().cast("double") for i in self.flagged]
-        z = [(x - m) / s for x, m, s in zip(raw, self.mean, self.scale)]
-        return [clamp(x, -self.clip, self.clip) for x in z] if self.clip else z
+    def terms(self) -> Column:
+        """Standardised inputs as one array: the imputed values, then a flag per column that was missing in training."""
+        known = [F.nanvl(F.col(n).cast("double"), F.lit(None)) for n in self.names]
+        numbers = lambda v: F.lit([float(x) for x in v])
+
+        def standard(x):
+            filled = F.zip_with(x, numbers(self.impute), lambda v, m: F.coalesce(v, m))
+            raw = filled
+            if self.flagged:
+                raw = F.concat(filled, F.transform(F.lit([int(i) for i in self.flagged]), lambda i: F.get(x, i).isNull().cast("double")))
+            z = F.zip_with(F.zip_with(raw, numbers(self.mean), lambda v, m: v - m), numbers(self.scale), lambda v, sd: v / sd)
+            return F.transform(z, lambda v: clamp(v, -self.clip, self.clip)) if self.clip else z
+
+        return let(F.array(*known), standard)
 
     def logit(self, calibrated: bool = True) -> Column:
-        total = F.lit(float(self.intercept))
-        for c, x in zip(self.coef, self.terms()):
-            total = total + x * c
+        products = F.zip_with(self.terms(), F.lit([float(c) for c in self.coef]), lambda v, c: v * c)
+        total = F.aggregate(products, F.lit(float(self.intercept)), lambda a, x: a + x)
         return total * self.slope + self.offset if calibrated else total
 
     def probability(self) -> Column:
@@ -96,9 +101,10 @@ def prepare(train: DataFrame, names: Sequence[str], min_observed: int = 0, clip:
     impute = [float(stats[c]["median"] or 0.0) for c in keep]
     flagged = [i for i, c in enumerate(keep) if stats[c]["known"] < n]
     shell = LinearModel(list(keep), impute, flagged, [0.0] * (len(keep) + len(flagged)), [1.0] * (len(keep) + len(flagged)), [], 0.0, clip=None)
-    m = train.agg(*[f(x).alias(f"{k}{i}") for i, x in enumerate(shell.terms()) for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    long = train.select(F.posexplode(shell.terms()).alias("i", "x"))
+    m = {r["i"]: r for r in long.groupBy("i").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).collect()}
     size = len(shell.mean)
-    return replace(shell, mean=[float(m[f"m{i}"]) for i in range(size)], scale=[float(m[f"s{i}"]) or 1.0 for i in range(size)], clip=clip)
+    return replace(shell, mean=[float(m[i]["m"]) for i in range(size)], scale=[float(m[i]["s"]) or 1.0 for i in range(size)], clip=clip)
 
 
 def class_balance(df: DataFrame, y: str = "y") -> Column:
@@ -116,9 +122,9 @@ def fit_logistic(train: DataFrame, names: Sequence[str], y: str = "y", c: float
     """Standardised logistic regression with inverse regularisation ``c``."""
     shell = prepare(train, names, min_observed, clip)
     w = weight if weight is not None else (class_balance(train, y) if balanced else F.lit(1.0))
-    data = train.select(F.col(y).cast("double").alias("label"), w.alias("w"), array_to_vector(F.array(*shell.terms())).alias("features"))
+    data = train.select(F.col(y).cast("double").alias("label"), w.alias("w"), array_to_vector(shell.terms()).alias("features"))
     total = data.agg(F.sum("w")).first()[0]
-    m = LogisticRegression(weightCol="w", regParam=1.0 / (c * total), elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-8).fit(data)
+    m = LogisticRegression(weightCol="w", regParam=1.0 / (c * total), elasticNetParam=0.0, standardization=False, maxIter=100).fit(data)
     return replace(shell, coef=[float(x) for x in m.coefficients], intercept=float(m.intercept))
 
 
@@ -283,7 +289,7 @@ def prior_score(train: DataFrame, y: str = "y") -> Column:
 def _tree_input(train, names):
     shell = prepare(train, names, clip=None)
     plain = replace(shell, mean=[0.0] * len(shell.mean), scale=[1.0] * len(shell.scale))
-    return array_to_vector(F.array(*plain.terms()))
+    return array_to_vector(plain.terms())
 
 
 def _odds(p: Column) -> Column:
@@ -335,7 +341,7 @@ def vector_logistic(train: DataFrame, emb: str = "emb", c: float = 1.0, weight:
     total = d.agg(F.sum("__w")).first()[0]
     m = Pipeline(stages=[StandardScaler(inputCol="__v", outputCol="__z", withMean=True, withStd=True),
                          LogisticRegression(featuresCol="__z", labelCol="y", weightCol="__w", regParam=1.0 / (c * total), standardization=False,
-                                            maxIter=200)]).fit(d)
+                                            maxIter=100)]).fit(d)
 
     def apply(df):
         return m.transform(to(df)).withColumn("score", vector_to_array("rawPrediction")[1]).select(*df.columns, "score")

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("metrics", "interval", "event", "scoring", "fusion", "corpus", "model")
+_MODULES = ("metrics", "interval", "event", "scoring", "fusion", "corpus", "model", "streaming")
 
 
 def load_queries():
