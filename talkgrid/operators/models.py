@@ -81,6 +81,14 @@ class LinearModel:
         return sigmoid(self.logit())
 
 
+ROWS_PER_TASK = 20_000
+
+
+def sized(df: DataFrame, n: int) -> DataFrame:
+    """No more tasks per optimiser step than ``n`` rows are worth; a large table keeps all of its own."""
+    return df.coalesce(n // ROWS_PER_TASK + 1)
+
+
 def training_stats(train: DataFrame, names: Sequence[str]) -> dict[str, dict]:
     """Known count, distinct count and median of every column; one driver row per feature."""
     long = train.select(*[F.col(n).cast("double").alias(n) for n in names]).unpivot([], list(names), "feature", "value")
@@ -123,7 +131,8 @@ def fit_logistic(train: DataFrame, names: Sequence[str], y: str = "y", c: float
     shell = prepare(train, names, min_observed, clip)
     w = weight if weight is not None else (class_balance(train, y) if balanced else F.lit(1.0))
     data = train.select(F.col(y).cast("double").alias("label"), w.alias("w"), array_to_vector(shell.terms()).alias("features"))
-    total = data.agg(F.sum("w")).first()[0]
+    total, n = data.agg(F.sum("w"), F.count(F.lit(1))).first()
+    data = sized(data, n)
     m = LogisticRegression(weightCol="w", regParam=1.0 / (c * total), elasticNetParam=0.0, standardization=False, maxIter=100).fit(data)
     return replace(shell, coef=[float(x) for x in m.coefficients], intercept=float(m.intercept))
 
@@ -181,8 +190,8 @@ def cv_summary(cv: DataFrame) -> DataFrame:
 def fit_platt(df: DataFrame, score: str = "score", y: str = "y", c: float | None = None) -> dict:
     """Slope and offset of ``sigmoid(a s + b)``; plain likelihood unless ``c`` regularises."""
     d = df.select(F.col(y).cast("double").alias("label"), array_to_vector(F.array(F.col(score).cast("double"))).alias("features"))
-    reg = 0.0 if c is None else 1.0 / (c * d.count())
-    m = LogisticRegression(regParam=reg, standardization=False, maxIter=500, tol=1e-10).fit(d)
+    n = d.count()
+    m = LogisticRegression(regParam=0.0 if c is None else 1.0 / (c * n), standardization=False, maxIter=500, tol=1e-10).fit(sized(d, n))
     return {"method": "platt", "a": float(m.coefficients[0]), "b": float(m.intercept)}
 
 
@@ -338,10 +347,10 @@ def vector_logistic(train: DataFrame, emb: str = "emb", c: float = 1.0, weight:
     to = lambda d: d.withColumn("__v", array_to_vector(F.transform(emb, lambda x: x.cast("double"))))
     w = weight if weight is not None else class_balance(train)
     d = to(train).withColumn("__w", w)
-    total = d.agg(F.sum("__w")).first()[0]
+    total, n = d.agg(F.sum("__w"), F.count(F.lit(1))).first()
     m = Pipeline(stages=[StandardScaler(inputCol="__v", outputCol="__z", withMean=True, withStd=True),
                          LogisticRegression(featuresCol="__z", labelCol="y", weightCol="__w", regParam=1.0 / (c * total), standardization=False,
-                                            maxIter=100)]).fit(d)
+                                            maxIter=100)]).fit(sized(d, n))
 
     def apply(df):
         return m.transform(to(df)).withColumn("score", vector_to_array("rawPrediction")[1]).select(*df.columns, "score")

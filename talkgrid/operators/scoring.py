@@ -9,12 +9,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.ordered import cumulative, first_k, interpolated, quantiles
 from ..functions.scalar import l2_normalized, logit, safe_div, sigmoid
 
+# every aggregation reads the table of a call's distinct scores: ``n`` chunks and ``w`` seconds at each
 PLAIN = {
-    "mean": lambda s, w: F.avg(s),
-    "max": lambda s, w: F.max(s),
-    "min": lambda s, w: F.min(s),
-    "mean_prob": lambda s, w: logit(F.avg(sigmoid(s, None))),
-    "duration_weighted": lambda s, w: F.sum(s * w) / F.greatest(F.sum(w), F.lit(1e-9)),
+    "mean": lambda v: F.sum(F.col(v) * F.col("n")) / F.sum("n"),
+    "max": lambda v: F.max(v),
+    "min": lambda v: F.min(v),
+    "mean_prob": lambda v: logit(F.sum(sigmoid(F.col(v), None) * F.col("n")) / F.sum("n")),
+    "duration_weighted": lambda v: F.sum(F.col(v) * F.col("w")) / F.greatest(F.sum("w"), F.lit(1e-9)),
 }
 
 
@@ -27,7 +28,6 @@ def _ranked_mean(value: str, lo: Column, hi: Column) -> Column:
     return F.sum(F.col(value) * _between(lo, hi)) / F.sum(_between(lo, hi))
 
 
-_N = F.col
 RANKED = {
     "median": lambda v: interpolated(0.5, v),
     "top25_mean": lambda v: _ranked_mean(v, F.col("tot_n") - F.greatest(F.lit(1), F.ceil(F.col("tot_n") * 0.25)),
@@ -47,14 +47,15 @@ def call_scores(chunks: DataFrame, methods: Sequence[str] = ("mean",), keys: Seq
     unknown = set(methods) - set(AGGREGATIONS)
     if unknown:
         raise ValueError(f"unknown aggregation {sorted(unknown)}")
-    keys, s, w = list(keys), F.col(score), F.col(weight)
-    plain = [PLAIN[m](s, w).alias(m) for m in methods if m in PLAIN]
-    ranked = [RANKED[m](score).alias(m) for m in methods if m in RANKED]
-    out = chunks.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_chunks"), *plain)
-    if ranked:
-        c = cumulative(chunks, keys, score, {"n": F.count(F.lit(1))})
-        out = out.join(c.groupBy(*keys).agg(*ranked), keys, "left")
-    return out.select(*keys, "n_chunks", *methods)
+    keys = list(keys)
+    seconds = F.col(weight) if "duration_weighted" in methods else F.lit(0.0)
+    measures = {"n": F.count(F.lit(1)), "w": F.sum(seconds)}
+    d = chunks.withColumn("__s", F.col(score))
+    if any(m in RANKED for m in methods):
+        d = cumulative(d, keys, "__s", measures)
+    else:
+        d = d.groupBy(*keys, "__s").agg(*[m.alias(n) for n, m in measures.items()])
+    return d.groupBy(*keys).agg(F.sum("n").alias("n_chunks"), *[AGGREGATIONS[m]("__s").alias(m) for m in methods])
 
 
 def complete_calls(calls: DataFrame, scores: DataFrame, fill: Sequence[str], on: str = "call_id") -> DataFrame:
