@@ -314,7 +314,7 @@ def _(t):
 @query("prj_15_feature_vector", "select call_id, coalesce(case when call_id % 3 > 0 then avg(score) end, 0.5) + coalesce(case when call_id % 2 > 0 then max(score) end, 0.0) as total from d_chunks group by call_id", r="total")
 def _(t):
     from pyspark.ml.functions import vector_to_array
-    c = t.chunks().groupBy("call_id").agg(F.avg("score").alias("m"), F.max("score").alias("x"))
+    c = t.chunk_scores().groupBy("call_id").agg(F.avg("score").alias("m"), F.max("score").alias("x"))
     c = c.withColumns({"m": F.when(F.col("call_id") % 3 > 0, F.col("m")), "x": F.when(F.col("call_id") % 2 > 0, F.col("x"))})
     cols, assembler = K.feature_vector(["m", "x"], {"m": 0.5})
     return assembler.transform(c.select("call_id", *cols)).select("call_id", F.aggregate(vector_to_array("vector"), F.lit(0.0), lambda a, x: a + x).alias("total"))
@@ -324,22 +324,22 @@ def _(t):
 
 @query("jon_01_one_to_one", "select o.call_id, o.y, n_chunks, d.mean from d_order_calls o join d_agg d using (call_id)", r='mean')
 def _(t):
-    return J.one_to_one(t.order_calls().select("call_id", "y"), A.call_scores(t.chunks(), ["mean"]), ["call_id"])
+    return J.one_to_one(t.order_calls().select("call_id", "y"), A.call_scores(t.chunk_scores(), ["mean"]), ["call_id"])
 
 
 @query("jon_02_left_filled", "select o.call_id, coalesce(n_chunks,0) as n_chunks, coalesce(d.mean,0) as mean from d_order_calls o left join d_agg d using (call_id)", r="mean")
 def _(t):
-    return J.left_filled(t.order_calls().select("call_id"), A.call_scores(t.chunks(), ["mean"]), "call_id", {"n_chunks": 0, "mean": 0.0})
+    return J.left_filled(t.order_calls().select("call_id"), A.call_scores(t.chunk_scores(), ["mean"]), "call_id", {"n_chunks": 0, "mean": 0.0})
 
 
 @query("jon_03_missing", "select call_id from d_order_calls where call_id not in (select call_id from d_chunks)")
 def _(t):
-    return J.missing(t.order_calls(), t.chunks()).select("call_id")
+    return J.missing(t.order_calls(), t.chunk_scores()).select("call_id")
 
 
 @query("jon_04_held", "select call_id, count(*) as n from d_chunks where call_id in (select call_id from d_order_calls where split='val') group by call_id")
 def _(t):
-    return J.held(t.chunks(), t.order_calls().where("split = 'val'")).groupBy("call_id").agg(F.count(F.lit(1)).alias("n"))
+    return J.held(t.chunk_scores(), t.order_calls().where("split = 'val'")).groupBy("call_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("jon_05_parameters", "select thr, avg(((score>=thr)=(y=1))::int) as accuracy from d_preds, (select unnest([-1.0::double,0,1]) as thr) group by thr", r="thr accuracy")

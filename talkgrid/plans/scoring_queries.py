@@ -22,34 +22,34 @@ VIEWS.update({
 
 @query("agg_01_call_scores", 'select call_id, n_chunks, mean, median, "max", "min" from d_agg', r='mean median "max" "min"')
 def _(t):
-    return A.call_scores(t.chunks(), ["mean", "median", "max", "min"])
+    return A.call_scores(t.chunk_scores(), ["mean", "median", "max", "min"])
 
 
 @query("agg_02_top25_mean", "select call_id, n_chunks, top25_mean from d_agg", r="top25_mean")
 def _(t):
-    return A.call_scores(t.chunks(), ["top25_mean"])
+    return A.call_scores(t.chunk_scores(), ["top25_mean"])
 
 
 @query("agg_03_trimmed_mean", "select call_id, n_chunks, trimmed_mean from d_agg", r="trimmed_mean")
 def _(t):
-    return A.call_scores(t.chunks(), ["trimmed_mean"])
+    return A.call_scores(t.chunk_scores(), ["trimmed_mean"])
 
 
 @query("agg_03_trimmed_mean_by_flag", """with r as (select flag, score, row_number() over (partition by flag order by score) as rk, count(*) over (partition by flag) as n from d_chunks)
   select flag, any_value(n) as n_chunks, avg(score) filter (rk > floor(0.1*n) and rk <= n-floor(0.1*n)) as trimmed_mean,
    avg(score) filter (rk > n-ceil(0.25*n)) as top25_mean, median(score) as median from r group by flag""", r="trimmed_mean top25_mean median")
 def _(t):
-    return A.call_scores(t.chunks(), ["trimmed_mean", "top25_mean", "median"], ["flag"])
+    return A.call_scores(t.chunk_scores(), ["trimmed_mean", "top25_mean", "median"], ["flag"])
 
 
 @query("agg_04_mean_prob", "select call_id, n_chunks, mean_prob from d_agg", r="mean_prob")
 def _(t):
-    return A.call_scores(t.chunks(), ["mean_prob"])
+    return A.call_scores(t.chunk_scores(), ["mean_prob"])
 
 
 @query("agg_05_duration_weighted", "select call_id, n_chunks, duration_weighted from d_agg", r="duration_weighted")
 def _(t):
-    return A.call_scores(t.chunks(), ["duration_weighted"])
+    return A.call_scores(t.chunk_scores(), ["duration_weighted"])
 
 
 @query("agg_06_call_table", """select c.call_id, 0::bigint as page, y, split, avg(score) as score, count(*) as n_chunks,
@@ -108,7 +108,7 @@ METHOD_ROWS = " union all ".join(f"select split, y, '{m}' as method, coalesce(\"
   a as (select method, split, {AUC} as auc from c group by all) select method, split, count(*) as n, avg(((score>=0)=(y=1))::int) as accuracy, any_value(auc) as auc
   from r join a using (method, split) group by all""", r="accuracy auc")
 def _(t):
-    s = A.complete_calls(t.order_calls(), A.call_scores(t.chunks(), A.COMPARED), A.COMPARED + ["n_chunks"])
+    s = A.complete_calls(t.order_calls(), A.call_scores(t.chunk_scores(), A.COMPARED), A.COMPARED + ["n_chunks"])
     s = s.select("split", "y", *[F.round(m, 9).alias(m) for m in A.COMPARED])
     long = s.unpivot(["split", "y"], A.COMPARED, "method", "score")
     return M.evaluate(long, ["method", "split"]).select("method", "split", "n", "accuracy", "auc")
@@ -116,7 +116,7 @@ def _(t):
 
 @query("agg_10_metrics_by_method")
 def _(t):
-    return A.aggregation_compare(t.chunks(), t.order_calls()).select("method", "split", "n", "accuracy", "auc", "eer", "brier")
+    return A.aggregation_compare(t.chunk_scores(), t.order_calls()).select("method", "split", "n", "accuracy", "auc", "eer", "brier")
 
 
 @query("agg_11_group_counts", """select split, count(*) filter (label='human') as human, count(*) filter (label='synthetic') as synthetic from d_order_calls group by split""")
@@ -203,7 +203,7 @@ def _(t):
   select split, sum(n)::bigint as n_chunks, sum(s)/3600 as chunk_hours, count(*) filter (n=0) as calls_without_chunks, median(n) as median_chunks from j group by split""",
        r="chunk_hours median_chunks")
 def _(t):
-    return A.chunk_budget(t.order_calls(), t.chunks().where("flag <> 'A'"))
+    return A.chunk_budget(t.order_calls(), t.chunk_scores().where("flag <> 'A'"))
 
 
 @query("agg_20_model_comparison", f"""with c as ({curve_sql('d_preds', 'domain, model')}), a as (select domain, model, {AUC} as auc from c group by all),
@@ -275,7 +275,7 @@ def _(t):
        r="speech_s acoustic_quality semantic_quality")
 def _(t):
     from ..operators.quality import acoustic_quality, semantic_quality
-    c = t.chunks().groupBy("call_id").agg(F.sum("duration_s").alias("speech_s"))
+    c = t.chunk_scores().groupBy("call_id").agg(F.sum("duration_s").alias("speech_s"))
     k = F.col("call_id") % 4
     path = F.when(k == 0, "f4+f5").when(k == 1, "f4").when(k == 2, "other").otherwise("abstain")
     return c.select("call_id", "speech_s", acoustic_quality(F.col("speech_s")).alias("acoustic_quality"), semantic_quality(path).alias("semantic_quality"))
@@ -306,7 +306,7 @@ def _(t):
   select call_id, case when duration_s < 50 then 'too_short' when duration_s > 800 then 'too_long' when caller_speech_s < 4 then 'not_enough_speech' when isnan(f) then 'non_finite_feature' end as reason from j""")
 def _(t):
     from ..operators.quality import input_guard
-    j = t.chunks().groupBy("call_id").agg(F.sum("duration_s").alias("caller_speech_s"), F.avg("score").alias("f"))
+    j = t.chunk_scores().groupBy("call_id").agg(F.sum("duration_s").alias("caller_speech_s"), F.avg("score").alias("f"))
     j = j.withColumns({"duration_s": 40 + (F.col("call_id") % 100) * 8.0, "f": F.when(F.col("call_id") % 77 == 0, float("nan")).otherwise(F.col("f"))})
     return j.select("call_id", input_guard(["f"], 50, 800, 4).alias("reason"))
 

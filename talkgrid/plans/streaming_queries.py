@@ -136,7 +136,7 @@ def _(t):
 
 @query("udf_02_aggregation_registry", "select call_id, n_chunks, trimmed_mean as score from d_agg", r="score")
 def _(t):
-    return G.aggregate_by_name(t.chunks(), "trimmed_mean")
+    return G.aggregate_by_name(t.chunk_scores(), "trimmed_mean")
 
 
 @query("udf_03_perturbations", "select condition, count(*) as n, avg(rms_db + case condition when 'gain_-12dB' then -12 else 0 end) as mean_db from d_frames, (select unnest(['clean','gain_-12dB']) as condition) group by condition", r="mean_db")

@@ -57,6 +57,12 @@ class Tables:
                         F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"),
                         F.col("l_returnflag").alias("flag"))
 
+    def chunk_scores(self) -> DataFrame:
+        """The chunks without their number: what an aggregation that knows no order needs."""
+        return self.raw("lineitem").select(
+            F.col("l_orderkey").alias("call_id"), ((F.col("l_quantity") - 25.5) / 10).alias("score"),
+            (1 + F.col("l_discount") * 30).alias("duration_s"), F.col("l_returnflag").alias("flag"))
+
     def order_calls(self) -> DataFrame:
         o = self.raw("orders")
         y = bool_int(F.left(F.col("o_orderpriority"), F.lit(1)).isin("1", "2"))
