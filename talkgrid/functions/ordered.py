@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 BLK = "__blk"
 
 
-def value_block(value: Column, bits: int = 10) -> Column:
+def value_block(value: Column, bits: int = 14) -> Column:
     """Monotone block number of a double: ``2**bits`` blocks per power of two, nothing to sample."""
     a = F.abs(value.cast("double"))
     e = F.floor(F.log2(a))
@@ -76,7 +76,7 @@ def scan(df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[str]
 
 
 def cumulative(df: DataFrame, keys: Sequence[str], value: str, measures: dict[str, Column],
-               bits: int = 10) -> DataFrame:
+               bits: int = 14) -> DataFrame:
     """One row per distinct ``value`` with its measures, what lies below it (``cum_*``) and the key total (``tot_*``).
 
     Ties collapse before anything is ordered, so a score shared by a third of the rows costs one row.
@@ -123,6 +123,6 @@ def hash_rank(df: DataFrame, keys: Sequence[str], id_col: str, seed: int, rank:
               total: str = "group_n") -> DataFrame:
     """Position of each row of its key in a seeded hash order, and the key's row count."""
     h = df.withColumn("__h", F.xxhash64(F.col(id_col), F.lit(seed))).withColumn("__one", F.lit(1))
-    out = scan(h, keys, F.shiftright(F.col("__h"), 52), ["__h", id_col],
+    out = scan(h, keys, F.shiftright(F.col("__h"), 48), ["__h", id_col],
                {rank: ("sum", "__one"), total: ("total", "__one")})
     return out.drop("__h", "__one")

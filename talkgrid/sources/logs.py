@@ -24,9 +24,11 @@ def merge_layer_views(results: DataFrame, contributions: DataFrame) -> DataFrame
 
 
 def layers_of_call(layers: DataFrame) -> DataFrame:
-    """The layers of a call as one nested list (one entry per layer key)."""
+    """The layers of a call as one nested list, one entry per layer key however often it was logged."""
     fields = [c for c in LAYER_FIELDS if c in layers.columns]
-    return layers.groupBy("call_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("layers"))
+    rest = [c for c in fields if c != "key"]
+    once = layers.groupBy("call_id", "key").agg(F.max(F.struct(*rest)).alias("l")).select("call_id", "key", "l.*")
+    return once.groupBy("call_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("layers"))
 
 
 def log_rows(verdicts: DataFrame, layers: DataFrame) -> DataFrame:
