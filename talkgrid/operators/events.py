@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.feature_sets import ALL_BEHAVIOUR
 from ..functions.fixed import (CV_MIN_MEAN_MS, IMMEDIATE_RETAKE_MS, IMMEDIATE_YIELD_MS, LONG_GAP_MS, MIN_OVERLAP_MS,
                                MIN_VARIABILITY_EVENTS, ONSET_TOLERANCE_MS, SHORT_AGENT_TURN_MS)
+from ..functions.ordered import interpolated
 from ..functions.scalar import clamp, known_mean, safe_div
 from .intervals import CALL, normalize_turns, response_latency_simple, speaking_states
 
@@ -87,23 +88,36 @@ def extended_gaps(states: DataFrame, calls: DataFrame, keys: Sequence[str] = CAL
 
 # ------------------------------------------------------------------------------ summaries
 
-def summary_columns(v: Column, scale: float = 1000.0, prefix: str = "") -> dict[str, Column]:
-    """Count, mean, median of a value; spread only from three values on; cv only for clearly positive ones."""
+def summary_columns(value: str, scale: float = 1000.0) -> dict[str, Column]:
+    """Count, mean, median of a ranked value; spread only from three values on; cv only for clearly positive ones."""
+    v = F.col(value)
     n = F.count(v)
     enough = n >= MIN_VARIABILITY_EVENTS
-    # distinct milliseconds of one call: bounded by its length
-    q = F.percentile(v, F.array(F.lit(.25), F.lit(.5), F.lit(.75)))
     std = F.when(enough, F.stddev_samp(v) / scale)
     mean = F.avg(v) / scale
     stable = enough & (F.avg(v) >= CV_MIN_MEAN_MS * scale / 1000.0) & (F.min(v) >= 0)
-    return {f"{prefix}count": n, f"{prefix}mean": mean, f"{prefix}median": q[1] / scale, f"{prefix}std": std,
-            f"{prefix}iqr": F.when(enough, (q[2] - q[0]) / scale), f"{prefix}cv": F.when(stable, std / mean)}
+    iqr = interpolated(.75, value) - interpolated(.25, value)
+    return {"count": n, "mean": mean, "median": interpolated(.5, value) / scale, "std": std,
+            "iqr": F.when(enough, iqr / scale), "cv": F.when(stable, std / mean)}
+
+
+def ranked_in_call(long: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Known values with their sorted position, shaped for :func:`interpolated`.
+
+    One call's measurements, bounded by its length. Window and the aggregation behind it share one
+    shuffle, and ranks keep the aggregation hash-based where ``percentile`` would not.
+    """
+    w = W.partitionBy(*keys)
+    return long.where(F.col(value).isNotNull()).withColumns({
+        "n": F.lit(1), "cum_n": F.row_number().over(w.orderBy(value)) - 1, "tot_n": F.count(F.lit(1)).over(w)})
 
 
 def summarize(long: DataFrame, keys: Sequence[str] = ("call_id", "metric"), value: str = "value") -> DataFrame:
     """Summary of values in seconds per call and metric."""
-    cols = summary_columns(F.col(value) * 1000.0)
-    return long.groupBy(*keys).agg(*[c.alias(n) for n, c in cols.items()])
+    keys = list(keys)
+    known = ranked_in_call(long.withColumn("__v", F.col(value) * 1000.0), keys, "__v")
+    g = known.groupBy(*keys).agg(*[c.alias(n) for n, c in summary_columns("__v").items()])
+    return long.select(*keys).distinct().join(g, keys, "left").fillna(0, subset=["count"])
 
 
 def _facts(norm, calls, keys) -> DataFrame:
@@ -146,8 +160,8 @@ def behaviour_features(turns: DataFrame, calls: DataFrame, keys: Sequence[str] =
     keys = list(keys)
     norm = turns if normalised else normalize_turns(turns, calls, keys=keys)
     f = _facts(norm, calls, keys)
-    cols = summary_columns(F.col("value"))
-    s = f.groupBy(*keys, "metric").agg(*[c.alias(n) for n, c in cols.items()], F.sum("value").alias("total"),
+    cols = summary_columns("value")
+    s = ranked_in_call(f, [*keys, "metric"], "value").groupBy(*keys, "metric").agg(*[c.alias(n) for n, c in cols.items()], F.sum("value").alias("total"),
                                        F.min("value").alias("least"), F.max("value").alias("most"),
                                        *[F.count_if(F.col("value") == k).alias(f"n{k}") for k in (0, 1, 2)])
     pick = lambda m, c: F.max(F.when(F.col("metric") == m, F.col(c)))

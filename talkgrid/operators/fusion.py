@@ -87,13 +87,14 @@ def combine(layers: DataFrame, configs: DataFrame, extra: Sequence[str] = ()) ->
     x = F.when(F.col("mode") == "logit_mean", logit(F.col("p"))).otherwise(F.col("p"))
     first = F.col("layer_role") == "primary"
     w = F.col("effective_weight")
-    one = lambda f: F.first(f, True).alias(f)
     knobs = ["mode", "threshold", "confidence_mode", "verify_threshold", "use_verifiers"]
     g = c.groupBy("call_id", "config_id", *extra).agg(
         F.sum(F.when(first, w).otherwise(0.0)).alias("pw"), F.sum(F.when(first, w * x).otherwise(0.0)).alias("px"),
         F.sum(F.when(first, 0.0).otherwise(w)).alias("vw"), F.sum(F.when(first, 0.0).otherwise(w * x)).alias("vx"),
         F.count_if(first & (w > 0)).alias("np"), F.count_if(~first & (w > 0)).alias("nv"),
-        F.count_if(~first).alias("verifiers"), F.bool_and("abstained").alias("all_abstained"), *[one(k) for k in knobs])
+        F.count_if(~first).alias("verifiers"), F.bool_and("abstained").alias("all_abstained"))
+    # the settings come back by their id: text carried through an aggregation would make it sort
+    g = g.join(F.broadcast(configs.select("config_id", *knobs)), "config_id")
 
     def mixed(xs, ws):
         m = safe_div(xs, ws)
