@@ -35,8 +35,8 @@ def turn_context(norm: DataFrame, calls: DataFrame, keys: Sequence[str] = CALL)
     return c.join(calls.select(*keys, "duration_ms"), keys)
 
 
-def interruptions(context: DataFrame, keys: Sequence[str] = CALL) -> DataFrame:
-    """Agent onsets inside a caller turn, with the caller's yield and recovery."""
+def _interruption() -> tuple[Column, dict[str, Column]]:
+    """Whether a turn of :func:`turn_context` interrupts, and the event's columns."""
     cs, ce = F.col("prev_caller.start_ms"), F.col("prev_caller.end_ms")
     a, ae, dur = F.col("start_ms"), F.col("end_ms"), F.col("duration_ms")
     overlap = F.least(ce, ae) - a
@@ -45,45 +45,63 @@ def interruptions(context: DataFrame, keys: Sequence[str] = CALL) -> DataFrame:
     yielded = F.when(observed, ce < ae - ONSET_TOLERANCE_MS)
     ns = F.col("next_caller.start_ms")
     resumed = F.when(yielded & (ns < F.coalesce("next_own", "duration_ms")), ns)
-    return context.where(hit).select(
-        *keys, a.alias("onset_ms"), overlap.alias("overlap_ms"), F.when(observed, ce - a).alias("stop_latency_ms"),
-        yielded.alias("yielded"), F.when(observed, yielded & (ce - a <= IMMEDIATE_YIELD_MS)).alias("immediate_yield"),
-        (resumed - ce).alias("recovery_ms"), F.when(ae < dur, resumed - ae).alias("recovery_gap_ms"),
-        (resumed <= ae + IMMEDIATE_RETAKE_MS).alias("retake"))
+    return hit, {
+        "onset_ms": a, "overlap_ms": overlap, "stop_latency_ms": F.when(observed, ce - a), "yielded": yielded,
+        "immediate_yield": F.when(observed, yielded & (ce - a <= IMMEDIATE_YIELD_MS)), "recovery_ms": resumed - ce,
+        "recovery_gap_ms": F.when(ae < dur, resumed - ae), "retake": resumed <= ae + IMMEDIATE_RETAKE_MS}
 
 
-def barge_ins(context: DataFrame, keys: Sequence[str] = CALL) -> DataFrame:
-    """Caller onsets inside an agent turn."""
+def _barge_in() -> tuple[Column, dict[str, Column]]:
     as_, ae = F.col("prev_agent.start_ms"), F.col("prev_agent.end_ms")
     c, ce, dur = F.col("start_ms"), F.col("end_ms"), F.col("duration_ms")
     overlap = F.least(ce, ae) - c
     hit = (F.col("channel") == 0) & (as_ + ONSET_TOLERANCE_MS < c) & (c < ae) & (overlap >= MIN_OVERLAP_MS)
-    return context.where(hit).select(
-        *keys, c.alias("onset_ms"), F.when(F.least(ce, ae) < dur, overlap).alias("overlap_ms"),
-        F.when(ae < dur, ae - c).alias("lead_ms"), F.when(ae < dur, ce > ae + ONSET_TOLERANCE_MS).alias("continues"))
+    return hit, {"onset_ms": c, "overlap_ms": F.when(F.least(ce, ae) < dur, overlap), "lead_ms": F.when(ae < dur, ae - c),
+                 "continues": F.when(ae < dur, ce > ae + ONSET_TOLERANCE_MS)}
 
 
-def responses(states: DataFrame, keys: Sequence[str] = CALL) -> DataFrame:
-    """Agent alone, then silence or nothing, then caller alone: latency and the agent turn's length."""
-    keys = list(keys)
+def _events(df: DataFrame, keys: Sequence[str], event: tuple[Column, dict[str, Column]]) -> DataFrame:
+    hit, cols = event
+    return df.where(hit).select(*keys, *[c.alias(n) for n, c in cols.items()])
+
+
+def interruptions(context: DataFrame, keys: Sequence[str] = CALL) -> DataFrame:
+    """Agent onsets inside a caller turn, with the caller's yield and recovery."""
+    return _events(context, keys, _interruption())
+
+
+def barge_ins(context: DataFrame, keys: Sequence[str] = CALL) -> DataFrame:
+    """Caller onsets inside an agent turn."""
+    return _events(context, keys, _barge_in())
+
+
+def _followed(states: DataFrame, keys: Sequence[str]) -> DataFrame:
     w = W.partitionBy(*keys).orderBy("start_ms")
-    s = states.withColumns({"s1": F.lead("state", 1).over(w), "t1": F.lead("start_ms", 1).over(w),
-                            "s2": F.lead("state", 2).over(w), "t2": F.lead("start_ms", 2).over(w)})
+    return states.withColumns({"s1": F.lead("state", 1).over(w), "t1": F.lead("start_ms", 1).over(w),
+                               "s2": F.lead("state", 2).over(w), "t2": F.lead("start_ms", 2).over(w)})
+
+
+def _response() -> tuple[Column, dict[str, Column]]:
     onset = F.when(F.col("s1") == 1, F.col("t1")).when((F.col("s1") == 0) & (F.col("s2") == 1), F.col("t2"))
-    return s.where((F.col("state") == 2) & onset.isNotNull()).select(
-        *keys, onset.alias("onset_ms"), (onset - F.col("end_ms")).alias("latency_ms"),
-        (F.col("end_ms") - F.col("agent_start_ms")).alias("agent_ms"))
+    return (F.col("state") == 2) & onset.isNotNull(), {
+        "onset_ms": onset, "latency_ms": onset - F.col("end_ms"), "agent_ms": F.col("end_ms") - F.col("agent_start_ms")}
 
 
-def extended_gaps(states: DataFrame, calls: DataFrame, keys: Sequence[str] = CALL, min_ms: int = LONG_GAP_MS) -> DataFrame:
-    """Interior silences of at least ``min_ms`` and whether the caller breaks them."""
-    keys = list(keys)
-    w = W.partitionBy(*keys).orderBy("start_ms")
-    s = states.withColumn("nxt", F.lead("state").over(w)).join(calls.select(*keys, "duration_ms"), keys)
+def _gap(min_ms: int = LONG_GAP_MS) -> tuple[Column, dict[str, Column]]:
+    """An interior silence: something was before it and something comes after it."""
     length = F.col("end_ms") - F.col("start_ms")
-    inner = (F.col("state") == 0) & (F.col("start_ms") > 0) & (F.col("end_ms") < F.col("duration_ms")) & (length >= min_ms)
-    return s.where(inner).select(*keys, F.col("start_ms").alias("onset_ms"), length.alias("duration_ms"),
-                                 (F.col("nxt") == 1).alias("caller_next"))
+    hit = (F.col("state") == 0) & (F.col("start_ms") > 0) & F.col("s1").isNotNull() & (length >= min_ms)
+    return hit, {"onset_ms": F.col("start_ms"), "duration_ms": length, "caller_next": F.col("s1") == 1}
+
+
+def responses(states: DataFrame, keys: Sequence[str] = CALL) -> DataFrame:
+    """Agent alone, then silence or nothing, then caller alone: latency and the agent turn's length."""
+    return _events(_followed(states, keys), keys, _response())
+
+
+def extended_gaps(states: DataFrame, keys: Sequence[str] = CALL, min_ms: int = LONG_GAP_MS) -> DataFrame:
+    """Interior silences of at least ``min_ms`` and whether the caller breaks them."""
+    return _events(_followed(states, keys), keys, _gap(min_ms))
 
 
 # ------------------------------------------------------------------------------ summaries
@@ -120,39 +138,40 @@ def summarize(long: DataFrame, keys: Sequence[str] = ("call_id", "metric"), valu
     return long.select(*keys).distinct().join(g, keys, "left").fillna(0, subset=["count"])
 
 
-def _facts(norm, calls, keys) -> DataFrame:
-    """Everything a feature is made of, as ``(keys, metric, value in ms or 0/1)`` rows."""
-    ctx = turn_context(norm, calls, keys)
-    st = speaking_states(norm, calls, keys)
-    ms = lambda c: c.cast("double")
+def _facts(norm: DataFrame, calls: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Everything a feature is made of, as ``(keys, metric, value in ms or 0/1)`` rows.
+
+    One pass over the turns and one over the states; a row gives whatever it has evidence for.
+    """
 
-    def rows(df, **metrics):
-        pairs = [F.struct(F.lit(m).alias("metric"), ms(c).alias("value")) for m, c in metrics.items()]
-        return df.select(*keys, F.explode(F.array(*pairs)).alias("f")).select(*keys, "f.metric", "f.value")
+    def rows(df, metrics):
+        pairs = [F.struct(F.lit(m).alias("metric"), c.cast("double").alias("value")) for m, c in metrics.items()]
+        known = F.filter(F.array(*pairs), lambda p: p["value"].isNotNull())
+        return df.select(*keys, F.explode(known).alias("f")).select(*keys, "f.metric", "f.value")
 
     caller, d = F.col("channel") == 0, F.col("end_ms") - F.col("start_ms")
     done = F.col("end_ms") < F.col("duration_ms")
-    turn = rows(ctx, caller_speech=F.when(caller, d), agent_speech=F.when(~caller, d),
-                caller_turn=F.when(caller & done, d), agent_turn=F.when(~caller & done, d),
-                caller_pause=F.when(caller, F.col("next_own") - F.col("end_ms")),
-                start=F.col("start_ms"), end=F.col("end_ms"))
-    i = interruptions(ctx, keys)
-    react = F.when(F.col("immediate_yield"), 0).when(F.col("yielded"), 1).when(F.col("yielded").isNotNull(), 2)
-    inter = rows(i, interruption=F.lit(1), interruption_stop_latency=F.col("stop_latency_ms"), yielded=F.col("yielded").cast("int"),
-                 immediate=F.col("immediate_yield").cast("int"), recovery_latency=F.col("recovery_ms"),
-                 recovery_gap=F.col("recovery_gap_ms"), retake=F.col("retake").cast("int"), reaction=react)
-    b = rows(barge_ins(ctx, keys), barge_in=F.lit(1), barge_overlap=F.col("overlap_ms"), continues=F.col("continues").cast("int"))
-    length = F.col("end_ms") - F.col("start_ms")
-    state = rows(st, silence=F.when(F.col("state") == 0, length), overlap=F.when(F.col("state") == 3, length))
-    lat = F.col("latency_ms")
-    resp = rows(responses(st, keys), response_latency=lat,
-                short_context_response=F.when(F.col("agent_ms") < SHORT_AGENT_TURN_MS, lat),
-                long_context_response=F.when(F.col("agent_ms") >= SHORT_AGENT_TURN_MS, lat))
-    gaps = rows(extended_gaps(st, calls, keys), extended_gap=F.lit(1), gap_caller=F.col("caller_next").cast("int"))
-    out = turn
-    for part in (inter, b, state, resp, gaps):
-        out = out.unionByName(part)
-    return out.where(F.col("value").isNotNull())
+    cut, i = _interruption()
+    barge, b = _barge_in()
+    react = F.when(i["immediate_yield"], 0).when(i["yielded"], 1).when(i["yielded"].isNotNull(), 2)
+    turn = {
+        "caller_speech": F.when(caller, d), "agent_speech": F.when(~caller, d), "caller_turn": F.when(caller & done, d),
+        "agent_turn": F.when(~caller & done, d), "caller_pause": F.when(caller, F.col("next_own") - F.col("end_ms")),
+        "start": F.col("start_ms"), "end": F.col("end_ms")}
+    turn |= {m: F.when(cut, c) for m, c in {
+        "interruption": F.lit(1), "interruption_stop_latency": i["stop_latency_ms"], "yielded": i["yielded"].cast("int"),
+        "immediate": i["immediate_yield"].cast("int"), "recovery_latency": i["recovery_ms"], "recovery_gap": i["recovery_gap_ms"],
+        "retake": i["retake"].cast("int"), "reaction": react}.items()}
+    turn |= {m: F.when(barge, c) for m, c in {
+        "barge_in": F.lit(1), "barge_overlap": b["overlap_ms"], "continues": b["continues"].cast("int")}.items()}
+    answered, r = _response()
+    silent, g = _gap()
+    lat, short = r["latency_ms"], r["agent_ms"] < SHORT_AGENT_TURN_MS
+    state = {
+        "silence": F.when(F.col("state") == 0, d), "overlap": F.when(F.col("state") == 3, d), "response_latency": F.when(answered, lat),
+        "short_context_response": F.when(answered & short, lat), "long_context_response": F.when(answered & ~short, lat),
+        "extended_gap": F.when(silent, 1), "gap_caller": F.when(silent, g["caller_next"].cast("int"))}
+    return rows(turn_context(norm, calls, keys), turn).unionByName(rows(_followed(speaking_states(norm, calls, keys), keys), state))
 
 
 def behaviour_features(turns: DataFrame, calls: DataFrame, keys: Sequence[str] = CALL, normalised: bool = False) -> DataFrame:

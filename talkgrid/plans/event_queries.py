@@ -127,7 +127,7 @@ def _(t):
 
 @query("evt_06_extended_gaps", "select * from d_gaps")
 def _(t):
-    return E.extended_gaps(states(t), t.calls())
+    return E.extended_gaps(states(t))
 
 
 @query("evt_07_summarize", """with m as (select call_id, 'overlap' as metric, overlap_ms/1000.0::double as value from d_inter

@@ -98,7 +98,7 @@ def test_barge_in_and_its_censoring(spark, duration, expected):
 def test_one_interior_gap(spark):
     c = calls(spark, 12_000)
     st = I.speaking_states(I.normalize_turns(turns(spark, (0, 1, 3, 4), (0, 0, 7, 8)), c), c)
-    assert rows(E.extended_gaps(st, c), "onset_ms") == [(0, 4000, 3000, True)]
+    assert rows(E.extended_gaps(st), "onset_ms") == [(0, 4000, 3000, True)]
 
 
 def test_summaries_need_evidence(spark):
