@@ -40,11 +40,10 @@ def prefix_progression(chunks: DataFrame, aggregation: str, a: float, b: float,
     with the square of its length, so it is refused rather than cut.
     """
     from .scoring import call_scores
-    steps = F.sequence(F.col("chunk"), F.lit(max_chunks).cast("bigint"))
     checked = F.when(F.col("chunk") > max_chunks, F.raise_error(F.lit(f"more than {max_chunks} chunks in a call"))).otherwise(F.col("chunk"))
     c = chunks.withColumn("chunk", checked.cast("bigint"))
     last = c.groupBy("call_id").agg(F.max("chunk").alias("last"))
-    p = (c.withColumn("step", F.explode(steps)).join(last, "call_id").where(F.col("step") <= F.col("last")))
+    p = c.join(last, "call_id").withColumn("step", F.explode(F.sequence("chunk", "last")))
     p = p.withColumn("duration_s", F.col("end_s") - F.col("start_s"))
     agg = call_scores(p, [aggregation], ["call_id", "step"]).withColumnRenamed(aggregation, "running")
     speech = p.groupBy("call_id", "step").agg(F.sum("duration_s").alias("speech"))

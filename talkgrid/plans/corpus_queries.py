@@ -77,9 +77,9 @@ def _(t):
 
 
 @query("txt_04_richness", """select call_id, types/n as ttr, n/greatest(ns,1) as mean_sentence_len, n/greatest(coalesce(nt,0),1) as words_per_turn, n::double as n_words from d_tr join d_sent using (call_id)
-  left join (select conv_id as call_id, count(*) as nt from conversations where role='user' and turn % 3 > 0 group by conv_id) using (call_id)""", r="ttr mean_sentence_len words_per_turn n_words")
+  left join (select conv_id as call_id, count(*) as nt from conversations where role='user' group by conv_id) using (call_id)""", r="ttr mean_sentence_len words_per_turn n_words")
 def _(t):
-    turns = t.raw("conversations").where("role = 'user' and turn % 3 > 0").groupBy(F.col("conv_id").alias("call_id")).agg(F.count(F.lit(1)).alias("n_turns"))
+    turns = t.raw("conversations").where("role = 'user'").groupBy(F.col("conv_id").alias("call_id")).agg(F.count(F.lit(1)).alias("n_turns"))
     return T.transcript_features(caller(t), n_turns=turns).select("call_id", "ttr", "mean_sentence_len", "words_per_turn", "n_words")
 
 
@@ -235,15 +235,14 @@ def _(t):
     return S.descriptor_stats(S.frame_descriptors(recordings(t)))
 
 
-@query("src_07_decode_payloads", """with b as (select doc_id, left(text, 60) as tx from documents)
+@query("src_07_decode_payloads", """with b as (select doc_id, text as tx from documents)
   select doc_id, case doc_id % 4 when 3 then 'empty' end as reason, case when doc_id % 4 < 3 then md5(tx) end as digest from b""")
 def _(t):
-    d = t.raw("documents").select("doc_id", F.left("text", F.lit(60)).alias("tx"))
+    d = t.raw("documents").select("doc_id", F.col("text").alias("tx"))
     b64 = F.regexp_replace(F.base64(F.encode("tx", "UTF-8")), r"\s", "")
     k = F.col("doc_id") % 4
-    long = F.concat(b64, F.lit(""))
     body = (F.when(k == 0, F.concat(F.lit('{"note":"x","wav":"'), b64, F.lit('"}')))
-            .when(k == 1, F.concat(F.lit('{"audio":"data:audio/wav;base64,'), b64, F.lit('"}'))).when(k == 2, long).otherwise('{"note":"short"}'))
+            .when(k == 1, F.concat(F.lit('{"audio":"data:audio/wav;base64,'), b64, F.lit('"}'))).when(k == 2, b64).otherwise('{"note":"short"}'))
     p = S.decode_payloads(d.select("doc_id", body.alias("body")))
     return p.select("doc_id", "reason", F.md5("content").alias("digest"))
 
@@ -436,9 +435,9 @@ def _(t):
     return Q.content_duplicates(t.raw("documents"), "text")
 
 
-@query("set_05_page_duplicates", "select sha256(left(html, 200)) as digest, count(*)-1 as duplicates from pages group by 1 having count(*) > 1")
+@query("set_05_page_duplicates", "select sha256(html) as digest, count(*)-1 as duplicates from pages group by 1 having count(*) > 1")
 def _(t):
-    return Q.content_duplicates(t.raw("pages").select(F.left("html", F.lit(200)).alias("head")), "head", "sha256")
+    return Q.content_duplicates(t.raw("pages"), "html", "sha256")
 
 
 @query("dq_01_calls_in_two_splits", "select o_custkey as call_id, 2 as splits from d_order_calls d join orders o on o.o_orderkey=d.call_id group by o_custkey having count(distinct split)=2")

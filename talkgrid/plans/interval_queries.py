@@ -188,12 +188,12 @@ def _(t):
 
 
 @query("int_13_silence_stats", f"""with g as (select call_id, min(start_ms) as a, max(end_ms) as b, sum(end_ms-start_ms) as s, count(*) as n from d_norm
-    where channel=0 and call_id % 7 > 0 group by call_id)
+    where channel=0 and end_ms-start_ms > 90000 group by call_id)
   select call_id, coalesce(a,{D})/1000.0::double as leading_silence_s, ({D}-coalesce(b,0))/1000.0::double as trailing_silence_s, coalesce(s,0)/1000.0::double as speech_s,
     coalesce(s,0)/{D}.0::double as speech_fraction, coalesce(n,0) as n_regions, coalesce(s/1000.0::double/n,0) as mean_region_s from d_calls left join g using (call_id)""",
        r="leading_silence_s trailing_silence_s speech_s speech_fraction mean_region_s")
 def _(t):
-    return I.silence_stats(norm(t).where("channel = 0 and call_id % 7 > 0"), t.calls())
+    return I.silence_stats(norm(t).where("channel = 0 and end_ms - start_ms > 90000"), t.calls())
 
 
 ENERGY = """with floor_ as (select call_id, channel, quantile_cont(rms_db, 0.1) as fl from d_frames group by all),

@@ -33,12 +33,13 @@ def running_verdict(chunks: DataFrame, delay: str = "10 minutes", a: float = 1.0
             state.remove()
             yield pd.DataFrame([(key[0], n, last, round(speech, 2), round(p, 4), p >= hi or p <= lo, False, True)], columns=names)
             return
-        rows, newest = [], 0
+        newest = 0
         for part in batches:
             for c, st, en, sc, at in zip(part["chunk"], part["start_s"], part["end_s"], part["score"], part["at"]):
                 newest = max(newest, int(at.timestamp() * 1000))
                 if c > n:  # a chunk already counted came twice
                     early[int(c)] = (float(en), float(en - st), float(sc))
+            rows = []
             while n + 1 in early:
                 en, d, sc = early.pop(n + 1)
                 n, acc, speech, last = n + 1, acc + sc, speech + d, en
@@ -47,10 +48,10 @@ def running_verdict(chunks: DataFrame, delay: str = "10 minutes", a: float = 1.0
                 conf = p >= hi or p <= lo
                 rows.append((key[0], n, round(en, 2), round(speech, 2), round(p, 4), conf, conf and not sure, False))
                 sure = sure or conf
+            yield pd.DataFrame(rows, columns=names)
         held = sorted(early)
         state.update((n, acc, speech, sure, last, p, held, [early[c][0] for c in held], [early[c][1] for c in held], [early[c][2] for c in held]))
         state.setTimeoutTimestamp(max(newest + wait_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(rows, columns=names)
 
     w = chunks.withWatermark("at", delay)
     return w.groupBy("call_id").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
