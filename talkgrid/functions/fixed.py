@@ -59,3 +59,16 @@ LINE_CHOICE = {
     "noise_colour": ["white", "pink"], "hum_hz": [0.0, 0.0, 0.0, 50.0, 60.0],
 }
 LINE_CHANCE = {"agc": 0.75, "comfort_noise": 0.5}
+
+# --- fixed values: trivial cues by group --------------------------------------------------
+SHORTCUT_COLUMNS = {
+    "duration_only": ["duration_s"],
+    "duration+silence": ["duration_s", "first_caller_start_s", "trailing_silence_s"],
+    "metadata": ["duration_s", "caller_speech_s", "caller_speech_fraction", "n_caller_turns", "n_agent_turns",
+                 "agent_speech_s", "first_caller_start_s", "trailing_silence_s", "n_chunks"],
+    "loudness": ["caller_rms_db", "caller_speech_rms_db", "caller_peak", "caller_clipping_fraction",
+                 "caller_noise_floor_db", "caller_snr_db", "agent_rms_db"],
+    "bandwidth": ["caller_rolloff95_hz", "caller_centroid_hz", "caller_hf_ratio_db"],
+    "behavioural": ["median_response_latency_s", "std_response_latency_s", "overlap_s", "mean_caller_turn_s",
+                    "max_caller_turn_s", "n_caller_turns"],
+}

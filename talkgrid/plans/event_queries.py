@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.feature_sets import ALL_BEHAVIOUR, BEHAVIOUR_SETS
+from ..functions.feature_sets import ALL_BEHAVIOUR, BEHAVIOUR_SETS, SHORTCUT_SETS
 from ..operators import events as E
 from ..operators import intervals as I
 from .interval_queries import hyp, norm
@@ -244,3 +244,12 @@ def _(t):
 def _(t):
     s = I.segment_match_summary(I.segment_match(norm(t), hyp(t))).join(t.calls(), "call_id")
     return s.groupBy("split", "y").agg(F.avg("pairs").alias("mean_pairs"), F.avg("mean_iou").alias("mean_iou"), F.avg("onset_mae_s").alias("onset_mae_s"))
+
+
+@query("prj_16_shortcut_sets", f"""with l as (select call_id, max(end_ms)/1000.0::double as e, min(start_ms)/1000.0::double as s from d_norm where channel=0 group by call_id)
+  select call_id, {D / 1000}::double as duration_s, coalesce(s,{D / 1000}) as first_caller_start_s, {D / 1000} - coalesce(e,0) as trailing_silence_s from d_calls left join l using (call_id)""",
+       r="duration_s first_caller_start_s trailing_silence_s")
+def _(t):
+    s = I.turn_stats(norm(t), t.calls()).join(t.calls().select("call_id", "duration_s"), "call_id")
+    s = s.withColumn("trailing_silence_s", F.col("duration_s") - F.col("last_caller_end_s"))
+    return s.select("call_id", *SHORTCUT_SETS["duration+silence"])
