@@ -222,3 +222,22 @@ def test_hot_call_at_scale_of_the_fixture(spark, sf_dir):
     alone = E.behaviour_features(hot.where("call_id <> 999999"), calls.where("call_id <> 999999"))
     assert both.where("call_id <> 999999").exceptAll(alone).count() == 0
     assert both.where("call_id = 999999").count() == 1
+
+
+def test_spectra_and_descriptors_of_tones(spark):
+    t = np.arange(8000) / 8000
+    low, high = .5 * np.sin(2 * np.pi * 500 * t), .5 * np.sin(2 * np.pi * 3000 * t)
+    df = spark.createDataFrame([("a", bytearray(S.encode_recording(np.stack([low, high], axis=1))))], "call_id string, content binary")
+    sp = S.spectrum(df).cache()
+    st = {r.channel: r for r in S.spectral_stats(sp).collect()}
+    assert st[0].centroid_hz == pytest.approx(500, abs=10) and st[1].centroid_hz == pytest.approx(3000, abs=10)
+    assert st[0].rolloff95_hz == pytest.approx(500, abs=20) and st[0].hf_ratio_db < -40
+    edge = {r.channel: r.band_edge_hz for r in S.band_edge(sp).collect()}
+    assert edge[0] == pytest.approx(500, abs=40) and edge[1] == pytest.approx(3000, abs=40)
+    same = S.spectral_distance(sp, sp).collect()
+    assert all(r.distance_db == 0 for r in same)
+    d = {r.channel: r for r in S.descriptor_stats(S.frame_descriptors(df)).collect()}
+    assert d[0].zcr_mean == pytest.approx(2 * 500 / 8000, rel=.05) and d[1].zcr_mean == pytest.approx(2 * 3000 / 8000, rel=.05)
+    assert d[0].centroid_mean == pytest.approx(500, abs=15) and d[0].flatness_mean < .01
+    lv = {r.channel: r for r in S.level_stats(S.level_partials(df)).collect()}
+    assert lv[0].rms_db == pytest.approx(20 * np.log10(.5 / np.sqrt(2)), abs=.01) and abs(lv[0].channel_correlation) < .01
