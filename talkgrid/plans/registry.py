@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import ship_package
 from .tables import Tables, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,7 +28,12 @@ def query(name: str, sql: str | None = None, r: str = ""):
     def register(fn: Callable[[Tables], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = lambda spark, sf_dir: rounded(fn(Tables(spark, sf_dir)))
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return rounded(fn(Tables(spark, sf_dir)))
+
+        QUERIES[name] = run
         if sql:
             body = with_views(sql)
             if r:
