@@ -48,7 +48,8 @@ def running_verdict(chunks: DataFrame, delay: str = "10 minutes", a: float = 1.0
                 conf = p >= hi or p <= lo
                 rows.append((key[0], n, round(en, 2), round(speech, 2), round(p, 4), conf, conf and not sure, False))
                 sure = sure or conf
-            yield pd.DataFrame(rows, columns=names)
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
         held = sorted(early)
         state.update((n, acc, speech, sure, last, p, held, [early[c][0] for c in held], [early[c][1] for c in held], [early[c][2] for c in held]))
         state.setTimeoutTimestamp(max(newest + wait_ms, state.getCurrentWatermarkMs() + 1))
