@@ -112,25 +112,33 @@ class Toxicity:
         return 1 / (1 + np.exp(-np.clip(w[0] + self.features(texts) @ w[1:], -50, 50)))
 
 
-def _surroundings(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _surroundings(texts: list[bytes], chunk: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
     """Every byte sequence of ``GRAM`` bytes, as a number, with the count of different surroundings it occurs in."""
-    a = np.frombuffer((b"\0" * (SIDE + GRAM)).join([b"", *texts, b""]), np.uint8)
-    a = np.where((a >= 9) & (a <= 13), 32, a).astype(np.uint64)
-    n = len(a) - GRAM + 1
-    gram, ok = np.zeros(max(n, 0), np.uint64), np.ones(max(n, 0), bool)
-    if n <= 0:
-        return gram, np.zeros(0, np.int64)
-    for j in range(GRAM):
-        gram = (gram << np.uint64(8)) | a[j:n + j]
-        ok &= a[j:n + j] != 0
-    at = np.flatnonzero(ok)
-    around = np.zeros(len(at), np.uint64)
-    for j in (*range(-SIDE, 0), *range(GRAM, GRAM + SIDE)):
-        around = around * np.uint64(1099511628211) + a[at + j]
-    around = (around ^ (around >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    gram = gram[at]
-    first = np.unique(gram * np.uint64(0x9E3779B97F4A7C15) ^ (around >> np.uint64(3)), return_index=True)[1]
-    return np.unique(gram[first], return_counts=True)
+    both, part, size = [], [], 0
+    for last, t in zip([False] * len(texts) + [True], [*texts, b""]):
+        part.append(t)
+        size += len(t)
+        if size < chunk and not last:
+            continue
+        a = np.frombuffer((b"\0" * (SIDE + GRAM)).join([b"", *part, b""]), np.uint8)
+        a = np.where((a >= 9) & (a <= 13), 32, a).astype(np.uint64)
+        n = len(a) - GRAM + 1
+        gram, ok = np.zeros(n, np.uint64), np.ones(n, bool)
+        for j in range(GRAM):
+            gram = (gram << np.uint64(8)) | a[j:n + j]
+            ok &= a[j:n + j] != 0
+        at = np.flatnonzero(ok)
+        around = np.zeros(len(at), np.uint64)
+        for j in (*range(-SIDE, 0), *range(GRAM, GRAM + SIDE)):
+            around = around * np.uint64(1099511628211) + a[at + j]
+        around = (around ^ (around >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        both.append(np.unique((gram[at] << np.uint64(24)) | (around >> np.uint64(40))))
+        part, size = [], 0
+    pairs = np.concatenate(both)
+    del both
+    pairs.sort()
+    fresh = np.concatenate((np.ones(min(len(pairs), 1), bool), pairs[1:] != pairs[:-1]))
+    return np.unique(pairs[fresh] >> np.uint64(24), return_counts=True)
 
 
 def _passages(toxic: list[bytes], ordinary: list[bytes], least: int, odds: float) -> list[bytes]:
@@ -183,7 +191,7 @@ def _newton(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def fit_toxicity(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", max_docs: int = 4000, max_bytes: int = 8 << 20,
+def fit_toxicity(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", max_docs: int = 4000, max_bytes: int = 3 << 20,
                  dictionary: int = 16384, least: int = 4, odds: float = 6.0) -> Toxicity:
     """Fits on at most ``max_docs`` texts and ``max_bytes`` of each class (ordinary: twice as many), picked by a hash of ``key``.
 
