@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import free_name, per_batch, table, text_bytes, text_or_empty, word_bounds
+from .common import free_name, per_batch, table, text_bytes, text_or_empty, word_bounds, written
 
 GRAM = 5
 SIDE = 6
@@ -191,19 +191,24 @@ def _newton(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def fit_toxicity(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", max_docs: int = 4000, max_bytes: int = 3 << 20,
+def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", max_docs: int = 4000, max_bytes: int = 3 << 20,
                  dictionary: int = 16384, least: int = 4, odds: float = 6.0) -> Toxicity:
-    """Fits on at most ``max_docs`` texts and ``max_bytes`` of each class (ordinary: twice as many), picked by a hash of ``key``.
+    """Fits on at most ``max_docs`` labelled texts and ``max_bytes`` of each class (ordinary: twice as many), picked by a hash of ``key``.
 
-    Three quarters train the dictionaries, one quarter calibrates. Labels other than 0 and 1 are left out. Without a
-    text of either class the model scores every text alike, at a low score.
+    Three quarters train the dictionaries, one quarter calibrates. A document labelled more than once takes the larger
+    label; labels other than 0 and 1, labels without a document and empty texts are left out. Without a text of either class the model
+    scores every text alike, at a low score. The picked ids are a broadcast of at most three times ``max_docs`` rows; the texts are read in one scan.
     """
     import zstandard as z
-    f = labelled.select(F.col(key).cast("string").alias("k"), F.col(label).cast("int").alias("y"), text_or_empty(text).alias("x"))
+    once = labels.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(F.col(label).cast("int")).alias("y"))
+    once = once.withColumn("h", F.xxhash64(F.lit(7), F.col("k").cast("string")))
+    picked = [once.where(F.col("y") == y).orderBy("h", "k").limit(n) for y, n in ((1, max_docs), (0, 2 * max_docs))]
+    texts = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("x")).where(F.col("x") != "").join(F.broadcast(picked[0].unionByName(picked[1])), "k")
+    texts = written(texts.select("y", "h", "x"), "labelled")
     parts = {}
     for y, times in ((1, 1), (0, 2)):
-        rows = f.where((F.col("y") == y) & (F.col("x") != "")).select("x", F.xxhash64(F.lit(7), F.coalesce("k", F.lit(""))).alias("h"))
-        rows = rows.orderBy("h", "x").limit(max_docs * times)
+        # repeated ids come again, so the limit holds here too
+        rows = texts.where(F.col("y") == y).orderBy("h", "x").limit(max_docs * times)
         got, used = [], 0
         for r in rows.select("x").toLocalIterator():
             got.append(r.x.encode().lower())
@@ -249,12 +254,6 @@ def score_toxicity(docs: DataFrame, model: Toxicity, text: str = "text", output:
     return held.withColumn(work, text_or_empty(text)).mapInArrow(per_batch(run, 512), schema)
 
 
-def labelled_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Whole texts with their label; a document labelled more than once takes the larger label, null labels are left out."""
-    y = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").join(y, "doc_id")
-
-
 def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
 
@@ -262,6 +261,6 @@ def held_out():
 def op6_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out())
-    model = fit_toxicity(labelled_documents(docs, labels))
+    model = fit_toxicity(docs, labels)
     scored = score_toxicity(docs, model).drop("text")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
