@@ -1,9 +1,19 @@
 """The registered queries of this subpackage and, where SQL can express one, the SQL it must agree with."""
 
+from .binary import op8_query
+from .exactdedup import OP10_SQL, op10_query
+from .mixing import op7_query
+from .pieces import op3_query
 from .toxicity import op6_query
 
 QUERIES = {
+    "op3_sentencepiece": op3_query,
     "op6_toxicity": op6_query,
+    "op7_mixing": op7_query,
+    "op8_arrow_sequences": op8_query,
+    "op10_exact_dedup": op10_query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_exact_dedup": OP10_SQL,
+}
