@@ -1,12 +1,16 @@
 """The registered queries of this subpackage and, where SQL can express one, the SQL it must agree with."""
 
 from .binary import op8_query
+from .chat import op1_query
 from .exactdedup import OP10_SQL, op10_query
 from .mixing import op7_query
 from .pieces import op3_query
+from .pii import op2_query
 from .toxicity import op6_query
 
 QUERIES = {
+    "op1_chat_format": op1_query,
+    "op2_pii": op2_query,
     "op3_sentencepiece": op3_query,
     "op6_toxicity": op6_query,
     "op7_mixing": op7_query,
