@@ -4,6 +4,7 @@ from .binary import op8_query
 from .chat import op1_query
 from .exactdedup import OP10_SQL, op10_query
 from .mixing import op7_query
+from .neardedup import op5_query
 from .pieces import op3_query
 from .pii import op2_query
 from .toxicity import op6_query
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_chat_format": op1_query,
     "op2_pii": op2_query,
     "op3_sentencepiece": op3_query,
+    "op5_minhash": op5_query,
     "op6_toxicity": op6_query,
     "op7_mixing": op7_query,
     "op8_arrow_sequences": op8_query,
