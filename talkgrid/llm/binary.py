@@ -3,7 +3,7 @@
 Texts are encoded with a public tokenizer, an end id follows each, and the ids are written in ascending id order
 (rows without an id last, equal ids by text) to Arrow IPC files: one fixed-size list of ``length`` ids and one of
 ``length`` mask bits per sequence, in record batches of a fixed number of sequences. A memory-mapped reader finds
-sequence ``i`` by arithmetic, without copying. The last sequence of a file is filled up with zeros whose mask is 0.
+sequence ``i`` by arithmetic, without copying. Ids are 16 bits wide where the vocabulary allows, else 32. The last sequence of a file is filled up with zeros whose mask is 0.
 Next to each file lies its index, one row per text, so a text is found by its place in the stream.
 
 Every file is written by one task under a name of its own and renamed when complete; a repeated task writes the same
@@ -24,11 +24,13 @@ from .common import new_folder, table, text_or_empty
 from .pieces import model_bytes
 from .unitcache import UnitCache
 
-ID = pa.uint32()
+def id_type(vocabulary: int) -> pa.DataType:
+    """The narrowest unsigned type that holds every id."""
+    return pa.uint16() if vocabulary <= 1 << 16 else pa.uint32()
 
 
-def _sequence_schema(length: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.field("item", ID, nullable=False), length)), ("mask", pa.list_(pa.field("item", pa.bool_(), nullable=False), length))])
+def _sequence_schema(length: int, kind: pa.DataType) -> pa.Schema:
+    return pa.schema([("ids", pa.list_(pa.field("item", kind, nullable=False), length)), ("mask", pa.list_(pa.field("item", pa.bool_(), nullable=False), length))])
 
 
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -50,6 +52,7 @@ def byte_encoder(model: bytes) -> UnitCache:
             return out
 
         _ENCODERS[key] = UnitCache(encode)
+        _ENCODERS[key].vocabulary = t.get_vocab_size()
     return _ENCODERS[key]
 
 
@@ -61,9 +64,10 @@ def _open(folder: str):
 class SequenceWriter:
     """Writes ids to one file, ``rows`` sequences a batch; holds at most one batch."""
 
-    def __init__(self, filesystem, path: str, length: int, rows: int):
+    def __init__(self, filesystem, path: str, length: int, rows: int, kind: pa.DataType):
         self.fs, self.path, self.length, self.rows = filesystem, path, length, rows
-        self.schema = _sequence_schema(length)
+        self.kind = kind
+        self.schema = _sequence_schema(length, kind)
         self.draft = f"{path}.{uuid.uuid4().hex}"
         self.sink = filesystem.open_output_stream(self.draft)
         self.file = pa.ipc.new_file(self.sink, self.schema)
@@ -84,7 +88,7 @@ class SequenceWriter:
 
     def _batch(self, flat: np.ndarray, real: int) -> None:
         mask = np.arange(len(flat)) < real
-        arrays = [pa.FixedSizeListArray.from_arrays(pa.array(v, k), type=f.type) for v, k, f in ((flat, ID, self.schema.field(0)), (mask, pa.bool_(), self.schema.field(1)))]
+        arrays = [pa.FixedSizeListArray.from_arrays(pa.array(v, k), type=f.type) for v, k, f in ((flat.astype(self.kind.to_pandas_dtype(), copy=False), self.kind, self.schema.field(0)), (mask, pa.bool_(), self.schema.field(1)))]
         self.file.write_batch(pa.RecordBatch.from_arrays(arrays, schema=self.schema))
 
     def close(self) -> None:
@@ -143,6 +147,7 @@ def write_sequences(docs: DataFrame, folder: str, model_path: str, text: str = "
 
     def run(batches):
         filesystem, root = _open(folder)
+        encoder = byte_encoder(sent.value)
         data = index = None
         texts = 0
         for whole in batches:
@@ -151,11 +156,11 @@ def write_sequences(docs: DataFrame, folder: str, model_path: str, text: str = "
                 if data is None:
                     filesystem.create_dir(root, recursive=True)
                     name = f"part-{b.column(2)[0].as_py():06d}"
-                    data = SequenceWriter(filesystem, f"{root}/{name}.arrow", length, rows)
+                    data = SequenceWriter(filesystem, f"{root}/{name}.arrow", length, rows, id_type(max(encoder.vocabulary, end_id + 1)))
                     index_draft = f"{root}/{name}.index.{uuid.uuid4().hex}"
                     index_sink = filesystem.open_output_stream(index_draft)
                     index = pa.ipc.new_file(index_sink, INDEX)
-                got = [np.frombuffer(g + end_id.to_bytes(4, "little"), np.uint32) for g in byte_encoder(sent.value).texts(b.column(1).to_pylist())]
+                got = [np.frombuffer(g + end_id.to_bytes(4, "little"), np.uint32) for g in encoder.texts(b.column(1).to_pylist())]
                 sizes = np.array([len(g) for g in got], np.int64)
                 starts = data.total + np.cumsum(sizes) - sizes
                 index.write_batch(pa.RecordBatch.from_arrays([b.column(0), pa.array(starts), pa.array(sizes)], schema=INDEX))
