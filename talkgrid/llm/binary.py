@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import new_folder, table, text_or_empty
+from .common import new_folder, pieces_of_batch, table, text_or_empty
 from .pieces import model_bytes
 from .unitcache import UnitCache
 
@@ -151,8 +151,7 @@ def write_sequences(docs: DataFrame, folder: str, model_path: str, text: str = "
         data = index = None
         texts = 0
         for whole in batches:
-            for i in range(0, whole.num_rows, 256):
-                b = whole.slice(i, 256)
+            for b in pieces_of_batch(whole, 256):
                 if data is None:
                     filesystem.create_dir(root, recursive=True)
                     name = f"part-{b.column(2)[0].as_py():06d}"

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import checkpoint_dir, ship_package
@@ -45,13 +46,30 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def pieces_of_batch(b: pa.RecordBatch, rows: int, size: int = 1 << 20):
+    """Slices of at most ``rows`` rows whose columns of varying length hold about ``size`` bytes; a longer row comes alone."""
+    total = np.zeros(b.num_rows, np.int64)
+    for c in b.columns:
+        if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type):
+            total += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+        elif pa.types.is_list(c.type):
+            total += 8 * pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(total)
+    i = 0
+    while i < b.num_rows:
+        before = int(ends[i - 1]) if i else 0
+        j = max(i + 1, min(i + rows, int(np.searchsorted(ends, before + size, "right"))))
+        yield b.slice(i, j - i)
+        i = j
+
+
 def per_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], rows: int = 1024):
-    """A ``mapInArrow`` function that hands ``fn`` at most ``rows`` rows at a time, so that results stay small."""
+    """A ``mapInArrow`` function that hands ``fn`` small pieces of a batch, so that memory does not follow its longest texts."""
 
     def run(batches):
         for b in batches:
-            for i in range(0, b.num_rows, rows):
-                out = fn(b.slice(i, rows))
+            for part in pieces_of_batch(b, rows):
+                out = fn(part)
                 if out is not None:
                     yield out
 

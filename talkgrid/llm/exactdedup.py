@@ -102,7 +102,7 @@ def exact_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", c
 
     per_key = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("keep_id"), F.min("sha").alias("sha")), "keys")
     directory = build_directory(per_key.select("key"), capacity)
-    depths = [r.depth for r in directory.select("depth").distinct().orderBy("depth").limit(65).collect()]  # 0 to 64
+    depths = [r.depth for r in directory.select("depth").distinct().orderBy("depth").limit(65).collect()] or [0]  # 0 to 64
 
     def in_bucket(d: DataFrame) -> DataFrame:
         # a key lies in the bucket of whichever depth is in use for its range

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import free_name, mix64, per_batch, table, text_bytes, text_or_empty, uniform, word_bounds, written
+from .common import free_name, mix64, per_batch, pieces_of_batch, table, text_bytes, text_or_empty, uniform, word_bounds, written
 
 
 def gram_buckets(texts: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -42,8 +42,8 @@ def gram_counts(docs: DataFrame, buckets: int, text: str = "text") -> np.ndarray
     def run(batches):
         total = np.zeros(buckets, np.int64)
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                total += np.bincount(gram_buckets(b.slice(i, 256).column(0), buckets)[0], minlength=buckets)
+            for part in pieces_of_batch(b, 256):
+                total += np.bincount(gram_buckets(part.column(0), buckets)[0], minlength=buckets)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["b", "n"])
 

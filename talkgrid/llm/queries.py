@@ -25,6 +25,5 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
-    "op9_importance": op9_query,
     "op10_exact_dedup": OP10_SQL,
 }

@@ -38,7 +38,7 @@ class Toxicity:
     window: int = 8
     step: int = 7
     longest: int = 512
-    weights: list[float] = field(default_factory=lambda: [-6.0, 1.0, 0.0, 0.0, 0.0])
+    weights: list[float] = field(default_factory=lambda: [-6.0, 1.0, 0.0, 0.0, 0.0, 0.0])
 
     def _compressors(self):
         import zstandard as z
