@@ -12,12 +12,14 @@ bytes again. ``pyarrow.fs`` opens the folder, so it may lie in any store that it
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import new_folder, pieces_of_batch, table, text_or_empty
@@ -35,6 +37,9 @@ def _sequence_schema(length: int, kind: pa.DataType) -> pa.Schema:
 
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 _ENCODERS: dict[int, UnitCache] = {}
+#: The byte-level pre-tokenizer and the pattern it stands for.
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+GPT_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def byte_encoder(model: bytes) -> UnitCache:
@@ -51,7 +56,16 @@ def byte_encoder(model: bytes) -> UnitCache:
                 out.extend(np.array(e.ids, np.uint32).tobytes() for e in t.encode_batch(units[i:i + 2048], add_special_tokens=False))
             return out
 
-        _ENCODERS[key] = UnitCache(encode)
+        # where the tokenizer itself cuts before it merges; a special token is looked for in the whole unit
+        pattern = regex.compile(GPT_SPLIT)
+        special = [x.content for x in t.get_added_tokens_decoder().values()]
+
+        def cut(unit: str) -> list[str]:
+            return [unit] if any(x in unit for x in special) else pattern.findall(unit)
+
+        plain = json.loads(model)
+        plain = plain.get("normalizer") is None and plain.get("pre_tokenizer") == BYTE_LEVEL
+        _ENCODERS[key] = UnitCache(encode, cut=cut if plain else None)
         _ENCODERS[key].vocabulary = t.get_vocab_size()
     return _ENCODERS[key]
 

@@ -15,16 +15,53 @@ SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
 class UnitCache:
-    """``encode(units) -> list of bytes``; a unit is a word with the space before it, or the first word of a text."""
+    """``encode(units) -> list of bytes``; a unit is a word with the space before it, or the first word of a text.
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 400_000):
-        self.encode, self.limit = encode, limit
+    ``cut(unit)`` may name parts of a unit that are encoded apart, for a word with a comma is rarer than the word. When the cache is
+    full it becomes the old one, from which words still in use move to the new.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 400_000, cut: Callable[[str], list[str]] | None = None):
+        self.encode, self.limit, self.cut = encode, limit, cut
         self.inner: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _learn(self, words: list[str]) -> None:
+        """Fills the cache for words that stand after a space."""
+        inner, old = self.inner, self.old
+        if old:
+            rest = []
+            for w in words:
+                got = old.get(w)
+                if got is None:
+                    rest.append(w)
+                else:
+                    inner[w] = got
+            words = rest
+        if self.cut is None:
+            inner.update(zip(words, self.encode([" " + w for w in words])))
+            return
+        parts = self.parts
+        if len(parts) > self.limit:
+            parts.clear()
+        made = [(w, [" " + w] if w.isalpha() else self.cut(" " + w)) for w in words]
+        # only words without white space at their ends may enter the cache of words
+        word = lambda p: p[0] == " " and p[1:] != "" and p[1:].strip() == p[1:]
+        todo = list({p: None for _, ps in made for p in ps if p not in parts and not (word(p) and p[1:] in inner)})
+        for p, got in zip(todo, self.encode(todo)):
+            if word(p):
+                inner[p[1:]] = got
+            else:
+                parts[p] = got
+        for w, ps in made:
+            if len(ps) > 1:
+                inner[w] = b"".join([inner[p[1:]] if word(p) else parts[p] for p in ps])
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes."""
         if len(self.inner) > self.limit:
-            self.inner.clear()
+            self.old, self.inner = self.inner, {}
         inner = self.inner
         split = []
         new: dict[str, None] = {}
@@ -55,8 +92,7 @@ class UnitCache:
             if len(parts) > 1:
                 edges[" " + parts[-1]] = None
             split.append((parts, middle))
-        todo = list(new)
-        inner.update(zip(todo, self.encode([" " + w for w in todo])))
+        self._learn(list(new))
         ends = list(edges)
         outer = dict(zip(ends, self.encode(ends)))
         out = []
