@@ -16,6 +16,7 @@ import json
 import os
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -60,12 +61,20 @@ def byte_encoder(model: bytes) -> UnitCache:
         pattern = regex.compile(GPT_SPLIT)
         special = [x.content for x in t.get_added_tokens_decoder().values()]
 
-        def cut(unit: str) -> list[str]:
-            return [unit] if any(x in unit for x in special) else pattern.findall(unit)
+        def cut(unit: str) -> list[str] | None:
+            return None if any(x in unit for x in special) else pattern.findall(unit)
+
+        # bytes as the letters that the library's byte-level models are written in
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
+        tokenize = t.model.tokenize
+
+        def part(unit: str) -> bytes:
+            return array("I", [x.id for x in tokenize(unit.encode().decode("latin-1").translate(letters))]).tobytes()
 
         plain = json.loads(model)
         plain = plain.get("normalizer") is None and plain.get("pre_tokenizer") == BYTE_LEVEL
-        _ENCODERS[key] = UnitCache(encode, cut=cut if plain else None)
+        _ENCODERS[key] = UnitCache(encode, cut=cut if plain else None, part=part)
         _ENCODERS[key].vocabulary = t.get_vocab_size()
     return _ENCODERS[key]
 
