@@ -1,36 +1,10 @@
-"""Named column lists; a model only ever sees one of these, never a metadata column.
-
-A set is families of columns put together, less the columns a name pattern rules out.
-"""
+"""Named column lists; a model only ever sees one of these, never a metadata column."""
 
 from __future__ import annotations
 
-from fnmatch import fnmatch
-
-from .fixed import CONSISTENCY, GLOBAL, REACTION, SHORTCUT_COLUMNS, TEMPORAL
-
-FAMILIES = {"global": GLOBAL, "temporal": TEMPORAL, "reaction": REACTION, "consistency": CONSISTENCY}
-INTERACTION = ("temporal", "reaction", "consistency")
-
-# set name -> (families in it, pattern of columns left out)
-COMPOSITION: dict[str, tuple[tuple[str, ...], str | None]] = {
-    "shortcut": (("global",), None),
-    "temporal": (("temporal",), None),
-    "reaction": (("temporal", "reaction"), None),
-    "consistency": (INTERACTION, None),
-    "reaction_only": (("reaction", "consistency"), None),
-    "no_counts": (INTERACTION, "*_count"),
-    "no_agent": (INTERACTION, "agent_turn_*"),
-    "with_global": (("global", *INTERACTION), None),
-}
-
-
-def columns_of(families: tuple[str, ...], left_out: str | None = None) -> list[str]:
-    return [c for family in families for c in FAMILIES[family] if left_out is None or not fnmatch(c, left_out)]
-
+from .fixed import ALL_TRIVIAL, BEHAVIOUR_SETS, SHORTCUT_COLUMNS
 
-BEHAVIOUR_SETS: dict[str, list[str]] = {"dummy": GLOBAL[:1]} | {name: columns_of(*parts) for name, parts in COMPOSITION.items()}
 ALL_BEHAVIOUR = BEHAVIOUR_SETS["with_global"]
 
 #: what an audit of trivial cues fits on: each group alone, and all of them
-SHORTCUT_SETS: dict[str, list[str]] = SHORTCUT_COLUMNS | {"all_trivial": sorted(set().union(*SHORTCUT_COLUMNS.values()))}
+SHORTCUT_SETS: dict[str, list[str]] = {**SHORTCUT_COLUMNS, "all_trivial": ALL_TRIVIAL}

@@ -72,3 +72,81 @@ SHORTCUT_COLUMNS = {
     "behavioural": ["median_response_latency_s", "std_response_latency_s", "overlap_s", "mean_caller_turn_s",
                     "max_caller_turn_s", "n_caller_turns"],
 }
+
+# --- fixed values: the feature sets that models are compared on ----------------------------
+BEHAVIOUR_SETS: dict[str, list[str]] = {
+    "dummy": [
+        "duration_s"],
+    "shortcut": [
+        "duration_s", "caller_speech_s", "agent_speech_s", "silence_s", "overlap_s", "caller_proportion", "leading_silence_s",
+        "trailing_silence_s", "caller_turn_count", "agent_turn_count"],
+    "temporal": [
+        "caller_turn_mean", "caller_turn_median", "caller_turn_std", "caller_turn_iqr", "agent_turn_mean", "agent_turn_median",
+        "caller_pause_median", "response_latency_count", "response_latency_mean", "response_latency_median"],
+    "reaction": [
+        "caller_turn_mean", "caller_turn_median", "caller_turn_std", "caller_turn_iqr", "agent_turn_mean", "agent_turn_median",
+        "caller_pause_median", "response_latency_count", "response_latency_mean", "response_latency_median", "interruption_count",
+        "interruption_rate", "interruption_stop_latency_mean", "interruption_stop_latency_median", "interruption_yield_fraction",
+        "interruption_immediate_yield_fraction", "recovery_latency_count", "recovery_latency_mean", "recovery_gap_mean",
+        "immediate_retake_fraction", "barge_in_count", "barge_in_rate", "barge_overlap_mean", "barge_continues_fraction",
+        "extended_gap_count", "extended_gap_caller_fraction"],
+    "consistency": [
+        "caller_turn_mean", "caller_turn_median", "caller_turn_std", "caller_turn_iqr", "agent_turn_mean", "agent_turn_median",
+        "caller_pause_median", "response_latency_count", "response_latency_mean", "response_latency_median", "interruption_count",
+        "interruption_rate", "interruption_stop_latency_mean", "interruption_stop_latency_median", "interruption_yield_fraction",
+        "interruption_immediate_yield_fraction", "recovery_latency_count", "recovery_latency_mean", "recovery_gap_mean",
+        "immediate_retake_fraction", "barge_in_count", "barge_in_rate", "barge_overlap_mean", "barge_continues_fraction",
+        "extended_gap_count", "extended_gap_caller_fraction", "response_latency_std", "response_latency_iqr",
+        "response_latency_cv", "interruption_stop_latency_std", "interruption_stop_latency_iqr", "interruption_stop_latency_cv",
+        "recovery_latency_std", "recovery_latency_iqr", "recovery_latency_cv", "barge_overlap_std", "barge_overlap_iqr",
+        "barge_overlap_cv", "reaction_entropy", "short_context_response_std", "long_context_response_std"],
+    "reaction_only": [
+        "interruption_count", "interruption_rate", "interruption_stop_latency_mean", "interruption_stop_latency_median",
+        "interruption_yield_fraction", "interruption_immediate_yield_fraction", "recovery_latency_count", "recovery_latency_mean",
+        "recovery_gap_mean", "immediate_retake_fraction", "barge_in_count", "barge_in_rate", "barge_overlap_mean",
+        "barge_continues_fraction", "extended_gap_count", "extended_gap_caller_fraction", "response_latency_std",
+        "response_latency_iqr", "response_latency_cv", "interruption_stop_latency_std", "interruption_stop_latency_iqr",
+        "interruption_stop_latency_cv", "recovery_latency_std", "recovery_latency_iqr", "recovery_latency_cv",
+        "barge_overlap_std", "barge_overlap_iqr", "barge_overlap_cv", "reaction_entropy", "short_context_response_std",
+        "long_context_response_std"],
+    "no_counts": [
+        "caller_turn_mean", "caller_turn_median", "caller_turn_std", "caller_turn_iqr", "agent_turn_mean", "agent_turn_median",
+        "caller_pause_median", "response_latency_mean", "response_latency_median", "interruption_rate",
+        "interruption_stop_latency_mean", "interruption_stop_latency_median", "interruption_yield_fraction",
+        "interruption_immediate_yield_fraction", "recovery_latency_mean", "recovery_gap_mean", "immediate_retake_fraction",
+        "barge_in_rate", "barge_overlap_mean", "barge_continues_fraction", "extended_gap_caller_fraction", "response_latency_std",
+        "response_latency_iqr", "response_latency_cv", "interruption_stop_latency_std", "interruption_stop_latency_iqr",
+        "interruption_stop_latency_cv", "recovery_latency_std", "recovery_latency_iqr", "recovery_latency_cv",
+        "barge_overlap_std", "barge_overlap_iqr", "barge_overlap_cv", "reaction_entropy", "short_context_response_std",
+        "long_context_response_std"],
+    "no_agent": [
+        "caller_turn_mean", "caller_turn_median", "caller_turn_std", "caller_turn_iqr", "caller_pause_median",
+        "response_latency_count", "response_latency_mean", "response_latency_median", "interruption_count", "interruption_rate",
+        "interruption_stop_latency_mean", "interruption_stop_latency_median", "interruption_yield_fraction",
+        "interruption_immediate_yield_fraction", "recovery_latency_count", "recovery_latency_mean", "recovery_gap_mean",
+        "immediate_retake_fraction", "barge_in_count", "barge_in_rate", "barge_overlap_mean", "barge_continues_fraction",
+        "extended_gap_count", "extended_gap_caller_fraction", "response_latency_std", "response_latency_iqr",
+        "response_latency_cv", "interruption_stop_latency_std", "interruption_stop_latency_iqr", "interruption_stop_latency_cv",
+        "recovery_latency_std", "recovery_latency_iqr", "recovery_latency_cv", "barge_overlap_std", "barge_overlap_iqr",
+        "barge_overlap_cv", "reaction_entropy", "short_context_response_std", "long_context_response_std"],
+    "with_global": [
+        "duration_s", "caller_speech_s", "agent_speech_s", "silence_s", "overlap_s", "caller_proportion", "leading_silence_s",
+        "trailing_silence_s", "caller_turn_count", "agent_turn_count", "caller_turn_mean", "caller_turn_median",
+        "caller_turn_std", "caller_turn_iqr", "agent_turn_mean", "agent_turn_median", "caller_pause_median",
+        "response_latency_count", "response_latency_mean", "response_latency_median", "interruption_count", "interruption_rate",
+        "interruption_stop_latency_mean", "interruption_stop_latency_median", "interruption_yield_fraction",
+        "interruption_immediate_yield_fraction", "recovery_latency_count", "recovery_latency_mean", "recovery_gap_mean",
+        "immediate_retake_fraction", "barge_in_count", "barge_in_rate", "barge_overlap_mean", "barge_continues_fraction",
+        "extended_gap_count", "extended_gap_caller_fraction", "response_latency_std", "response_latency_iqr",
+        "response_latency_cv", "interruption_stop_latency_std", "interruption_stop_latency_iqr", "interruption_stop_latency_cv",
+        "recovery_latency_std", "recovery_latency_iqr", "recovery_latency_cv", "barge_overlap_std", "barge_overlap_iqr",
+        "barge_overlap_cv", "reaction_entropy", "short_context_response_std", "long_context_response_std"],
+}
+
+# --- fixed values: the trivial cues taken together ------------------------------------------
+ALL_TRIVIAL = [
+    "agent_rms_db", "agent_speech_s", "caller_centroid_hz", "caller_clipping_fraction", "caller_hf_ratio_db",
+    "caller_noise_floor_db", "caller_peak", "caller_rms_db", "caller_rolloff95_hz", "caller_snr_db", "caller_speech_fraction",
+    "caller_speech_rms_db", "caller_speech_s", "duration_s", "first_caller_start_s", "max_caller_turn_s", "mean_caller_turn_s",
+    "median_response_latency_s", "n_agent_turns", "n_caller_turns", "n_chunks", "overlap_s", "std_response_latency_s",
+    "trailing_silence_s"]

@@ -17,12 +17,15 @@ BLK = "__blk"
 
 
 def value_block(value: Column, bits: int = 14) -> Column:
-    """Monotone block number of a double: ``2**bits`` blocks per power of two, nothing to sample."""
+    """Monotone block number of a double: ``2**bits`` blocks per power of two, nothing to sample; infinities have blocks of their own."""
     a = F.abs(value.cast("double"))
-    e = F.floor(F.log2(a))
+    finite = F.when(a < float("inf"), a)
+    e = F.floor(F.log2(finite))
     steps = 1 << bits
-    b = (e + F.lit(1100)) * F.lit(steps) + F.floor((a / F.pow(F.lit(2.0), e.cast("double")) - 1) * steps)
-    return F.when(a == 0, F.lit(0).cast("bigint")).when(value > 0, b).otherwise(-b)
+    b = (e + F.lit(1100)) * F.lit(steps) + F.floor((finite / F.pow(F.lit(2.0), e.cast("double")) - 1) * steps)
+    ends = F.lit(2200 * steps).cast("bigint")  # beyond the block of any finite value
+    return (F.when(a == 0, F.lit(0).cast("bigint")).when(value == float("inf"), ends).when(value == float("-inf"), -ends)
+            .when(value > 0, b).otherwise(-b))
 
 
 _FOLD = {"sum": F.sum, "sum<": F.sum, "max": F.max, "min": F.min, "total": F.sum, "total_max": F.max,
@@ -79,9 +82,10 @@ def cumulative(df: DataFrame, keys: Sequence[str], value: str, measures: dict[st
                bits: int = 14) -> DataFrame:
     """One row per distinct ``value`` with its measures, what lies below it (``cum_*``) and the key total (``tot_*``).
 
-    Ties collapse before anything is ordered, so a score shared by a third of the rows costs one row.
+    Ties collapse before anything is ordered, so a score shared by a third of the rows costs one row. NULL and NaN are missing.
     """
-    d = (df.where(F.col(value).isNotNull()).groupBy(*keys, value)
+    known = F.col(value).isNotNull() & ~F.coalesce(F.isnan(F.col(value).cast("double")), F.lit(False))
+    d = (df.where(known).groupBy(*keys, value)
          .agg(*[m.alias(n) for n, m in measures.items()]))
     specs = {f"cum_{n}": ("sum", n) for n in measures} | {f"tot_{n}": ("total", n) for n in measures}
     return scan(d, keys, value_block(F.col(value), bits), [value], specs, inclusive=False)
@@ -99,7 +103,8 @@ def interpolated(p: float | Column, value: str, n: str = "n", cum: str = "cum_n"
     lo = F.floor(pos)
     v_lo = at_position(lo, value, n, cum)
     v_hi = at_position(F.least(lo + 1, last), value, n, cum)
-    return v_lo + (v_hi - v_lo) * F.max(pos - lo)
+    part = F.max(pos - lo)
+    return F.when((part == 0) | (v_lo == v_hi), v_lo).otherwise(v_lo + (v_hi - v_lo) * part)  # infinities too
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:

@@ -269,8 +269,8 @@ def boundary_error(ref: DataFrame, hyp: DataFrame, within_ms: int = 100) -> Data
 # ------------------------------------------------------------------------------ chunks and packing
 
 def chunk_regions(regions: DataFrame, keys: Sequence[str] = CALL, chunk_ms: int = 4000, min_ms: int = 1000,
-                  max_chunks: int | None = 60) -> DataFrame:
-    """Disjoint regions cut into pieces that never cross a border; the first ``max_chunks`` of a call."""
+                  max_chunks: int | None = None) -> DataFrame:
+    """Disjoint regions cut into pieces that never cross a border; all of a call, or its first ``max_chunks``."""
     keys = list(keys)
     length = F.col("end_ms") - F.col("start_ms")
     pieces = regions.where(length >= min_ms).select(*keys, "start_ms", "end_ms", F.explode(
@@ -280,8 +280,9 @@ def chunk_regions(regions: DataFrame, keys: Sequence[str] = CALL, chunk_ms: int
     pieces = pieces.select(*keys, s.alias("start_ms"), e.alias("end_ms")).where(F.col("end_ms") - F.col("start_ms") >= min_ms)
     if max_chunks:
         w = W.partitionBy(*keys).orderBy("start_ms")
-        pieces = pieces.withColumn("chunk", F.row_number().over(w)).where(F.col("chunk") <= max_chunks)
-    return pieces
+        return pieces.withColumn("chunk", F.row_number().over(w)).where(F.col("chunk") <= max_chunks)
+    minute = F.floor(F.col("start_ms") / 60_000)
+    return scan(pieces.withColumn("__one", F.lit(1)), keys, minute, ["start_ms"], {"chunk": ("sum", "__one")}).drop("__one")
 
 
 def pack_segments(segs: DataFrame, keys: Sequence[str] = CALL, max_ms: int = 20_000) -> DataFrame:

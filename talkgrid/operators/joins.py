@@ -45,7 +45,7 @@ def with_parameters(df: DataFrame, params: Sequence[tuple], schema: str) -> Data
     return df.join(F.broadcast(df.sparkSession.createDataFrame(list(params), schema)))
 
 
-def matched_pairs(a: DataFrame, b: DataFrame, value: str, tolerance: float, id_col: str = "call_id", max_rounds: int = 200) -> DataFrame:
+def matched_pairs(a: DataFrame, b: DataFrame, value: str, tolerance: float, id_col: str = "call_id") -> DataFrame:
     """Pairs of nearest values within ``tolerance``, each row used once.
 
     Rounds of mutual best choice over the *distinct values* of both sides: equal values pair up
@@ -72,7 +72,7 @@ def matched_pairs(a: DataFrame, b: DataFrame, value: str, tolerance: float, id_c
         r = scan(x, ["all"], value_block(F.col("x")), ["x"], {"p0": ("last", "v0"), "p1": ("last", "v1")}, inclusive=False)
         return r.select("v", "l0", "l1", "o", F.when(F.col("l0") > 0, F.col("p1")).otherwise(F.col("p0")).alias("w"))
 
-    for _ in range(max_rounds):
+    while True:  # every round pairs at least the two nearest values, so it ends
         n = nearest(state, 1).unionByName(nearest(state, -1)).withColumn("d", F.abs(F.col("v") - F.col("w"))).where(F.col("d") <= tolerance)
         best = n.groupBy("v").agg(F.min_by("w", F.struct("d", "w")).alias("w"), F.max("l0").alias("l0"), F.max("l1").alias("l1"), F.max("o").alias("o"))
         l = best.where("l0 > 0").select(F.col("v").alias("va"), F.col("w").alias("vb"), F.col("l0").alias("na"), F.col("o").alias("oa"))
@@ -85,8 +85,6 @@ def matched_pairs(a: DataFrame, b: DataFrame, value: str, tolerance: float, id_c
         state = state.join(used, "v", "left").fillna(0, subset=["k"])
         less = lambda c: F.when(F.col(c) > 0, F.col(c) - F.col("k")).otherwise(0)
         state = state.select("v", less("l0").alias("l0"), less("l1").alias("l1"), (F.col("o") + F.col("k")).alias("o")).where("l0 + l1 > 0").checkpoint()
-    else:
-        raise RuntimeError(f"pairs still forming after {max_rounds} rounds")
 
     ranked = hash_rank(rows, ["side", "v"], "id", 0)
 

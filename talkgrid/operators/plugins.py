@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.scalar import hash_uniform
 from .scoring import AGGREGATIONS, call_scores
 
-LAYER_SCHEMA = "call_id bigint, key string, probability double, quality double, abstained boolean, scored boolean, reason string, latency_ms double"
+LAYER_SCHEMA = "call_id {kind}, key string, probability double, quality double, abstained boolean, scored boolean, reason string, latency_ms double"
 
 
 def layer(key: str, score: Callable[[pd.DataFrame], tuple[float, float]] | None) -> Callable[[DataFrame], DataFrame]:
@@ -39,7 +39,7 @@ def layer(key: str, score: Callable[[pd.DataFrame], tuple[float, float]] | None)
             blank = calls.select("call_id", F.lit(key).alias("key"), F.lit(0.5).alias("probability"), F.lit(0.0).alias("quality"), F.lit(True).alias("abstained"),
                                  F.lit(False).alias("scored"), F.lit("not available").alias("reason"), F.lit(0.0).alias("latency_ms"))
             return blank
-        return calls.mapInPandas(run, LAYER_SCHEMA)
+        return calls.mapInPandas(run, LAYER_SCHEMA.format(kind=calls.schema["call_id"].dataType.simpleString()))
 
     return apply
 

@@ -32,24 +32,76 @@ def progression(chunks: DataFrame, aggregation: str = "mean", a: float = 1.0, b:
     return _steps(r.withColumn("running", running), a, b, hi, lo)
 
 
-def prefix_progression(chunks: DataFrame, aggregation: str, a: float, b: float, hi: float, lo: float,
-                       max_chunks: int = 60) -> DataFrame:
-    """The same for order statistics, which no running sum gives: every prefix of a call aggregated on its own.
-
-    A call yields at most ``max_chunks`` chunks upstream; the prefixes of a longer one would grow
-    with the square of its length, so it is refused rather than cut.
+class _Ranks:
+    """Counts and sums over ranks that have come up so far; both queries and updates take logarithmic time."""
+
+    def __init__(self, n: int):
+        self.count, self.total = [0] * (n + 1), [0.0] * (n + 1)
+        self.top = 1 << max(n.bit_length() - 1, 0)
+
+    def add(self, rank: int, value: float) -> None:
+        i = rank + 1
+        while i < len(self.count):
+            self.count[i] += 1
+            self.total[i] += value
+            i += i & -i
+
+    def lowest(self, k: int) -> tuple[int, float]:
+        """The rank at 0-based sorted position ``k``, and the sum of the ``k`` values below it."""
+        at, left, below, step = 0, k, 0.0, self.top
+        while step:
+            if at + step < len(self.count) and self.count[at + step] <= left:
+                at += step
+                left -= self.count[at]
+                below += self.total[at]
+            step >>= 1
+        return at, below
+
+
+def running_order(scores: Sequence[float | None], aggregation: str) -> list[float | None]:
+    """Median, mean of the top quarter or trimmed mean of every prefix, in n log n steps; missing scores count for nothing."""
+    known = [i for i, x in enumerate(scores) if x is not None and x == x]
+    order = sorted(known, key=lambda i: scores[i])
+    values = [scores[i] for i in order]
+    rank = {i: r for r, i in enumerate(order)}
+    seen, n, out = _Ranks(len(order)), 0, []
+    for i, x in enumerate(scores):
+        if i in rank:
+            seen.add(rank[i], x)
+            n += 1
+        if not n:
+            out.append(None)
+        elif aggregation == "median":
+            lo, hi = (values[seen.lowest(k)[0]] for k in ((n - 1) // 2, n // 2))
+            out.append(lo + (hi - lo) * 0.5 if n % 2 == 0 else lo)
+        else:
+            cut = n - max(1, -(-n // 4)) if aggregation == "top25_mean" else n // 10
+            end = n if aggregation == "top25_mean" else n - cut
+            below = lambda k: seen.lowest(k)[1]
+            out.append((below(end) - below(cut)) / (end - cut))
+    return out
+
+
+def prefix_progression(chunks: DataFrame, aggregation: str, a: float, b: float, hi: float, lo: float) -> DataFrame:
+    """The same for order statistics, which no running sum gives: a call's scores, in order, go through a table of ranks.
+
+    One task holds the scores of one call (not its prefixes), so time is n log n and there is no limit on its length.
     """
-    from .scoring import call_scores
-    checked = F.when(F.col("chunk") > max_chunks, F.raise_error(F.lit(f"more than {max_chunks} chunks in a call"))).otherwise(F.col("chunk"))
-    c = chunks.withColumn("chunk", checked.cast("bigint"))
-    last = c.groupBy("call_id").agg(F.max("chunk").alias("last"))
-    p = c.join(last, "call_id").withColumn("step", F.explode(F.sequence("chunk", "last")))
-    p = p.withColumn("duration_s", F.col("end_s") - F.col("start_s"))
-    agg = call_scores(p, [aggregation], ["call_id", "step"]).withColumnRenamed(aggregation, "running")
-    speech = p.groupBy("call_id", "step").agg(F.sum("duration_s").alias("speech"))
-    own = c.select("call_id", F.col("chunk").alias("step"), "start_s", "end_s", "score")
-    j = own.join(agg, ["call_id", "step"]).join(speech, ["call_id", "step"])
-    return _steps(j.withColumn("chunk", F.col("step")).withColumn("n", F.col("step")), a, b, hi, lo)
+    import pandas as pd
+    if aggregation not in ("median", "top25_mean", "trimmed_mean"):
+        raise ValueError(f"unknown aggregation {aggregation!r}")
+    dur = F.col("end_s") - F.col("start_s")
+    c = chunks.select("call_id", F.col("chunk").cast("bigint").alias("chunk"), "start_s", "end_s", "score", dur.alias("dur"), F.lit(1).alias("one"))
+    kind = c.schema["call_id"].dataType.simpleString()
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("chunk", kind="stable")
+        got = running_order([None if pd.isna(x) else float(x) for x in t["score"]], aggregation)
+        return pd.DataFrame({"call_id": t["call_id"], "chunk": t["chunk"], "running": pd.array(got, "Float64")})
+
+    ranked = c.select("call_id", "chunk", "score").groupBy("call_id").applyInPandas(run, f"call_id {kind}, chunk bigint, running double")
+    r = scan(c, CALL, F.floor(F.col("chunk") / CHUNK_BLOCK), ["chunk"], {"n": ("sum", "one"), "speech": ("sum", "dur")})
+    return _steps(r.join(ranked, ["call_id", "chunk"]), a, b, hi, lo)
 
 
 def _steps(r: DataFrame, a, b, hi, lo) -> DataFrame:

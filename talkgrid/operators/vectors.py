@@ -11,13 +11,23 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.ordered import hash_rank
 
 BLOCK = 2048
 
 
+def _kind(calls: DataFrame) -> str:
+    """The SQL type of the caller's ids."""
+    return calls.schema["call_id"].dataType.simpleString()
+
+
+def _nearest(key: str) -> Column:
+    """Aggregate: the smallest ``key`` among the rows of the largest similarity."""
+    return F.min_by(key, F.struct(-F.col("similarity"), F.col(key)))
+
+
 def _stack(v: pd.Series) -> np.ndarray:
     return np.array(v.tolist(), dtype=np.float64)
 
@@ -69,8 +79,8 @@ def nearest_train_neighbour(calls: DataFrame, rows: int = BLOCK) -> DataFrame:
         return pd.DataFrame({"call_id": a["call_id"], "y": a["y"], "neighbour": b["call_id"].to_numpy()[best],
                              "similarity": s[np.arange(len(a)), best]})
 
-    m = block_pairs(q, t, ["y"], None, kernel, "call_id bigint, y int, neighbour bigint, similarity double")
-    return m.groupBy("call_id", "y").agg(F.max_by("neighbour", F.struct("similarity", -F.col("neighbour"))).alias("neighbour"),
+    m = block_pairs(q, t, ["y"], None, kernel, f"call_id {_kind(calls)}, y int, neighbour {_kind(calls)}, similarity double")
+    return m.groupBy("call_id", "y").agg(_nearest("neighbour").alias("neighbour"),
                                          F.max("similarity").alias("similarity"))
 
 
@@ -156,8 +166,8 @@ def near_duplicates(calls: DataFrame, threshold: float = 0.995, rows: int = BLOC
         out = pd.DataFrame({"val_id": a["call_id"], "train_id": b["call_id"].to_numpy()[best], "similarity": s[np.arange(len(a)), best], "n_pairs": hits})
         return out[out["n_pairs"] > 0]
 
-    m = block_pairs(l, r, (), near, kernel, "val_id bigint, train_id bigint, similarity double, n_pairs bigint")
-    return m.groupBy("val_id").agg(F.max_by("train_id", F.struct("similarity", -F.col("train_id"))).alias("train_id"),
+    m = block_pairs(l, r, (), near, kernel, f"val_id {_kind(calls)}, train_id {_kind(calls)}, similarity double, n_pairs bigint")
+    return m.groupBy("val_id").agg(_nearest("train_id").alias("train_id"),
                                    F.max("similarity").alias("similarity"), F.sum("n_pairs").alias("n_pairs"))
 
 
@@ -178,7 +188,7 @@ def similarity_edges(calls: DataFrame, threshold: float, rows: int = BLOCK) -> D
         s = _stack(x["vec"]) @ _stack(z["vec"]).T >= threshold
         return pd.DataFrame(_forest(x["call_id"].to_numpy(), z["call_id"].to_numpy(), s), columns=["a", "b"])
 
-    e = block_pairs(b, b, (), near, kernel, "a bigint, b bigint")
+    e = block_pairs(b, b, (), near, kernel, f"a {_kind(calls)}, b {_kind(calls)}")
     # equal vectors collapsed above: tie each call to the one that stands for it
     same = calls.join(d.withColumnRenamed("call_id", "a"), "vec").select("a", F.col("call_id").alias("b")).where("a <> b")
     return e.unionByName(same)
@@ -198,12 +208,12 @@ def _forest(left: np.ndarray, right: np.ndarray, near: np.ndarray) -> list[tuple
                 seen[j] = True
                 a, b = (left[i], right[j]) if is_left else (left[j], right[i])
                 if a != b:
-                    edges.append((int(a), int(b)))
+                    edges.append((a, b))
                 todo.append((j, not is_left))
     return edges
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, id_col: str = "call_id", max_rounds: int = 100) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame, id_col: str = "call_id") -> DataFrame:
     """``(id, cluster)`` with the least member as the cluster's name, by alternating star contraction.
 
     Every round is written to the checkpoint folder, so a lost executor costs one round.
@@ -212,7 +222,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, id_col: str = "call
     spark = nodes.sparkSession
     checkpoint_dir(spark)
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct().checkpoint()
-    for _ in range(max_rounds):
+    while True:
         # large star: every neighbour above a node hangs on the least of its neighbourhood
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         m = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -225,8 +235,6 @@ def connected_components(nodes: DataFrame, edges: DataFrame, id_col: str = "call
         e = nxt
         if not changed:
             break
-    else:
-        raise RuntimeError(f"no fixed point within {max_rounds} rounds")
     return nodes.select(F.col(id_col)).join(e.select(F.col("u").alias(id_col), F.col("v").alias("cluster")), id_col, "left").select(
         id_col, F.coalesce("cluster", F.col(id_col)).alias("cluster"))
 

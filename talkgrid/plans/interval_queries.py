@@ -289,7 +289,7 @@ VIEWS["d_cut"] = """select call_id, a as start_ms, least(a+4000, e) as end_ms, r
   select call_id, end_ms as e, unnest(range(start_ms, end_ms, 4000)) as a from d_norm where channel=0 and end_ms-start_ms >= 1000) where least(a+4000,e)-a >= 1000"""
 
 
-@query("int_21_chunk_regions", "select * from d_cut where chunk <= 60")
+@query("int_21_chunk_regions", "select * from d_cut")
 def _(t):
     return I.chunk_regions(norm(t).where("channel = 0"))
 

@@ -90,6 +90,22 @@ def _(t):
     return v.where("not settled").select("call_id", "chunk", "call_time_s", "caller_speech_s", "p")
 
 
+GAPS = """with c as (select event_id % 50 as call_id, event_id // 50 + 1 as chunk, floor(value) % 41 - 20 as score from events where event_id % 50 < 49),
+  k as (select * from c where chunk % 7 <> 0), n as (select call_id, max(chunk) as newest, count(*) as heard from k group by 1)"""
+
+
+@query("str_03_gaps", GAPS + """ select call_id, chunk, chunk > 7 as gap, false as settled, 0::bigint as missing, round_even(1/(1+exp(-0.5*m)),4) as p
+    from (select call_id, chunk, sum(score) over w / row_number() over w as m from k window w as (partition by call_id order by chunk))
+  union all select n.call_id, newest, false, true, newest - heard, round_even(1/(1+exp(-0.5*m)),4) from n join (select call_id, avg(score) as m from k group by 1) using (call_id)""", r="p")
+def _(t):
+    """Every seventh chunk never comes; a clock call a day ahead lets the others settle, so all that is held must come out."""
+    s = chunk_stream(t)
+    late = F.col("call_id") == 49
+    s = s.where((F.col("chunk") % 7 != 0) | late).withColumn("at", F.when(late, F.col("at") + F.expr("interval 1 day")).otherwise(F.col("at")))
+    v = finished(t, running_verdict(s, "10 minutes", a=0.5)).where("call_id <> 49")
+    return v.select("call_id", "chunk", "gap", "settled", "missing", "p")
+
+
 @query("str_05_quarantine", "select coalesce(problem, 'none') as problem, count(*) as n from (select case event_id % 3 when 1 then 'range' when 2 then 'unknown_field' end as problem from events) group by 1")
 def _(t):
     src = t.spark.readStream.schema(t.raw("events").schema).option("pathGlobFilter", "events.parquet").parquet(t.path)

@@ -26,12 +26,14 @@ def local_session(cores: str | int = 8, shuffle_partitions: int | None = None) -
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; a temporary one only where the cluster names none."""
+    """The shared checkpoint folder of the session; a temporary one only in local mode, where driver and executors share a disk."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if named and not current:
         spark.sparkContext.setCheckpointDir(named)
     elif not current:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="talkgrid-checkpoint-"))
     return spark.sparkContext.getCheckpointDir()
 

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import io
-import wave
+import struct
 
 import numpy as np
 import pandas as pd
@@ -34,25 +33,32 @@ def decode_payloads(requests: DataFrame, body: str = "body") -> DataFrame:
     return requests.withColumns({"content": content, "reason": reason})
 
 
-def decode_pcm(content: bytes, max_s: float = 600.0):
-    """``(samples[n, 2], None)`` of a stereo 8 kHz 16-bit recording, or ``(None, reason)``."""
-    if len(content) > int(max_s * RATE * 4) + 65536:
-        return None, "too_large"
-    try:
-        with wave.open(io.BytesIO(content), "rb") as w:
-            if (w.getnchannels(), w.getframerate(), w.getsampwidth()) != (2, RATE, 2):
-                return None, "format"
-            n = w.getnframes()
-            if n <= 0:
-                return None, "empty"
-            if n > max_s * RATE:
-                return None, "too_long"
-            data = w.readframes(n)
-    except (wave.Error, EOFError, OverflowError, RuntimeError):
+def riff_chunks(content: bytes) -> dict[bytes, tuple[int, int]] | None:
+    """Where each chunk of a RIFF/WAVE file begins and how long it says it is; None if it is no such file. The first of a name counts."""
+    if content[:4] != b"RIFF" or content[8:12] != b"WAVE":
+        return None
+    found, at = {}, 12
+    while at + 8 <= len(content):
+        name, size = struct.unpack_from("<4sI", content, at)
+        found.setdefault(name, (at + 8, size))
+        at += 8 + size + size % 2
+    return found
+
+
+def decode_pcm(content: bytes):
+    """``(samples[n, 2], None)`` of a stereo 8 kHz 16-bit recording of any length, or ``(None, reason)``."""
+    chunks = riff_chunks(content)
+    if not chunks or b"fmt " not in chunks or chunks[b"fmt "][1] < 16 or b"data" not in chunks:
         return None, "container"
-    if len(data) != n * 4:
+    tag, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", content, chunks[b"fmt "][0])
+    if tag not in (1, 0xFFFE) or (channels, rate, bits) != (2, RATE, 16):
+        return None, "format"
+    at, size = chunks[b"data"]
+    if size < 4:
+        return None, "empty"
+    if at + size > len(content):
         return None, "truncated"
-    return np.frombuffer(data, dtype="<i2").reshape(-1, 2).astype(np.float64) / 32768.0, None
+    return np.frombuffer(content, "<i2", size // 4 * 2, at).reshape(-1, 2) / 32768.0, None
 
 
 def _framed(x: np.ndarray, n: int, hop: int) -> np.ndarray:

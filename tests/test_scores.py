@@ -91,9 +91,18 @@ def test_running_value_is_the_aggregate_of_the_prefix(spark, how):
         assert s.p == pytest.approx(1 / (1 + math.exp(-v)), abs=1e-4)
 
 
-def test_prefixes_of_endless_calls_are_refused(spark):
-    with pytest.raises(Exception, match="more than 60 chunks"):
-        X.progression(chunk_rows(spark, [0.0] * 61), "median").collect()
+@pytest.mark.parametrize("how", ["median", "top25_mean", "trimmed_mean"])
+def test_order_statistics_of_a_long_call(spark, how):
+    import random
+    random.seed(4)
+    scores = [round(random.gauss(0, 2), 1) for _ in range(5000)]
+    p = {s.chunk: s.p for s in X.progression(chunk_rows(spark, scores), how).collect()}
+    assert len(p) == 5000
+    for k in (1, 2, 9, 10, 11, 61, 999, 5000):
+        s = sorted(scores[:k])
+        m, cut = max(1, math.ceil(k / 4)), k // 10
+        v = {"median": (s[(k - 1) // 2] + s[k // 2]) / 2, "top25_mean": sum(s[-m:]) / m, "trimmed_mean": sum(s[cut:k - cut]) / (k - 2 * cut)}[how]
+        assert p[k] == pytest.approx(1 / (1 + math.exp(-v)), abs=1.01e-4)
 
 
 def test_decided_at(spark):
