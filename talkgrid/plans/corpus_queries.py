@@ -203,7 +203,7 @@ def _(t):
     return S.wav_frames(recordings(t)).select("call_id", "channel", "frame_idx", "rms_db", "peak")
 
 
-@query("src_06_wav_rejects")
+@query("src_06_wav_rejects", "select case when vec_id % 2 = 0 then 'truncated' else 'container' end as reason, count(*) as n from embeddings group by 1")
 def _(t):
     r = recordings(t)
     bad = r.withColumn("content", F.when(F.col("call_id").cast("int") % 2 == 0, F.expr("substr(content, 1, length(content) - 8)")).otherwise(F.encode(F.lit("not a recording"), "UTF-8")))
