@@ -74,6 +74,7 @@ def detection_stats(log: DataFrame) -> DataFrame:
 
 def hourly_verdicts(log: DataFrame, now, hours: int = 24) -> DataFrame:
     """Calls per hour bucket and verdict, zero filled; the last bucket is the current hour."""
+    log = since(log, now, hours + 1)  # a plain comparison that reaches the scan; buckets decide the rest
     top = F.date_trunc("hour", _now(now))
     d = log.withColumn("__now", top.cast("timestamp_ntz"))
     i = (hours - 1 - F.floor(age_s(now) / 3600)).cast("int")

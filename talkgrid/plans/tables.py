@@ -122,6 +122,11 @@ class Tables:
         w = c.select(F.col("conv_id").alias("call_id"),
                      F.when(F.col("role") == "user", 0).otherwise(1).alias("channel"), "turn",
                      F.posexplode(F.split("text", " ")).alias("pos", "text"))
+        # some words become fillers, regional words, cut-offs and a repeated phrase, so that every text column has something to count
+        loop = F.array(*map(F.lit, ("si", "no", "ya", "va")))
+        pos = F.col("pos")
+        w = w.withColumn("text", F.when(pos % 37 == 5, "este").when(pos % 41 == 7, "mande").when(pos % 43 == 9, "guion").when(pos % 31 == 3, F.concat("text", F.lit("-")))
+                         .when(pos.between(10, 13), F.get(loop, pos - 10)).when(pos.between(20, 23), F.get(loop, pos - 20)).otherwise(F.col("text")))
         start = F.col("turn") * 30 + F.col("pos") * 0.4
         return w.select("call_id", "channel", "turn", "pos", "text", start.alias("start_s"),
                         (start + 0.3).alias("end_s"), (-(F.length("text") % 7) / 20.0).alias("logprob"))
@@ -170,9 +175,11 @@ VIEWS = {
   cast(-(case when wave < 90 then 20 when wave < 110 then 48 else 64 end) - (noise % 9) as double) as rms_db,
   (case when wave < 90 then 60 when wave < 110 then 40 else 15 end) + noise % 31 as p_pct,
   ((case when wave < 90 then 60 when wave < 110 then 40 else 15 end) + noise % 31)/100.0::double as p from d_frames0""",
-    "d_words0": """select conv_id as call_id, case when role='user' then 0 else 1 end as channel, turn,
+    "d_words0": """select call_id, channel, turn, pos, case when pos % 37 = 5 then 'este' when pos % 41 = 7 then 'mande' when pos % 43 = 9 then 'guion' when pos % 31 = 3 then text || '-'
+  when pos between 10 and 13 then ['si','no','ya','va'][pos-9] when pos between 20 and 23 then ['si','no','ya','va'][pos-19] else text end as text
+  from (select conv_id as call_id, case when role='user' then 0 else 1 end as channel, turn,
   unnest(str_split(text,' ')) as text, generate_subscripts(str_split(text,' '),1)-1 as pos
-  from conversations where role in ('user','assistant')""",
+  from conversations where role in ('user','assistant'))""",
     "d_words": """select call_id, channel, turn, pos, text, turn*30 + pos*0.4::double as start_s,
   turn*30 + pos*0.4::double + 0.3::double as end_s, -(length(text) % 7)/20.0::double as logprob from d_words0""",
     "d_chunk_embeddings": """select vec_id // 5 as call_id, vec_id % 5 as chunk, 0 as layer, embedding as emb,

@@ -106,4 +106,9 @@ def write_manifest(rows: DataFrame, path: str) -> None:
 def log_experiment(spark, path: str, title: str, **params) -> None:
     text = {k: f"{v:.4f}" if isinstance(v, float) else str(v) for k, v in params.items()}
     row = spark.createDataFrame([(title, text)], "title string, params map<string,string>")
-    row.select(F.current_timestamp().alias("ts"), "title", "params").write.mode("append").parquet(path)
+    append_experiments(row, path)
+
+
+def append_experiments(records: DataFrame, path: str) -> None:
+    """``records(title, params map<string,string>)`` to the end of an experiment log, stamped with the time."""
+    records.select(F.current_timestamp().alias("ts"), "title", "params").write.mode("append").parquet(path)
