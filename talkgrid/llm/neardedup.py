@@ -11,9 +11,11 @@ which writes down the pairs of a group:
 
 1. *Stars.* Within a list (and a band of set sizes) every member is compared with one leader, in a few rounds with other leaders.
    A large group of near copies becomes one component here, in linear time.
+   A leader and a member must also collide in enough bytes of a finer sketch (``FINE`` one-byte minima), which rules out most pairs below
+   the threshold before any set is read; again a pair at the threshold fails with a probability below one in a million.
 2. *Skip merging.* Lists whose members all lie in one component are skipped. In the others all members of different
    components are compared, signature against signature, in tiles of bounded size; a pair counts at the first prefix coordinate
-   that it shares, and is passed on only with enough collisions. This loses no link.
+   that it shares, and is passed on only with enough collisions, in the sketch too. This loses no link.
 
 Lists of unrelated texts (a very common shingle that happens to be the minimum of many) stay quadratic in step 2, in comparisons, not in rows.
 """
@@ -26,10 +28,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.vectors import connected_components
-from .common import mix64, per_batch, table, text_bytes, text_or_empty, word_bounds, written
+from .common import mix64, per_batch, pieces_of_batch, table, text_bytes, text_or_empty, word_bounds, written
 
 TILE = 1024
+#: Coordinates of the finer sketch; one byte each, so unrelated ones collide once in 256.
+FINE = 128
 
 
 def least_collisions(coordinates: int, threshold: float, miss: float = 1e-6) -> int:
@@ -86,8 +89,9 @@ def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, words: int, coordinates: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``(doc_id, n, s1, s2, sig)``: set size, two fingerprints of the set, the minima (none for an empty set)."""
+    """``(doc_id, n, s1, s2, sig, fine)``: set size, two fingerprints of the set, the minima (none for an empty set), the finer sketch."""
     factor, salt = _constants(coordinates, 37), _constants(coordinates, 41)
+    factor2, salt2 = _constants(FINE, 53), _constants(FINE, 59)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         h, offsets = shingle_sets(b.column(1), words)
@@ -95,6 +99,7 @@ def signatures(docs: DataFrame, words: int, coordinates: int, text: str = "text"
         some = np.flatnonzero(n > 0)
         prints = np.zeros((2, len(n)), np.uint64)
         flat = np.zeros((len(some), coordinates), np.int32)
+        fine = np.zeros((len(n), FINE), np.uint8)
         if len(some):
             cuts = offsets[some]
             with np.errstate(over="ignore"):
@@ -102,13 +107,15 @@ def signatures(docs: DataFrame, words: int, coordinates: int, text: str = "text"
                     prints[i, some] = np.add.reduceat(mix64(h ^ np.uint64(c)), cuts)
                 for j in range(coordinates):
                     flat[:, j] = np.minimum.reduceat(((h ^ salt[j]) * factor[j]) >> np.uint64(32), cuts).astype(np.uint32).view(np.int32)
+                for j in range(FINE):
+                    fine[some, j] = np.minimum.reduceat(((h ^ salt2[j]) * factor2[j]) >> np.uint64(24), cuts) & np.uint64(255)
         ends = np.concatenate(([0], np.cumsum(np.where(n > 0, coordinates, 0)))).astype(np.int32)
         sig = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.ravel()))
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(n.astype(np.int64)), pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)), sig],
-                                          names=["doc_id", "n", "s1", "s2", "sig"])
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(n.astype(np.int64)), pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)), sig, pa.array([r.tobytes() for r in fine], pa.binary())],
+                                          names=["doc_id", "n", "s1", "s2", "sig", "fine"])
 
     d = docs.select(F.col(key).cast("bigint").alias("doc_id"), text_or_empty(text).alias("x"))
-    return d.mapInArrow(per_batch(run, 256), "doc_id bigint, n bigint, s1 bigint, s2 bigint, sig array<int>")
+    return d.mapInArrow(per_batch(run, 256), "doc_id bigint, n bigint, s1 bigint, s2 bigint, sig array<int>, fine binary")
 
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, words: int, text: str, key: str) -> DataFrame:
@@ -138,8 +145,19 @@ def _sizes_fit(a: str, b: str, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _merge(batches, coordinates: int, prefix: int, least: int, percent: int):
-    """Skip merging of lists ``(j, v, ti, tj, node, side, comp, n, sig)`` that arrive sorted; yields candidate pairs."""
+def _same_bytes(least: int):
+    """A ``mapInArrow`` function that keeps pairs ``(a, b, fa, fb)`` whose sketches agree in ``least`` bytes."""
+    def run(batches):
+        for b in batches:
+            for part in pieces_of_batch(b, 8192):
+                x, y = (np.frombuffer(b"".join(part.column(i).to_pylist()), np.uint8).reshape(-1, FINE) for i in (2, 3))
+                yield part.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= least))
+
+    return run
+
+
+def _merge(batches, coordinates: int, prefix: int, least: int, percent: int, least_fine: int):
+    """Skip merging of lists ``(j, v, ti, tj, node, side, comp, n, sig, fine)`` that arrive sorted; yields candidate pairs."""
     def pairs_of(t: dict) -> tuple[np.ndarray, np.ndarray]:
         key = t["key"]
         cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
@@ -172,6 +190,8 @@ def _merge(batches, coordinates: int, prefix: int, least: int, percent: int):
                 a, b = a[ok], b[ok]
                 same = t["sig"][a] == t["sig"][b]
                 ok = (same.sum(1) >= least) & (same[:, :prefix].argmax(1) == t["j"][a])
+                a, b = a[ok], b[ok]
+                ok = (t["fine"][a] == t["fine"][b]).sum(1) >= least_fine
                 a, b = t["node"][a[ok]], t["node"][b[ok]]
                 got_a.append(np.minimum(a, b))
                 got_b.append(np.maximum(a, b))
@@ -198,6 +218,7 @@ def _merge(batches, coordinates: int, prefix: int, least: int, percent: int):
         sig = t.column("sig").combine_chunks()
         sig = sig.chunk(0) if isinstance(sig, pa.ChunkedArray) else sig
         c["sig"] = sig.flatten().to_numpy().reshape(-1, coordinates)
+        c["fine"] = np.frombuffer(b"".join(t.column("fine").to_pylist()), np.uint8).reshape(-1, FINE)
         step = np.zeros(t.num_rows, bool)
         for n in ("j", "v", "ti", "tj"):
             step[1:] |= c[n][1:] != c[n][:-1]
@@ -222,7 +243,29 @@ def _merge(batches, coordinates: int, prefix: int, least: int, percent: int):
             yield found
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordinates: int = 32, least: int | None = None, rounds: int = 3,
+def components(edges: DataFrame) -> DataFrame:
+    """``(node, comp)`` of every node of ``edges(a, b)``: the smallest node it is connected with.
+
+    Alternating star contraction: neighbours above a node hang on the least of its neighbourhood, then those below it. Every round is a
+    written table; rounds end when count and checksum of the edges stay the same. Their number grows with the logarithm of the nodes.
+    """
+    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    before = None
+    while True:
+        e = written(e, "stars")
+        now = e.agg(F.count(F.lit(1)), F.sum(F.shiftright(F.xxhash64("u", "v"), 24))).first()
+        if now == before:
+            return e.select(F.col("u").alias("node"), F.col("v").alias("comp"))
+        before = now
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        e = large.join(least, "u").select("v", "m").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
+            least.select("u", F.col("m").alias("v"))).distinct()
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordinates: int = 32, least: int | None = None, rounds: int = 2,
                     text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per input row: ``(doc_id, n_shingles, component_id, kept)``.
 
@@ -235,12 +278,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordina
     prefix = coordinates - least + 1
     sigs = written(signatures(docs, words, coordinates, text, key), "signatures")
     real = sigs.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    nodes = written(real.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("node"), F.any_value("sig").alias("sig")), "classes")
+    nodes = written(real.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("node"), F.any_value("sig").alias("sig"), F.any_value("fine").alias("fine")), "classes")
+    least_fine = least_collisions(FINE, percent / 100)
 
     posted = nodes.select("node", "n", F.posexplode(F.slice("sig", 1, prefix)).alias("j", "v"))
     lists = posted.groupBy("j", "v").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     posted = written(posted.join(lists, ["j", "v"]).drop("m").withColumn("band", F.floor(F.log("n") / F.log(F.lit(100 / percent)))), "posted")
-    side = lambda s: nodes.select(F.col("node").alias(s), F.col("sig").alias(f"s{s}"))
+    side = lambda s: nodes.select(F.col("node").alias(s), F.col("sig").alias(f"s{s}"), F.col("fine").alias(f"f{s}"))
+
+    def labelled(links: DataFrame) -> DataFrame:
+        c = components(links)
+        return written(nodes.select("node").distinct().join(c, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")), "components")
 
     edges = None
     comps = nodes.select("node", F.col("node").alias("comp"))
@@ -253,27 +301,28 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordina
         lead = lead.select("j", "v", "band", F.col("l.node").alias("lead"), F.col("l.n").alias("lead_n"), F.col("l.comp").alias("lead_comp"))
         met = here.join(lead, ["j", "v", "band"]).where((F.col("comp") != F.col("lead_comp")) & _sizes_fit("n", "lead_n", percent))
         met = met.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
-        close = met.join(side("a"), "a").join(side("b"), "b").where(_collisions() >= least).select("a", "b")
+        close = met.join(side("a"), "a").join(side("b"), "b").where(_collisions() >= least).select("a", "b", "fa", "fb")
+        close = close.mapInArrow(_same_bytes(least_fine), "a bigint, b bigint")
         more = written(_confirmed(written(close, "stars"), docs, words, percent, text, key), "links")
         if more.isEmpty():
             break
         edges = more if edges is None else edges.unionByName(more)
-        comps = written(connected_components(nodes.select("node").distinct(), edges, "node").withColumnRenamed("cluster", "comp"), "components")
+        comps = labelled(edges)
 
     # what is left: lists with more than one component, all members against each other
     here = posted.join(comps, "node")
     mixed = here.groupBy("j", "v").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("m")).where("c0 <> c1").select("j", "v", "m")
-    here = here.join(mixed, ["j", "v"]).join(nodes.select("node", "sig"), "node")
+    here = here.join(mixed, ["j", "v"]).join(nodes.select("node", "sig", "fine"), "node")
     tiles = F.ceil(F.col("m") / TILE).cast("int")
     own = F.pmod(F.xxhash64("node"), tiles).cast("int")
     here = here.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    here = here.select("j", "v", F.least("own", "other").alias("ti"), F.greatest("own", "other").alias("tj"), "node", F.col("own").alias("side"), "comp", "n", "sig")
+    here = here.select("j", "v", F.least("own", "other").alias("ti"), F.greatest("own", "other").alias("tj"), "node", F.col("own").alias("side"), "comp", "n", "sig", "fine")
     here = here.repartition(n_parts, "j", "v", "ti", "tj").sortWithinPartitions("j", "v", "ti", "tj")
-    pairs = here.mapInArrow(lambda it: _merge(it, coordinates, prefix, least, percent), "a bigint, b bigint")
+    pairs = here.mapInArrow(lambda it: _merge(it, coordinates, prefix, least, percent, least_fine), "a bigint, b bigint")
     more = written(_confirmed(written(pairs.distinct(), "pairs"), docs, words, percent, text, key), "links")
     if not more.isEmpty():
         edges = more if edges is None else edges.unionByName(more)
-        comps = connected_components(nodes.select("node").distinct(), edges, "node").withColumnRenamed("cluster", "comp")
+        comps = labelled(edges)
 
     named = nodes.select("s1", "s2", "n", "node").join(comps, "node").select("s1", "s2", F.col("n").alias("cn"), "comp")
     out = sigs.select("doc_id", "n", "s1", "s2").join(named, (sigs["s1"] == named["s1"]) & (sigs["s2"] == named["s2"]) & (F.col("n") == F.col("cn")), "left")
