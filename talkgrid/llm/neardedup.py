@@ -118,19 +118,46 @@ def signatures(docs: DataFrame, words: int, coordinates: int, text: str = "text"
     return d.mapInArrow(per_batch(run, 256), "doc_id bigint, n bigint, s1 bigint, s2 bigint, sig array<int>, fine binary")
 
 
+#: Bits of the filter in front of the texts: 2 MB at most, whatever the number of wanted documents.
+FILTER_BITS = 1 << 24
+
+
+def _wanted_bits(nodes: DataFrame) -> np.ndarray:
+    """A bitmap of hashed ids: 512 pieces of 4 KB, built in Spark."""
+    bit = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))
+    parts = nodes.groupBy(F.bitmap_bucket_number(bit).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
+    out = np.zeros(FILTER_BITS // 8 + 4096, np.uint8)
+    for r in parts:
+        out[(r.b - 1) * 4096:r.b * 4096] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
 def _sets_of(docs: DataFrame, nodes: DataFrame, words: int, text: str, key: str) -> DataFrame:
-    """``(node, shingles)`` of the wanted documents, from their whole texts."""
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+    """``(node, shingles)`` of the wanted documents, from their whole texts.
+
+    Texts are not shuffled: a bitmap of fixed size drops most unwanted ones where they are read, a join on the ids drops the rest. With more wanted
+    documents than bits the bitmap drops less and the join more; the result is the same.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(_wanted_bits(nodes))
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
+        bit = b.column(2).to_numpy()
+        b = b.filter(pa.array((sent.value[bit >> 3] >> (bit & 7)) & 1 == 1))
+        if not b.num_rows:
+            return None
         h, offsets = shingle_sets(b.column(1), words)
         return pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(h.view(np.int64)))], names=["node", "shingles"])
 
-    d = docs.select(F.col(key).cast("bigint").alias("node"), text_or_empty(text).alias("x")).join(nodes, "node", "left_semi")
-    return d.mapInArrow(per_batch(run, 256), "node bigint, shingles array<bigint>")
+    d = docs.select(F.col(key).cast("bigint").alias("node"), text_or_empty(text).alias("x")).where(F.col("node").isNotNull())
+    # bitmap_bit_position counts from 0 within a bucket, as the bits of this number do
+    d = d.withColumn("bit", F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS)))
+    d = d.withColumn("bit", (F.bitmap_bucket_number("bit") - 1) * 32768 + F.bitmap_bit_position("bit"))
+    return d.mapInArrow(per_batch(run, 256), "node bigint, shingles array<bigint>").join(nodes, "node", "left_semi")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, text: str, key: str) -> DataFrame:
     """The pairs ``(a, b)`` whose full sets reach the threshold."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
     sets = written(_sets_of(docs, nodes, words, text, key), "sets")
     left, right = sets.withColumnsRenamed({"node": "a", "shingles": "x"}), sets.withColumnsRenamed({"node": "b", "shingles": "y"})
     both = F.size(F.array_intersect("x", "y"))
