@@ -122,11 +122,16 @@ def signatures(docs: DataFrame, words: int, coordinates: int, text: str = "text"
 FILTER_BITS = 1 << 24
 
 
+def _hashed_id():
+    """1 to ``FILTER_BITS``: Spark numbers bitmap buckets from 1 for positive numbers only, 0 has a bucket of its own."""
+    return F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS)) + 1
+
+
 def _wanted_bits(nodes: DataFrame) -> np.ndarray:
     """A bitmap of hashed ids: 512 pieces of 4 KB, built in Spark."""
-    bit = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))
+    bit = _hashed_id()
     parts = nodes.groupBy(F.bitmap_bucket_number(bit).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
-    out = np.zeros(FILTER_BITS // 8 + 4096, np.uint8)
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
     for r in parts:
         out[(r.b - 1) * 4096:r.b * 4096] = np.frombuffer(r.bits, np.uint8)
     return out
@@ -150,7 +155,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, words: int, text: str, key: str)
 
     d = docs.select(F.col(key).cast("bigint").alias("node"), text_or_empty(text).alias("x")).where(F.col("node").isNotNull())
     # bitmap_bit_position counts from 0 within a bucket, as the bits of this number do
-    d = d.withColumn("bit", F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS)))
+    d = d.withColumn("bit", _hashed_id())
     d = d.withColumn("bit", (F.bitmap_bucket_number("bit") - 1) * 32768 + F.bitmap_bit_position("bit"))
     return d.mapInArrow(per_batch(run, 256), "node bigint, shingles array<bigint>").join(nodes, "node", "left_semi")
 

@@ -250,6 +250,15 @@ def test_near_duplicates_on_awkward_rows(odd, none):
     assert neardedup.least_collisions(32, 0.8) == 13
 
 
+def test_near_duplicates_whose_id_hashes_to_the_first_bit(spark):
+    first = 25317696  # the first of consecutive ids whose hash is 0 in the bitmap of wanted documents
+    assert spark.range(first, first + 1).select(F.pmod(F.xxhash64("id"), F.lit(neardedup.FILTER_BITS))).first()[0] == 0
+    words = [f"w{i}" for i in range(100)]
+    rows = [(first, " ".join(words)), (first + 1, " ".join([*words, "more"])), (first + 2, "quite another text of a few words")]
+    got = neardedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), words=4).collect()
+    assert {r.doc_id: r.component_id for r in got} == {first: first, first + 1: first, first + 2: first + 2}
+
+
 def test_exact_duplicates(spark, odd, none):
     for bits in (64, 2):  # two bits: almost every key collides, chains tell texts apart
         got = exactdedup.exact_duplicates(odd, capacity=1, key_bits=bits).collect()
