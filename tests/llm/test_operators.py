@@ -101,6 +101,40 @@ def test_pii_base_spans_equal_brute_force(spark, monkeypatch):
     assert pii.find_spans(df.limit(0)).count() == 0
 
 
+def with_luhn(d):
+    return next(d + str(k) for k in range(10) if luhn(d + str(k)))
+
+
+@pytest.mark.parametrize("percent", [1, 30])
+def test_pii_adds_obfuscated_spans_however_many_there_are(spark, percent):
+    random.seed(percent)
+    number = lambda n: "".join(random.choices("123456789", k=n))
+    rows, planted, wrong = [], {}, {}
+    for i in range(1200):
+        name, host, octets = f"user{number(3)}", f"host{number(2)}", [str(random.randint(10, 255)) for _ in range(4)]
+        card = with_luhn(number(15))
+        fours, bad = [card[k:k + 4] for k in range(0, 16, 4)], card[:15] + str((int(card[15]) + 1) % 10)
+        if i % 100 < percent:
+            said = [f"{name} [at] {host} [dot] org", ".".join(fours), f"2{number(2)}-{number(3)}-{number(4)}", "-".join(octets)][i // 100 % 4]
+            planted[i] = said
+        elif i % 5 == 4:
+            said = wrong[i] = bad
+        else:
+            said = [f"{name}@{host}.org", " ".join(fours), f"+1 2{number(2)} {number(3)} {number(4)}", ".".join(octets)][i % 4]
+        rows.append((i, f"some words before {said} and some words after"))
+    got = defaultdict(list)
+    for r in pii.find_spans(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).where("kind is not null").collect():
+        got[r.doc_id].append((r.start, r.stop))
+    assert sum((18, 18 + len(s)) in got[i] for i, s in planted.items()) >= 0.9 * len(planted)
+    assert sum(bool(got[i]) for i in wrong) <= 0.02 * len(wrong)
+
+
+def test_pii_overlaps_count_against_kept_spans_only(spark):
+    spans = spark.createDataFrame([(1, 7, "phone", False, 0, 10), (1, 7, "card", False, 5, 15), (1, 7, "ip", False, 12, 20), (1, 7, "ip", False, 30, 40)],
+                                  "row bigint, doc_id bigint, kind string, base boolean, start bigint, stop bigint")
+    assert sorted((r.start, r.stop) for r in pii.disjoint(spans).collect()) == [(0, 10), (12, 20), (30, 40)]
+
+
 # --------------------------------------------------------------------------------- tokenizers
 
 UNITS = ["a", " ", "  ", "\n", "\t", " t", "the", "ing", "▁", "é", "ñ", "你", "　", "0", ".", ",", "'s", "\0", "ＡＢ", "\x1f", "\x85", " \n", "print", "(self", "    ", "😀", "​", " ", "<|endoftext|>"]
