@@ -11,7 +11,7 @@ in toxic texts (a copied text has the same surroundings in every copy) and hardl
 dictionaries hold the ordinary dictionary, so ordinary windows come out even.
 
 The model is fitted on a bounded sample of labelled rows (``max_docs`` of each class by a hash of the id, and
-``max_bytes`` of each class); scoring reads every whole text.
+``max_bytes`` of each class, of a text longer than ``max_text`` windows spread over the whole of it); scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -27,6 +27,10 @@ from .common import free_name, per_batch, table, text_bytes, text_or_empty, word
 
 GRAM = 5
 SIDE = 6
+#: Log likelihood ratio from which a sequence or passage counts as told apart.
+SURPRISE = 9
+#: Bytes or characters of a sample, and of a window of a long text.
+SAMPLE, PIECE = 600, 1024
 
 
 @dataclass
@@ -142,7 +146,11 @@ def _surroundings(texts: list[bytes], chunk: int = 1 << 19) -> tuple[np.ndarray,
 
 
 def _passages(toxic: list[bytes], ordinary: list[bytes], least: int, odds: float) -> list[bytes]:
-    """The passages that tell toxic texts apart, rarest first. The log odds asked for grow with the number of toxic texts, up to ``odds``."""
+    """The passages that tell toxic texts apart, rarest first.
+
+    The log odds asked for grow with the number of toxic texts, up to ``odds``, but never beyond what a sequence absent from ordinary texts can
+    show; its surprise decides then. In how many texts a passage must be is bounded by evidence likewise, not by its share alone.
+    """
     odds = min(odds, 3.5 + 0.5 * np.log2(max(len(toxic), 32) / 32))
     gt, ct = _surroundings(toxic)
     go, co = _surroundings(ordinary)
@@ -154,7 +162,8 @@ def _passages(toxic: list[bytes], ordinary: list[bytes], least: int, odds: float
     with np.errstate(divide="ignore", invalid="ignore"):
         surprise = ct * np.log(ct / (both * share)) + np.where(here > 0, here * np.log(here / (both * max(1 - share, 1e-9))), 0)
         more = np.log((ct + 0.5) / ct.sum()) - np.log((here + 0.5) / max(co.sum(), 1))
-    keep = (ct >= least) & (more > odds) & (surprise > 9)
+        most = np.log((ct + 0.5) / ct.sum()) - np.log(0.5 / max(co.sum(), 1))
+    keep = (ct >= least) & ((more > odds) | (more >= most)) & (surprise > SURPRISE)
     count = {int(g).to_bytes(GRAM, "big"): int(c) for g, c in zip(gt[keep], ct[keep])}
     found: Counter[bytes] = Counter()
     for b in toxic:
@@ -172,9 +181,10 @@ def _passages(toxic: list[bytes], ordinary: list[bytes], least: int, odds: float
             seen.add(b[core[0]:core[-1] + GRAM])
             i = j
         found.update(seen)
-    often = [(p, k) for p, k in found.most_common() if k >= max(2, 0.01 * len(toxic))]
     there = b"\0".join(ordinary)
     rate = len(ordinary) / max(len(toxic), 1)
+    enough = max(2, min(0.01 * len(toxic), SURPRISE / max(np.log1p(rate), 1e-9)))
+    often = [(p, k) for p, k in found.most_common() if k >= enough]
     return [p for p, k in reversed(often) if there.count(p) <= 0.1 * k * rate]
 
 
@@ -191,10 +201,29 @@ def _newton(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
+def spread(text, longest: int):
+    """``text``, or of one with more than ``longest`` characters windows of ``PIECE`` characters spread evenly from its head to its end."""
+    n = max(2, longest // PIECE)
+    room = F.length(text) - PIECE
+    windows = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.substring(text, (F.floor(k * room / (n - 1)) + 1).cast("int"), F.lit(PIECE)))
+    return F.when(F.length(text) > max(longest, n * PIECE), F.array_join(windows, " ")).otherwise(text)
+
+
+def samples_of(text: bytes, most: int) -> list[bytes]:
+    """At most ``most`` samples from the whole of ``text``, end to end where they cover it."""
+    n = -(-len(text) // SAMPLE)
+    if n <= most:
+        return [text[i:i + SAMPLE] for i in range(0, len(text), SAMPLE)]
+    return [text[i:i + SAMPLE] for i in (k * (len(text) - SAMPLE) // max(most - 1, 1) for k in range(most))]
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", max_docs: int = 4000, max_bytes: int = 3 << 20,
-                 dictionary: int = 16384, least: int = 4, odds: float = 6.0) -> Toxicity:
+                 dictionary: int = 16384, least: int = 4, odds: float = 6.0, max_text: int = 16 << 10, text_samples: int = 5, max_samples: int = 8000) -> Toxicity:
     """Fits on at most ``max_docs`` labelled texts and ``max_bytes`` of each class (ordinary: twice as many), picked by a hash of ``key``.
 
+    A text of more than ``max_text`` characters gives windows spread over the whole of it, so none uses up ``max_bytes``. The ordinary dictionary
+    is trained on ``text_samples`` samples of each text, at most ``max_samples``; of more than ``dictionary`` bytes of toxic passages the rarest go.
+
     Three quarters train the dictionaries, one quarter calibrates. A document labelled more than once takes the larger
     label; labels other than 0 and 1, labels without a document and empty texts are left out. Without a text of either class the model
     scores every text alike, at a low score. The picked ids are a broadcast of at most three times ``max_docs`` rows; the texts are read in one scan.
@@ -204,7 +233,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", label:
     once = once.withColumn("h", F.xxhash64(F.lit(7), F.col("k").cast("string")))
     picked = [once.where(F.col("y") == y).orderBy("h", "k").limit(n) for y, n in ((1, max_docs), (0, 2 * max_docs))]
     texts = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("x")).where(F.col("x") != "").join(F.broadcast(picked[0].unionByName(picked[1])), "k")
-    texts = written(texts.select("y", "h", "x"), "labelled")
+    texts = written(texts.select("y", "h", spread(F.col("x"), max_text).alias("x")), "labelled")
     parts = {}
     for y, times in ((1, 1), (0, 2)):
         # repeated ids come again, so the limit holds here too
@@ -218,7 +247,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", label:
         parts[y] = got
     cut = {y: -(-3 * len(g) // 4) for y, g in parts.items()}
     toxic, ordinary = parts[1][:cut[1]], parts[0][:cut[0]]
-    samples = [b[i:i + 600] for b in ordinary for i in range(0, min(len(b), 3000), 600)][:8000]
+    samples = [x for b in ordinary for x in samples_of(b, text_samples)][:max_samples]
     content = b"".join(samples)[:dictionary]
     if sum(map(len, samples)) > 20 * dictionary:
         content = z.train_dictionary(dictionary, samples, level=3).as_bytes()[-(dictionary - 3000):]

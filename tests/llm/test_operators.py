@@ -351,6 +351,29 @@ def test_toxicity_on_awkward_rows(spark, odd, none):
     assert seg[:, 1].max() <= model.longest + 16 and set(doc) == {0, 2}
 
 
+def test_toxicity_learns_beside_one_very_long_text(spark):
+    random.seed(5)
+    words = [a + b + c for a in ("ri", "sto", "ta", "win") for b in ("ver", "ne", "ble", "dow") for c in ("s", "ly", "ed", "er")]
+    some = lambda n: " ".join(random.choices(words, k=n))
+    rows = [(i, f"{some(15)} {'zqxvkj' if i % 2 else ''} {some(15)}", i % 2) for i in range(400)] + [(1000 + i, some(500_000), 1) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    model = toxicity.fit_toxicity(df, df.select("doc_id", "toxic"))
+    assert b"zqxvkj" in model.toxic
+    long = " ".join(map(str, range(100_000)))
+    cut = spark.createDataFrame([(long,)], "x string").select(toxicity.spread(F.col("x"), 16384)).first()[0]
+    assert cut.startswith(long[:1024]) and cut.endswith(long[-1024:]) and len(cut) < 17_000
+    assert toxicity.samples_of(b"a" * 9000 + b"end", 5)[-1].endswith(b"end")
+
+
+def test_toxicity_keeps_rare_wording_among_many_toxic_texts():
+    random.seed(6)
+    words = [a + b + c for a in ("ri", "sto", "ta", "win") for b in ("ver", "ne", "ble", "dow") for c in ("s", "ly", "ed", "er")]
+    some = lambda n: " ".join(random.choices(words, k=n)).encode()
+    toxic = [some(6) + (b" zqxvkj " if i < 29 else b" moronic " if i % 2 else b" ") + some(6) for i in range(3000)]
+    got = toxicity._passages(toxic, [some(12) for _ in range(6000)], 4, 6.0)
+    assert any(b"zqxvkj" in p for p in got) and any(b"moronic" in p for p in got)
+
+
 def pieces_of(texts):
     from talkgrid.llm.common import text_bytes
     return text_bytes(pa.array(texts))
