@@ -1,5 +1,6 @@
 """The registered queries of this subpackage and, where SQL can express one, the SQL it must agree with."""
 
+from .alignment import op13_query
 from .binary import op8_query
 from .chat import op1_query
 from .exactdedup import OP10_SQL, op10_query
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_arrow_sequences": op8_query,
     "op9_importance": op9_query,
     "op10_exact_dedup": op10_query,
+    "op13_token_alignment": op13_query,
 }
 
 ORACLES: dict[str, str] = {
