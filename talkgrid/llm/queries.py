@@ -4,6 +4,7 @@ from .alignment import op13_query
 from .binary import op8_query
 from .chat import op1_query
 from .exactdedup import OP10_SQL, op10_query
+from .hardneg import OP11_SQL, op11_query
 from .importance import op9_query
 from .mixing import op7_query
 from .neardedup import op5_query
@@ -23,9 +24,11 @@ QUERIES = {
     "op8_arrow_sequences": op8_query,
     "op9_importance": op9_query,
     "op10_exact_dedup": op10_query,
+    "op11_hard_negatives": op11_query,
     "op13_token_alignment": op13_query,
 }
 
 ORACLES: dict[str, str] = {
     "op10_exact_dedup": OP10_SQL,
+    "op11_hard_negatives": OP11_SQL,
 }
