@@ -119,12 +119,13 @@ def uniform(*parts: Column) -> Column:
     return (bits + F.lit(0.5)) / F.lit(float(1 << 53))
 
 
-def join_hot(rows: DataFrame, facts: DataFrame, key: str, copies: str, share: int = 1000) -> DataFrame:
+def join_hot(rows: DataFrame, facts: DataFrame, key: str | list[str], copies: str, share: int = 1000) -> DataFrame:
     """``rows`` joined with ``facts``, one row per ``key`` that knows its number of ``rows`` (``copies``); both are written tables.
 
     Keys with at least one in ``share`` of all rows, so at most ``share`` keys, are broadcast and their rows stay where they are; the others are shuffled.
     """
     total = facts.agg(F.sum(copies)).first()[0] or 0
     hot = F.col(copies) * share >= F.lit(total)
-    often = F.broadcast(facts.where(hot))
-    return rows.join(often, key).unionByName(rows.join(often.select(key), key, "left_anti").join(facts.where(~hot), key))
+    often = facts.where(hot)
+    names = F.broadcast(often.select(key))
+    return rows.join(F.broadcast(often), key).unionByName(rows.join(names, key, "left_anti").join(facts.where(~hot), key))

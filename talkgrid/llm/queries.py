@@ -6,6 +6,7 @@ from .chat import op1_query
 from .exactdedup import OP10_SQL, op10_query
 from .hardneg import OP11_SQL, op11_query
 from .importance import op9_query
+from .jaccard import op12_query
 from .mixing import op7_query
 from .neardedup import op5_query
 from .pieces import op3_query
@@ -25,6 +26,7 @@ QUERIES = {
     "op9_importance": op9_query,
     "op10_exact_dedup": op10_query,
     "op11_hard_negatives": op11_query,
+    "op12_jaccard_join": op12_query,
     "op13_token_alignment": op13_query,
 }
 
