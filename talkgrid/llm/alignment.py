@@ -17,7 +17,6 @@ distinct ids before they are paired. More columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import json
 from functools import lru_cache
 
 import numpy as np
@@ -25,7 +24,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .binary import BYTE_LEVEL, byte_model
+from .binary import byte_model
+from .bytelevel import ByteLevel
 from .common import join_hot, pieces_of_batch, table, text_or_empty, written
 from .pieces import SPACE, model_bytes, piece_model
 
@@ -33,8 +33,6 @@ from .pieces import SPACE, model_bytes, piece_model
 WIDE_GROUP = 4096
 #: A chunk ends with the first slice of texts (1 MB) that reaches either bound.
 CHUNK_BYTES, CHUNK_PAIRS = 16 << 20, 400_000
-#: A run of this many characters without a change between space and other goes to the library that owns the model.
-LONG_RUN = 4096
 LINKED = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("sha", pa.string()), ("copies", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()),
                     ("n_links", pa.int64()), ("groups_sha256", pa.string()), ("pairs", pa.binary()), ("links", pa.binary()), ("codes", pa.list_(pa.int64())), ("docs", pa.list_(pa.int64()))])
 LINKED_SQL = ("chunk bigint, kind int, sha string, copies bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, pairs binary, links binary, "
@@ -43,55 +41,6 @@ LINKED_SQL = ("chunk bigint, kind int, sha string, copies bigint, n_a bigint, n_
 MEASURES = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 
 
-class ByteSide:
-    """The byte-level tokenizer; special tokens inside texts are plain text.
-
-    A model whose merges are numbered like its ids is run by tiktoken, which then finds the same tokens several times faster; any other
-    model, and texts with endless words, by the tokenizers library.
-    """
-
-    def __init__(self, model: bytes):
-        from tokenizers import Tokenizer
-        self.library = Tokenizer.from_buffer(model)
-        self.library.encode_special_tokens = True
-        spec = json.loads(model)
-        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-        byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
-        vocabulary = spec["model"]["vocab"]
-        self.bytes = [b""] * (1 + max(self.library.get_vocab(with_added_tokens=True).values()))
-        for p, i in vocabulary.items():
-            self.bytes[i] = bytes(byte[c] for c in p)
-        self.fast = None
-        merges = [x.split(" ") if isinstance(x, str) else x for x in spec["model"]["merges"]]
-        if spec.get("normalizer") is None and spec.get("pre_tokenizer") == BYTE_LEVEL and all(vocabulary.get(a + b) == 256 + k for k, (a, b) in enumerate(merges)) \
-                and len(vocabulary) == 256 + len(merges):
-            import public_tokenizers
-            import tiktoken
-            self.fast = tiktoken.Encoding("byte-level", pat_str=public_tokenizers.PATTERN, mergeable_ranks={self.bytes[i]: i for i in vocabulary.values()}, special_tokens={})
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        if self.fast is None:
-            return [e.ids for e in self.library.encode_batch(texts, add_special_tokens=False)]
-        return [self.fast.encode_ordinary(t) if not endless(t) else self.library.encode(t, add_special_tokens=False).ids for t in texts]
-
-
-def endless(text: str) -> bool:
-    """Whether the text holds a word, or white space, of more than ``LONG_RUN`` characters."""
-    if len(text) <= LONG_RUN:
-        return False
-    words = text.split()
-    return max(map(len, words), default=0) > LONG_RUN or (len(text) - sum(map(len, words)) > LONG_RUN and not _short_gaps(text))
-
-
-def _short_gaps(text: str) -> bool:
-    gap = 0
-    for c in text:
-        gap = gap + 1 if c.isspace() else 0
-        if gap > LONG_RUN:
-            return False
-    return True
-
-
 class PieceSide:
     """The sentencepiece tokenizer, which puts a space before a text."""
 
@@ -106,7 +55,7 @@ class PieceSide:
 
 @lru_cache(maxsize=2)
 def _aligner(byte_level: bytes, pieces: bytes):
-    return Aligner(ByteSide(byte_level), PieceSide(pieces))
+    return Aligner(ByteLevel(byte_level, special=False), PieceSide(pieces))
 
 
 def _counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

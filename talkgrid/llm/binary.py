@@ -12,20 +12,17 @@ bytes again. ``pyarrow.fs`` opens the folder, so it may lie in any store that it
 
 from __future__ import annotations
 
-import json
-import os
 import uuid
 import zlib
-from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .bytelevel import ByteLevel
 from .common import new_folder, pieces_of_batch, table, text_or_empty
 from .pieces import model_bytes
-from .unitcache import UnitCache
 
 def id_type(vocabulary: int) -> pa.DataType:
     """The narrowest unsigned type that holds every id."""
@@ -37,46 +34,12 @@ def _sequence_schema(length: int, kind: pa.DataType) -> pa.Schema:
 
 
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
-_ENCODERS: dict[int, UnitCache] = {}
-#: The byte-level pre-tokenizer and the pattern it stands for.
-BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
-GPT_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def byte_encoder(model: bytes) -> UnitCache:
-    """One per Python worker and model; ids of texts as unsigned 32-bit integers."""
-    key = hash(model)
-    if key not in _ENCODERS:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-        t = Tokenizer.from_buffer(model)
-
-        def encode(units: list[str]) -> list[bytes]:
-            out = []
-            for i in range(0, len(units), 2048):
-                out.extend(np.array(e.ids, np.uint32).tobytes() for e in t.encode_batch(units[i:i + 2048], add_special_tokens=False))
-            return out
-
-        # where the tokenizer itself cuts before it merges; a special token is looked for in the whole unit
-        pattern = regex.compile(GPT_SPLIT)
-        special = [x.content for x in t.get_added_tokens_decoder().values()]
-
-        def cut(unit: str) -> list[str] | None:
-            return None if any(x in unit for x in special) else pattern.findall(unit)
-
-        # bytes as the letters that the library's byte-level models are written in
-        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-        letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
-        tokenize = t.model.tokenize
-
-        def part(unit: str) -> bytes:
-            return array("I", [x.id for x in tokenize(unit.encode().decode("latin-1").translate(letters))]).tobytes()
-
-        plain = json.loads(model)
-        plain = plain.get("normalizer") is None and plain.get("pre_tokenizer") == BYTE_LEVEL
-        _ENCODERS[key] = UnitCache(encode, cut=cut if plain else None, part=part)
-        _ENCODERS[key].vocabulary = t.get_vocab_size()
-    return _ENCODERS[key]
+@lru_cache(maxsize=2)
+def byte_encoder(model: bytes) -> ByteLevel:
+    """One per Python worker and model."""
+    return ByteLevel(model, special=True)
 
 
 def _open(folder: str):
@@ -178,11 +141,11 @@ def write_sequences(docs: DataFrame, folder: str, model_path: str, text: str = "
                 if data is None:
                     filesystem.create_dir(root, recursive=True)
                     name = f"part-{b.column(2)[0].as_py():06d}"
-                    data = SequenceWriter(filesystem, f"{root}/{name}.arrow", length, rows, id_type(max(encoder.vocabulary, end_id + 1)))
+                    data = SequenceWriter(filesystem, f"{root}/{name}.arrow", length, rows, id_type(max(encoder.size, end_id + 1)))
                     index_draft = f"{root}/{name}.index.{uuid.uuid4().hex}"
                     index_sink = filesystem.open_output_stream(index_draft)
                     index = pa.ipc.new_file(index_sink, INDEX)
-                got = [np.frombuffer(g + end_id.to_bytes(4, "little"), np.uint32) for g in encoder.texts(b.column(1).to_pylist())]
+                got = [np.array([*ids, end_id], np.uint32) for ids in encoder.encode(b.column(1).to_pylist())]
                 sizes = np.array([len(g) for g in got], np.int64)
                 starts = data.total + np.cumsum(sizes) - sizes
                 index.write_batch(pa.RecordBatch.from_arrays([b.column(0), pa.array(starts), pa.array(sizes)], schema=INDEX))

@@ -1,6 +1,6 @@
 """Encoding texts word by word, each distinct word once.
 
-Both tokenizers of this subpackage never join what stands before a space (after something other than white space)
+A sentencepiece model without pieces across a word's start never joins what stands before a space (after something other than white space)
 with what follows it. So a text falls into units at those spaces, and a unit's ids are looked up in a cache of
 bounded size, which every text of a task shares.
 """
@@ -17,16 +17,13 @@ SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 class UnitCache:
     """``encode(units) -> list of bytes``; a unit is a word with the space before it, or the first word of a text.
 
-    ``cut(unit)`` may name the parts of a unit that are never merged with each other (or None), and ``part`` encodes one of them: a word
-    with a comma is rarer than the word. When the cache is full it becomes the old one, from which words still in use move to the new.
+    When the cache is full it becomes the old one, from which words still in use move to the new.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 400_000, cut: Callable[[str], list[str] | None] | None = None,
-                 part: Callable[[str], bytes] | None = None):
-        self.encode, self.limit, self.cut, self.part = encode, limit, cut, part
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 400_000):
+        self.encode, self.limit = encode, limit
         self.inner: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
 
     def _learn(self, words: list[str]) -> None:
         """Fills the cache for words that stand after a space."""
@@ -40,31 +37,7 @@ class UnitCache:
                 else:
                     inner[w] = got
             words = rest
-        if self.cut is None:
-            inner.update(zip(words, self.encode([" " + w for w in words])))
-            return
-        parts = self.parts
-        if len(parts) > self.limit:
-            parts.clear()
-        made, whole = [], []
-        for w in words:
-            ps = [" " + w] if w.isalpha() else self.cut(" " + w)
-            if ps is None:
-                whole.append(w)
-            else:
-                made.append((w, ps))
-        inner.update(zip(whole, self.encode([" " + w for w in whole])))
-        # only words without white space at their ends may enter the cache of words
-        word = lambda p: p[0] == " " and p[1:] != "" and p[1:].strip() == p[1:]
-        todo = list({p: None for _, ps in made for p in ps if p not in parts and not (word(p) and p[1:] in inner)})
-        for p in todo:
-            if word(p):
-                inner[p[1:]] = self.part(p)
-            else:
-                parts[p] = self.part(p)
-        for w, ps in made:
-            if len(ps) > 1 or not word(ps[0]):
-                inner[w] = b"".join([inner[p[1:]] if word(p) else parts[p] for p in ps])
+        inner.update(zip(words, self.encode([" " + w for w in words])))
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes."""

@@ -8,7 +8,7 @@ from itertools import product
 import public_tokenizers
 import pytest
 
-from talkgrid.llm import alignment
+from talkgrid.llm import alignment, bytelevel
 from talkgrid.llm.alignment import align_tokenizers, op13_query
 
 BYTE, PIECE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -84,7 +84,7 @@ def test_awkward_texts(spark):
 
 def test_wide_groups_and_no_fast_path(spark, monkeypatch):
     rows = list(enumerate(AWKWARD))
-    aligner = alignment.Aligner(alignment.ByteSide(open(BYTE, "rb").read()), alignment.PieceSide(open(PIECE, "rb").read()))
+    aligner = alignment.Aligner(bytelevel.ByteLevel(open(BYTE, "rb").read(), special=False), alignment.PieceSide(open(PIECE, "rb").read()))
     texts = [t or "" for t in AWKWARD]
     plain = aligner.align(texts)
     monkeypatch.setattr(alignment, "WIDE_GROUP", 0)
@@ -103,4 +103,4 @@ def test_empty_table_and_clashing_columns(spark):
 
 @pytest.mark.parametrize("text", ["a" * 4096, "a" * 4097, " " * 4097, "a b" * 3000])
 def test_endless_words_go_to_the_library(text):
-    assert alignment.endless(text) == (max((len(w) for w in text.split()), default=0) > 4096 or text.isspace())
+    assert bytelevel.endless(text) == (max((len(w) for w in text.split()), default=0) > 4096 or text.isspace())
