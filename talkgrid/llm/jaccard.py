@@ -10,9 +10,7 @@ groups there are: a *cell* holds the sets that have a token among their ``firsts
 but for a probability of (1 - threshold) ^ firsts, 1.3e-10 at 0.85 and 12, and sets of up to ``firsts`` tokens always do.
 Cells with many members are split by size and hash into tiles, and pairs of tiles whose sizes fit are joined.
 
-Three rounds confirm links (see ``linking``): cells of the smallest token, which unite most of a large group of near copies; all cells that still hold more than one
-component, with the best few candidates of every two components; and these cells once more, without a limit. Nothing is left out in the last round, the others make it small. Texts with equal sets are one
-node throughout.
+Links are confirmed in rounds (see ``linking``). Texts with equal sets are one node throughout.
 
 Null and empty texts, and texts without words, have an empty set and are linked with nothing. Rows without an id are linked with nothing either and keep a null component. Rows that repeat an id
 are judged by their own texts; each row gives one row. Very long texts count whole. More columns are ignored.
@@ -24,12 +22,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import join_hot, per_batch, table, text_or_empty, written
-from .linking import GROUP_SQL, candidate_groups, confirmed, fingerprints, labelled
-from .neardedup import shingle_sets
+from .common import per_batch, table, text_or_empty, written
+from .linking import linked_rows
+from .shingles import fingerprints, shingle_sets
 
-#: Members of a cell (or of both sides of a pair of tiles) that are joined in one go.
-TILE = 1024
+#: Points of a leaf; cells of no more are joined without a tree.
 LEAF = 16
 #: Point pairs whose coordinate minima are summed at once.
 PAIRS = 1 << 15
@@ -128,91 +125,29 @@ def _near(points, n, a, b, percent):
         yield x[fit], y[fit], bound[fit]
 
 
-def _tiles(batches):
-    """Rows sorted by tile ``(cell, t1, t2)``, cut into runs of whole tiles."""
-    rest = None
-    for b in batches:
-        t = pa.Table.from_batches([b])
-        rest = t if rest is None else pa.concat_tables([rest, t])
-        if rest.num_rows < 4 * TILE:
-            continue
-        key = [rest.column(c).to_numpy() for c in ("cell", "t1", "t2")]
-        new = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in key]))
-        if len(new):
-            last = int(new[-1]) + 1
-            yield rest.slice(0, last)
-            rest = rest.slice(last)
-    if rest is not None and rest.num_rows:
-        yield rest
-
-
-def _join(percent: int, groups: int, partners: int | None):
-    """A ``mapInArrow`` function over tile rows ``(cell, t1, t2, side, node, n, comp, point)``: groups of nodes that candidates connect."""
-    def pairs_of(size, cut, points, n):
-        for m in np.unique(size[(size > 1) & (size <= LEAF)]).tolist():
+def _candidates(percent: int, groups: int):
+    """Candidates within tiles: all pairs of a leaf's worth of points, the tree's pairs of more."""
+    def pairs_of(t: pa.Table, heads: np.ndarray, sizes: np.ndarray):
+        n = t.column("n").to_numpy()
+        points = np.stack([np.frombuffer(r, np.uint8 if len(r) == groups else np.uint32) for r in t.column("point").to_pylist()]).astype(np.int32)
+
+        def likely(found, at=0):
+            for a, b, bound in found:
+                yield a + at, b + at, bound / (n[a + at] + n[b + at])
+
+        for m in np.unique(sizes[(sizes > 1) & (sizes <= LEAF)]).tolist():
             i, j = np.triu_indices(m, 1)
-            heads = cut[size == m][:, None]
-            yield from _near(points, n, (heads + i).ravel(), (heads + j).ravel(), percent)
-        for g in np.flatnonzero(size > LEAF).tolist():
-            c = slice(cut[g], cut[g] + size[g])
-            for a, b, bound in CountTree(points[c], n[c]).pairs(percent):
-                yield a + cut[g], b + cut[g], bound
-
-    def run(batches):
-        for t in _tiles(batches):
-            key = [t.column(c).to_numpy() for c in ("cell", "t1", "t2")]
-            side, node, n, comp = (t.column(c).to_numpy() for c in ("side", "node", "n", "comp"))
-            raw = t.column("point").to_pylist()
-            points = np.stack([np.frombuffer(r, np.uint8 if len(r) == groups else np.uint32) for r in raw]).astype(np.int32)
-            cut = np.concatenate(([0], 1 + np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in key]))))
-            size = np.diff(np.append(cut, len(node)))
-            within = key[1] == key[2]
-            found = []
-            for a, b, bound in pairs_of(size, cut, points, n):
-                ok = (comp[a] != comp[b]) & (within[a] | (side[a] != side[b]))
-                found.append((a[ok], b[ok], bound[ok]))
-            if not found:
-                continue
-            a, b, bound = (np.concatenate(c) for c in zip(*found))
-            if partners and len(a):
-                tile = np.repeat(np.arange(len(cut)), size)[a]
-                x, y = np.minimum(comp[a], comp[b]), np.maximum(comp[a], comp[b])
-                by = np.lexsort((2 * bound - n[a] - n[b], y, x, tile))[::-1]
-                k = np.stack([tile[by], x[by], y[by]])
-                new = np.concatenate(([True], (k[:, 1:] != k[:, :-1]).any(0)))
-                head = np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))
-                by = by[np.arange(len(by)) - head < partners]
-                a, b = a[by], b[by]
-            out = candidate_groups(node, a, b)
-            if out is not None:
-                yield out
-
-    return run
-
-
-def tiled(posted: DataFrame, percent: int) -> DataFrame:
-    """``(cell, t1, t2, side, node, n)``: members of each cell, in one tile or, where there are more than ``TILE``, in pairs of tiles whose sizes fit."""
-    sized = posted.withColumn("band", F.floor(F.log("n") / F.log(F.lit(100 / percent)) + 1e-9).cast("bigint"))
-    bands = sized.groupBy("cell", "band").agg(F.count(F.lit(1)).alias("m"))
-    cells = bands.groupBy("cell").agg(F.sum("m").alias("members"))
-    small = posted.join(cells.where(f"members between 2 and {TILE}").select("cell"), "cell", "left_semi")
-    zero = F.lit(0).cast("bigint")
-    small = small.select("cell", zero.alias("t1"), zero.alias("t2"), zero.alias("side"), "node", "n")
-    # sets that fit lie in one band or in neighbouring ones
-    split = bands.join(cells.where(f"members > {TILE}").select("cell"), "cell", "left_semi").withColumn("parts", F.ceil(F.col("m") * 2 / TILE))
-    other = split.select("cell", F.col("band").alias("other"), F.col("parts").alias("other_parts"))
-    near = split.join(other, "cell").where(F.abs(F.col("band") - F.col("other")) <= 1).select("cell", "band", "parts", "other", "other_parts")
-    name = lambda band, part: F.col(band) * (1 << 32) + part
-    large = sized.join(near, ["cell", "band"])
-    large = large.withColumn("side", name("band", F.pmod(F.xxhash64("node"), F.col("parts"))))
-    large = large.withColumn("with", F.explode(F.sequence(zero, F.col("other_parts") - 1))).withColumn("with", name("other", F.col("with")))
-    large = large.select("cell", F.least("side", "with").alias("t1"), F.greatest("side", "with").alias("t2"), "side", "node", "n")
-    return small.unionByName(large)
+            head = heads[sizes == m][:, None]
+            yield from likely(_near(points, n, (head + i).ravel(), (head + j).ravel(), percent))
+        for g in np.flatnonzero(sizes > LEAF).tolist():
+            c = slice(heads[g], heads[g] + sizes[g])
+            yield from likely(CountTree(points[c], n[c]).pairs(percent), heads[g])
+
+    return pairs_of
 
 
 def jaccard_links(docs: DataFrame, words: int = 5, percent: int = 80, groups: int = 128, firsts: int = 12, partners: int = 4, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per input row: ``(doc_id, n_shingles, component_id)``; texts are linked where ``100 * intersection >= percent * union``."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = written(count_points(docs, words, groups, firsts, text, key), "points")
     real = rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = real.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.any_value("point").alias("point"), F.any_value("firsts").alias("firsts"))
@@ -220,33 +155,8 @@ def jaccard_links(docs: DataFrame, words: int = 5, percent: int = 80, groups: in
     posted = nodes.select("node", "n", F.posexplode("firsts").alias("place", "cell"))
     shared = posted.groupBy("cell").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("cell")
     posted = written(posted.join(shared, "cell", "left_semi"), "posted")
-
-    comps, edges = nodes.select("node", F.col("node").alias("comp")), None
-    for place, limit in ((0, None), (firsts, partners), (firsts, None)):
-        here = posted.where(F.col("place") <= place).drop("place")
-        if edges is not None:
-            open_ = here.join(comps, "node").groupBy("cell").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
-            here = here.join(open_.select("cell"), "cell", "left_semi")
-        tiles = tiled(here, percent).join(comps, "node").join(nodes.select("node", "point"), "node").select("cell", "t1", "t2", "side", "node", "n", "comp", "point")
-        tiles = tiles.repartition(parts, "cell", "t1", "t2").sortWithinPartitions("cell", "t1", "t2")
-        found = written(tiles.mapInArrow(_join(percent, groups, limit), GROUP_SQL).distinct(), "groups")
-        if found.isEmpty():
-            if place:
-                break
-            continue
-        more = confirmed(found, nodes, comps, docs, words, percent, text, key)
-        if not more.isEmpty():
-            edges = more if edges is None else edges.unionByName(more)
-            comps = labelled(nodes, edges)
-
-    named = nodes.join(comps, "node")
-    least = named.groupBy("comp").agg(F.min("first").alias("component_id"))
-    facts = written(named.join(least, "comp").select("s1", "s2", "n", "copies", "component_id"), "named")
-    plain = rows.select("doc_id", "n", "s1", "s2")
-    linked = join_hot(plain.where((F.col("n") > 0) & F.col("doc_id").isNotNull()), facts, ["s1", "s2", "n"], "copies")
-    alone = plain.where((F.col("n") == 0) | F.col("doc_id").isNull()).withColumn("component_id", F.col("doc_id"))
-    pick = ["doc_id", F.col("n").alias("n_shingles"), "component_id"]
-    return linked.select(*pick).unionByName(alone.select(*pick))
+    linked = linked_rows(rows.select("doc_id", "n", "s1", "s2"), nodes.drop("firsts"), posted, _candidates(percent, groups), docs, words, percent, partners, text, key)
+    return linked.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def op12_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,25 +7,18 @@ not reached yet) and returns a spanning forest. Nodes whose components are known
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import mix64, per_batch, text_or_empty, written
-from .neardedup import FILTER_BITS, _constants, components, shingle_sets
+from .common import FILTER_BITS, join_hot, mix64, per_batch, text_or_empty, written
+from .shingles import fingerprints, shingle_sets
 
 GROUP_SQL = "g1 bigint, g2 bigint, node bigint"
-
-
-def fingerprints(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Two 64-bit sums per set that tell it from others; zeros for an empty set."""
-    out = np.zeros((2, len(offsets) - 1), np.uint64)
-    some = np.flatnonzero(np.diff(offsets) > 0)
-    if len(some):
-        with np.errstate(over="ignore"):
-            for i, c in enumerate((0x1234567, 0x7654321)):
-                out[i, some] = np.add.reduceat(mix64(h ^ np.uint64(c)), offsets[some])
-    return out.view(np.int64)
+#: Members of a cell (or of both sides of a pair of tiles) that are compared in one go.
+TILE = 1024
 
 
 def united(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -61,8 +54,81 @@ def candidate_groups(node: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(names[0]), pa.array(names[1]), pa.array(nodes)], names=["g1", "g2", "node"])
 
 
+def _tiles(batches):
+    """Rows sorted by tile ``(cell, t1, t2)``, cut into runs of whole tiles."""
+    rest = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        rest = t if rest is None else pa.concat_tables([rest, t])
+        if rest.num_rows < 4 * TILE:
+            continue
+        key = [rest.column(c).to_numpy() for c in ("cell", "t1", "t2")]
+        new = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in key]))
+        if len(new):
+            last = int(new[-1]) + 1
+            yield rest.slice(0, last)
+            rest = rest.slice(last)
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+def tiled(posted: DataFrame, percent: int) -> DataFrame:
+    """``(cell, t1, t2, side, node, n)``: members of each cell, in one tile or, where there are more than ``TILE``, in pairs of tiles whose sizes fit."""
+    sized = posted.withColumn("band", F.floor(F.log("n") / F.log(F.lit(100 / percent)) + 1e-9).cast("bigint"))
+    bands = sized.groupBy("cell", "band").agg(F.count(F.lit(1)).alias("m"))
+    cells = bands.groupBy("cell").agg(F.sum("m").alias("members"))
+    small = posted.join(cells.where(f"members between 2 and {TILE}").select("cell"), "cell", "left_semi")
+    zero = F.lit(0).cast("bigint")
+    small = small.select("cell", zero.alias("t1"), zero.alias("t2"), zero.alias("side"), "node", "n")
+    # sets that fit lie in one band or in neighbouring ones
+    split = bands.join(cells.where(f"members > {TILE}").select("cell"), "cell", "left_semi").withColumn("parts", F.ceil(F.col("m") * 2 / TILE))
+    other = split.select("cell", F.col("band").alias("other"), F.col("parts").alias("other_parts"))
+    near = split.join(other, "cell").where(F.abs(F.col("band") - F.col("other")) <= 1).select("cell", "band", "parts", "other", "other_parts")
+    name = lambda band, part: F.col(band) * (1 << 32) + part
+    large = sized.join(near, ["cell", "band"])
+    large = large.withColumn("side", name("band", F.pmod(F.xxhash64("node"), F.col("parts"))))
+    large = large.withColumn("with", F.explode(F.sequence(zero, F.col("other_parts") - 1))).withColumn("with", name("other", F.col("with")))
+    large = large.select("cell", F.least("side", "with").alias("t1"), F.greatest("side", "with").alias("t2"), "side", "node", "n")
+    return small.unionByName(large)
+
+
+def tile_join(pairs_of: Callable, percent: int, partners: int | None):
+    """A ``mapInArrow`` function over rows ``(cell, t1, t2, side, node, n, comp, ..)`` sorted by tile: groups of nodes that candidates connect.
+
+    ``pairs_of(table, heads, sizes)`` yields candidates ``(a, b, likeness)``, rows of the table, within its tiles. Only pairs of different components
+    count, of the two sides where there are two, with sizes that fit; ``partners`` keeps the best few of every two components.
+    """
+    def run(batches):
+        for t in _tiles(batches):
+            key = [t.column(c).to_numpy() for c in ("cell", "t1", "t2")]
+            side, node, n, comp = (t.column(c).to_numpy() for c in ("side", "node", "n", "comp"))
+            cut = np.concatenate(([0], 1 + np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in key]))))
+            size = np.diff(np.append(cut, len(node)))
+            within = key[1] == key[2]
+            found = []
+            for a, b, likeness in pairs_of(t, cut, size):
+                ok = (comp[a] != comp[b]) & (within[a] | (side[a] != side[b])) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+                found.append((a[ok], b[ok], likeness[ok]))
+            if not found:
+                continue
+            a, b, likeness = (np.concatenate(c) for c in zip(*found))
+            if partners and len(a):
+                tile = np.repeat(np.arange(len(cut)), size)[a]
+                x, y = np.minimum(comp[a], comp[b]), np.maximum(comp[a], comp[b])
+                by = np.lexsort((-likeness, y, x, tile))
+                k = np.stack([tile[by], x[by], y[by]])
+                new = np.concatenate(([True], (k[:, 1:] != k[:, :-1]).any(0)))
+                by = by[np.arange(len(by)) - np.maximum.accumulate(np.where(new, np.arange(len(by)), 0)) < partners]
+                a, b = a[by], b[by]
+            out = candidate_groups(node, a, b)
+            if out is not None:
+                yield out
+
+    return run
+
+
 def _hashed(column: str):
-    """1 to ``FILTER_BITS``: Spark numbers bitmap buckets from 1 for positive numbers only."""
+    """1 to ``FILTER_BITS``: Spark numbers bitmap buckets from 1 for positive numbers only, 0 has a bucket of its own."""
     return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)) + 1
 
 
@@ -194,6 +260,62 @@ def confirmed(groups: DataFrame, nodes: DataFrame, comps: DataFrame, docs: DataF
     return written(rows.mapInArrow(_confirm(percent), "a bigint, b bigint"), "links")
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """``(node, comp)`` of every node of ``edges(a, b)``: the smallest node it is connected with.
+
+    Alternating star contraction: neighbours above a node hang on the least of its neighbourhood, then those below it. Every round is a
+    written table; rounds end when count and checksum of the edges stay the same. Their number grows with the logarithm of the nodes.
+    """
+    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    before = None
+    while True:
+        e = written(e, "stars")
+        now = e.agg(F.count(F.lit(1)), F.sum(F.shiftright(F.xxhash64("u", "v"), 24))).first()
+        if now == before:
+            return e.select(F.col("u").alias("node"), F.col("v").alias("comp"))
+        before = now
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        e = large.join(least, "u").select("v", "m").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
+            least.select("u", F.col("m").alias("v"))).distinct()
+
+
 def labelled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(node, comp)`` of every node, written."""
     return written(nodes.select("node").join(components(edges), "node", "left").select("node", F.coalesce("comp", "node").alias("comp")), "components")
+
+
+def linked_rows(rows: DataFrame, nodes: DataFrame, posted: DataFrame, pairs_of: Callable, docs: DataFrame, words: int, percent: int, partners: int, text: str, key: str) -> DataFrame:
+    """``rows(doc_id, n, s1, s2, ..)`` with ``component_id``; a row without an id or with an empty set is linked with nothing.
+
+    ``nodes(node, first, copies, n, s1, s2, ..)`` are the classes of equal sets, ``posted(node, n, place, cell)`` the cells where a node is posted. Three rounds confirm links: cells
+    of the first place, which unite most of a large group of near copies; all cells that still hold more than one component, with the ``partners`` best candidates of every two
+    components; and these cells once more, without a limit. Nothing is left out in the last round, the others make it small.
+    """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    comps, edges = nodes.select("node", F.col("node").alias("comp")), None
+    details = [c for c in nodes.columns if c not in ("first", "copies", "n", "s1", "s2")]
+    for first, limit in ((True, None), (False, partners), (False, None)):
+        here = (posted.where("place = 0") if first else posted).drop("place")
+        if edges is not None:
+            mixed = here.join(comps, "node").groupBy("cell").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
+            here = here.join(mixed.select("cell"), "cell", "left_semi")
+        tiles = tiled(here, percent).join(comps, "node").join(nodes.select(*details), "node")
+        tiles = tiles.repartition(parts, "cell", "t1", "t2").sortWithinPartitions("cell", "t1", "t2")
+        found = written(tiles.mapInArrow(tile_join(pairs_of, percent, limit), GROUP_SQL).distinct(), "groups")
+        if found.isEmpty():
+            if first:
+                continue
+            break
+        more = confirmed(found, nodes, comps, docs, words, percent, text, key)
+        if not more.isEmpty():
+            edges = more if edges is None else edges.unionByName(more)
+            comps = labelled(nodes, edges)
+    named = nodes.select("node", "first", "copies", "n", "s1", "s2").join(comps, "node")
+    least = named.groupBy("comp").agg(F.min("first").alias("component_id"))
+    facts = written(named.join(least, "comp").select("s1", "s2", "n", "copies", "component_id"), "named")
+    real = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    linked = join_hot(rows.where(real), facts, ["s1", "s2", "n"], "copies").select(*rows.columns, "component_id")
+    return linked.unionByName(rows.where(~real).withColumn("component_id", F.col("doc_id")))

@@ -6,31 +6,29 @@ collides in at least ``least`` coordinates. ``least`` is so low that a pair at t
 probability below one in a million; *prefix* filtering then needs only ``coordinates - least + 1`` of the posting lists, because
 a pair that collides in none of them cannot collide often enough.
 
-A candidate is a link when its full sets confirm it. Only components are wanted, so lists are merged in two steps, neither of
-which writes down the pairs of a group:
+Lists are merged in tiles of bounded size, signature against signature. *Skip merging* leaves out lists whose members are all in one component, pairs within a component, and
+all but the first prefix coordinate that a pair shares. A candidate must also collide in enough bytes of a finer sketch (``FINE`` one-byte minima),
+which rules out most pairs below the threshold before any set is read; again a pair at the threshold fails with a probability below one in a million.
 
-1. *Stars.* Within a list (and a band of set sizes) every member is compared with one leader, in a few rounds with other leaders.
-   A large group of near copies becomes one component here, in linear time.
-   A leader and a member must also collide in enough bytes of a finer sketch (``FINE`` one-byte minima), which rules out most pairs below
-   the threshold before any set is read; again a pair at the threshold fails with a probability below one in a million.
-2. *Skip merging.* Lists whose members all lie in one component are skipped. In the others all members of different
-   components are compared, signature against signature, in tiles of bounded size; a pair counts at the first prefix coordinate
-   that it shares, and is passed on only with enough collisions, in the sketch too. This loses no link.
+A candidate is a link when its full sets confirm it. No pair is ever written down: candidates leave a tile as groups of nodes, and
+``linking`` confirms a group where its sets meet, along links, in three rounds.
 
-Lists of unrelated texts (a very common shingle that happens to be the minimum of many) stay quadratic in step 2, in comparisons, not in rows.
+Lists of unrelated texts (a very common shingle that happens to be the minimum of many) stay quadratic in comparisons of signatures, not in rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import mix64, per_batch, pieces_of_batch, table, text_bytes, text_or_empty, word_bounds, written
+from .common import mix64, per_batch, table, text_or_empty, written
+from .linking import linked_rows
+from .shingles import constants, fingerprints, shingle_sets
 
-TILE = 1024
 #: Coordinates of the finer sketch; one byte each, so unrelated ones collide once in 256.
 FINE = 128
 
@@ -46,320 +44,105 @@ def least_collisions(coordinates: int, threshold: float, miss: float = 1e-6) ->
     return max(1, t)
 
 
-def _constants(n: int, seed: int) -> np.ndarray:
-    return mix64(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) | np.uint64(1)
-
-
-def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct 64-bit shingles of every text, sorted, one text after the other, and the n + 1 offsets.
-
-    A-Z count as a-z. A text with fewer words than a shingle has its whole sequence as one shingle, one without words has none.
-    """
-    raw, offsets = text_bytes(texts)
-    n = len(offsets) - 1
-    starts, ends = word_bounds(raw, offsets)
-    if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
-    lower = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint8)
-    letter = _constants(256, 11)
-    size = ends - starts
-    word_at = np.repeat(np.arange(len(starts)), size)
-    place = np.arange(len(word_at)) - np.repeat(np.cumsum(size) - size, size)
-    with np.errstate(over="ignore"):
-        power = np.cumprod(np.full(int(size.max()), 0x9E3779B97F4A7C15, np.uint64))
-        value = letter[lower[starts[word_at] + place]] * power[place]
-        w = mix64(np.add.reduceat(value, np.cumsum(size) - size))
-        doc = np.searchsorted(offsets, starts, "right") - 1
-        count = np.bincount(doc, minlength=n)
-        first = np.cumsum(count) - count
-        made = np.where(count >= words, count - words + 1, (count > 0).astype(np.int64))
-        owner = np.repeat(np.arange(n), made)
-        at = first[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(made) - made, made)
-        order = _constants(words, 23)
-        h = np.zeros(len(owner), np.uint64)
-        last = first[owner] + count[owner]
-        for j in range(words):
-            h += np.where(at + j < last, w[np.minimum(at + j, len(w) - 1)], np.uint64(0)) * order[j]
-        h = mix64(h + np.minimum(count[owner], words).astype(np.uint64))
-    by = np.lexsort((h, owner))
-    h, owner = h[by], owner[by]
-    new = np.concatenate(([True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])))
-    h, owner = h[new], owner[new]
-    return h, np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=n))))
-
-
-def signatures(docs: DataFrame, words: int, coordinates: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``(doc_id, n, s1, s2, sig, fine)``: set size, two fingerprints of the set, the minima (none for an empty set), the finer sketch."""
-    factor, salt = _constants(coordinates, 37), _constants(coordinates, 41)
-    factor2, salt2 = _constants(FINE, 53), _constants(FINE, 59)
+def signatures(docs: DataFrame, words: int, coordinates: int, text: str = "text", key: str = "doc_id", carry: Sequence[str] = ()) -> DataFrame:
+    """``(doc_id, n, s1, s2, sig, fine, c0, ..)``: set size, two fingerprints of the set, the minima (none for an empty set), the finer sketch; then the ``carry`` columns."""
+    factor, salt = constants(coordinates, 37), constants(coordinates, 41)
+    factor2, salt2 = constants(FINE, 53), constants(FINE, 59)
+    d = docs.select(F.col(key).cast("bigint").alias("doc_id"), text_or_empty(text).alias("x"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
+    more = d.columns[2:]
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         h, offsets = shingle_sets(b.column(1), words)
         n = np.diff(offsets)
         some = np.flatnonzero(n > 0)
-        prints = np.zeros((2, len(n)), np.uint64)
         flat = np.zeros((len(some), coordinates), np.int32)
         fine = np.zeros((len(n), FINE), np.uint8)
         if len(some):
             cuts = offsets[some]
             with np.errstate(over="ignore"):
-                for i, c in enumerate((0x1234567, 0x7654321)):
-                    prints[i, some] = np.add.reduceat(mix64(h ^ np.uint64(c)), cuts)
                 for j in range(coordinates):
                     flat[:, j] = np.minimum.reduceat(((h ^ salt[j]) * factor[j]) >> np.uint64(32), cuts).astype(np.uint32).view(np.int32)
                 for j in range(FINE):
                     fine[some, j] = np.minimum.reduceat(((h ^ salt2[j]) * factor2[j]) >> np.uint64(24), cuts) & np.uint64(255)
         ends = np.concatenate(([0], np.cumsum(np.where(n > 0, coordinates, 0)))).astype(np.int32)
-        sig = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.ravel()))
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(n.astype(np.int64)), pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)), sig, pa.array([r.tobytes() for r in fine], pa.binary())],
-                                          names=["doc_id", "n", "s1", "s2", "sig", "fine"])
-
-    d = docs.select(F.col(key).cast("bigint").alias("doc_id"), text_or_empty(text).alias("x"))
-    return d.mapInArrow(per_batch(run, 256), "doc_id bigint, n bigint, s1 bigint, s2 bigint, sig array<int>, fine binary")
-
-
-#: Bits of the filter in front of the texts: 2 MB at most, whatever the number of wanted documents.
-FILTER_BITS = 1 << 24
-
-
-def _hashed_id():
-    """1 to ``FILTER_BITS``: Spark numbers bitmap buckets from 1 for positive numbers only, 0 has a bucket of its own."""
-    return F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS)) + 1
-
-
-def _wanted_bits(nodes: DataFrame) -> np.ndarray:
-    """A bitmap of hashed ids: 512 pieces of 4 KB, built in Spark."""
-    bit = _hashed_id()
-    parts = nodes.groupBy(F.bitmap_bucket_number(bit).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in parts:
-        out[(r.b - 1) * 4096:r.b * 4096] = np.frombuffer(r.bits, np.uint8)
-    return out
-
-
-def _sets_of(docs: DataFrame, nodes: DataFrame, words: int, text: str, key: str) -> DataFrame:
-    """``(node, shingles)`` of the wanted documents, from their whole texts.
-
-    Texts are not shuffled: a bitmap of fixed size drops most unwanted ones where they are read, a join on the ids drops the rest. With more wanted
-    documents than bits the bitmap drops less and the join more; the result is the same.
-    """
-    sent = docs.sparkSession.sparkContext.broadcast(_wanted_bits(nodes))
-
-    def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
-        bit = b.column(2).to_numpy()
-        b = b.filter(pa.array((sent.value[bit >> 3] >> (bit & 7)) & 1 == 1))
-        if not b.num_rows:
-            return None
-        h, offsets = shingle_sets(b.column(1), words)
-        return pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(h.view(np.int64)))], names=["node", "shingles"])
-
-    d = docs.select(F.col(key).cast("bigint").alias("node"), text_or_empty(text).alias("x")).where(F.col("node").isNotNull())
-    # bitmap_bit_position counts from 0 within a bucket, as the bits of this number do
-    d = d.withColumn("bit", _hashed_id())
-    d = d.withColumn("bit", (F.bitmap_bucket_number("bit") - 1) * 32768 + F.bitmap_bit_position("bit"))
-    return d.mapInArrow(per_batch(run, 256), "node bigint, shingles array<bigint>").join(nodes, "node", "left_semi")
-
-
-def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, text: str, key: str) -> DataFrame:
-    """The pairs ``(a, b)`` whose full sets reach the threshold."""
-    nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
-    sets = written(_sets_of(docs, nodes, words, text, key), "sets")
-    left, right = sets.withColumnsRenamed({"node": "a", "shingles": "x"}), sets.withColumnsRenamed({"node": "b", "shingles": "y"})
-    both = F.size(F.array_intersect("x", "y"))
-    return pairs.select("a", "b").join(right, "b").join(left, "a").where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
-
+        s1, s2 = fingerprints(h, offsets)
+        arrays = [b.column(0), pa.array(n.astype(np.int64)), pa.array(s1), pa.array(s2), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.ravel())), pa.array([r.tobytes() for r in fine], pa.binary())]
+        return pa.RecordBatch.from_arrays([*arrays, *b.columns[2:]], names=["doc_id", "n", "s1", "s2", "sig", "fine", *more])
 
-def _collisions():
-    return F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda e: e))
+    kinds = "".join(f", {c} {d.schema[c].dataType.simpleString()}" for c in more)
+    return d.mapInArrow(per_batch(run, 256), "doc_id bigint, n bigint, s1 bigint, s2 bigint, sig array<int>, fine binary" + kinds)
 
 
-def _sizes_fit(a: str, b: str, percent: int):
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
-
-
-def _same_bytes(least: int):
-    """A ``mapInArrow`` function that keeps pairs ``(a, b, fa, fb)`` whose sketches agree in ``least`` bytes."""
-    def run(batches):
-        for b in batches:
-            for part in pieces_of_batch(b, 8192):
-                x, y = (np.frombuffer(b"".join(part.column(i).to_pylist()), np.uint8).reshape(-1, FINE) for i in (2, 3))
-                yield part.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= least))
-
-    return run
-
-
-def _merge(batches, coordinates: int, prefix: int, least: int, percent: int, least_fine: int):
-    """Skip merging of lists ``(j, v, ti, tj, node, side, comp, n, sig, fine)`` that arrive sorted; yields candidate pairs."""
-    def pairs_of(t: dict) -> tuple[np.ndarray, np.ndarray]:
-        key = t["key"]
-        cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        size = np.diff(np.append(cut, len(key)))
-        out = []
+def _merge(coordinates: int, prefix: int, least: int, least_fine: int):
+    """Candidates within tiles of posting lists: pairs with enough collisions, each at the first prefix coordinate that it shares."""
+    def pairs(cut: np.ndarray, size: np.ndarray):
         small = np.flatnonzero((size > 1) & (size <= 64))
         for m in np.unique(size[small]):
             i, j = np.triu_indices(int(m), 1)
             heads = cut[small[size[small] == m]]
             for k in range(0, len(heads), max(1, 200_000 // len(i))):
                 h = heads[k:k + max(1, 200_000 // len(i)), None]
-                out.append(((h + i).ravel(), (h + j).ravel()))
+                yield (h + i).ravel(), (h + j).ravel()
         for g in np.flatnonzero(size > 64):
             rows = np.arange(cut[g], cut[g] + size[g])
             for r in range(0, len(rows) - 1):
-                out.append((np.full(len(rows) - r - 1, rows[r]), rows[r + 1:]))
-        return out
-
-    def compare(t: dict):
-        got_a, got_b = [], []
-        hold_a, hold_b, held = [], [], 0
+                yield np.full(len(rows) - r - 1, rows[r]), rows[r + 1:]
 
-        def flush():
-            nonlocal hold_a, hold_b, held
-            if held:
-                a, b = np.concatenate(hold_a), np.concatenate(hold_b)
-                ok = (t["comp"][a] != t["comp"][b]) & ((t["side"][a] != t["side"][b]) | (t["ti"][a] == t["tj"][a]))
-                na, nb = t["n"][a], t["n"][b]
-                ok &= 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
-                a, b = a[ok], b[ok]
-                same = t["sig"][a] == t["sig"][b]
-                ok = (same.sum(1) >= least) & (same[:, :prefix].argmax(1) == t["j"][a])
-                a, b = a[ok], b[ok]
-                ok = (t["fine"][a] == t["fine"][b]).sum(1) >= least_fine
-                a, b = t["node"][a[ok]], t["node"][b[ok]]
-                got_a.append(np.minimum(a, b))
-                got_b.append(np.maximum(a, b))
-            hold_a, hold_b, held = [], [], 0
-
-        for a, b in pairs_of(t):
-            hold_a.append(a)
-            hold_b.append(b)
-            held += len(a)
-            if held >= 200_000:
-                flush()
-        flush()
-        if got_a:
-            a, b = np.concatenate(got_a), np.concatenate(got_b)
-            if len(a):
-                return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-        return None
-
-    rest: pa.Table | None = None
-
-    def columns(t: pa.Table) -> dict:
+    def pairs_of(t: pa.Table, heads: np.ndarray, sizes: np.ndarray):
         t = t.combine_chunks()
-        c = {n: t.column(n).to_numpy() for n in ("j", "v", "ti", "tj", "node", "side", "comp", "n")}
+        comp, j = t.column("comp").to_numpy(), t.column("cell").to_numpy() >> 32
         sig = t.column("sig").combine_chunks()
-        sig = sig.chunk(0) if isinstance(sig, pa.ChunkedArray) else sig
-        c["sig"] = sig.flatten().to_numpy().reshape(-1, coordinates)
-        c["fine"] = np.frombuffer(b"".join(t.column("fine").to_pylist()), np.uint8).reshape(-1, FINE)
-        step = np.zeros(t.num_rows, bool)
-        for n in ("j", "v", "ti", "tj"):
-            step[1:] |= c[n][1:] != c[n][:-1]
-        c["key"] = np.cumsum(step)
-        return c
-
-    for b in batches:
-        t = pa.Table.from_batches([b])
-        rest = t if rest is None else pa.concat_tables([rest, t])
-        if rest.num_rows < 4 * TILE:
-            continue
-        c = columns(rest)
-        last = int(np.searchsorted(c["key"], c["key"][-1]))
-        if last:
-            found = compare({k: v[:last] for k, v in c.items()})
-            rest = rest.slice(last)
-            if found is not None:
-                yield found
-    if rest is not None and rest.num_rows:
-        found = compare(columns(rest))
-        if found is not None:
-            yield found
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """``(node, comp)`` of every node of ``edges(a, b)``: the smallest node it is connected with.
-
-    Alternating star contraction: neighbours above a node hang on the least of its neighbourhood, then those below it. Every round is a
-    written table; rounds end when count and checksum of the edges stay the same. Their number grows with the logarithm of the nodes.
-    """
-    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    before = None
-    while True:
-        e = written(e, "stars")
-        now = e.agg(F.count(F.lit(1)), F.sum(F.shiftright(F.xxhash64("u", "v"), 24))).first()
-        if now == before:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("comp"))
-        before = now
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        e = large.join(least, "u").select("v", "m").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            least.select("u", F.col("m").alias("v"))).distinct()
-
-
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordinates: int = 32, least: int | None = None, rounds: int = 2,
-                    text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per input row: ``(doc_id, n_shingles, component_id, kept)``.
+        sig = (sig.chunk(0) if isinstance(sig, pa.ChunkedArray) else sig).flatten().to_numpy().reshape(-1, coordinates)
+        fine = np.frombuffer(b"".join(t.column("fine").to_pylist()), np.uint8).reshape(-1, FINE)
+
+        def near(held):
+            a, b = (np.concatenate(c) for c in zip(*held))
+            ok = comp[a] != comp[b]
+            a, b = a[ok], b[ok]
+            same = sig[a] == sig[b]
+            count = same.sum(1)
+            ok = (count >= least) & (same[:, :prefix].argmax(1) == j[a])
+            a, b, count = a[ok], b[ok], count[ok]
+            close = (fine[a] == fine[b]).sum(1)
+            ok = close >= least_fine
+            return a[ok], b[ok], count[ok] / coordinates + close[ok] / FINE
+
+        held, rows = [], 0
+        for p in pairs(heads, sizes):
+            held.append(p)
+            rows += len(p[0])
+            if rows >= 200_000:
+                yield near(held)
+                held, rows = [], 0
+        if held:
+            yield near(held)
+
+    return pairs_of
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordinates: int = 32, least: int | None = None, partners: int = 4,
+                    text: str = "text", key: str = "doc_id", carry: Sequence[str] = ()) -> DataFrame:
+    """One row per input row: ``(doc_id, n_shingles, component_id, kept)``, and the columns named by ``carry``.
 
     Texts are linked where ``100 * intersection >= percent * union`` of their shingle sets; ``component_id`` is the smallest id reachable
-    over links and equal sets. Texts without words are linked with nothing. A row without an id keeps a null component and is kept. Rows that share an id
-    are one document wherever that id stands for its set.
+    over links and equal sets. Texts without words are linked with nothing. A row without an id keeps a null component and is kept. Rows that repeat an id are judged by their own
+    texts: an id that stands for two texts may be in two components.
     """
-    n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     least = least or least_collisions(coordinates, percent / 100)
-    prefix = coordinates - least + 1
-    sigs = written(signatures(docs, words, coordinates, text, key), "signatures")
+    prefix, least_fine = coordinates - least + 1, least_collisions(FINE, percent / 100)
+    sigs = written(signatures(docs, words, coordinates, text, key, carry), "signatures")
     real = sigs.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    nodes = written(real.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("node"), F.any_value("sig").alias("sig"), F.any_value("fine").alias("fine")), "classes")
-    least_fine = least_collisions(FINE, percent / 100)
-
-    posted = nodes.select("node", "n", F.posexplode(F.slice("sig", 1, prefix)).alias("j", "v"))
-    lists = posted.groupBy("j", "v").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    posted = written(posted.join(lists, ["j", "v"]).drop("m").withColumn("band", F.floor(F.log("n") / F.log(F.lit(100 / percent)))), "posted")
-    side = lambda s: nodes.select(F.col("node").alias(s), F.col("sig").alias(f"s{s}"), F.col("fine").alias(f"f{s}"))
-
-    def labelled(links: DataFrame) -> DataFrame:
-        c = components(links)
-        return written(nodes.select("node").distinct().join(c, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")), "components")
-
-    edges = None
-    comps = nodes.select("node", F.col("node").alias("comp"))
-    for r in range(rounds):
-        here = posted if edges is None else posted.join(comps, "node")
-        comp = F.col("node") if edges is None else F.col("comp")
-        here = here.withColumn("comp", comp)
-        lead = here.groupBy("j", "v", "band").agg(F.min(F.struct(F.xxhash64(F.lit(r), "node").alias("h"), "node", "n", "comp")).alias("l"),
-                                                  F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
-        lead = lead.select("j", "v", "band", F.col("l.node").alias("lead"), F.col("l.n").alias("lead_n"), F.col("l.comp").alias("lead_comp"))
-        met = here.join(lead, ["j", "v", "band"]).where((F.col("comp") != F.col("lead_comp")) & _sizes_fit("n", "lead_n", percent))
-        met = met.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
-        close = met.join(side("a"), "a").join(side("b"), "b").where(_collisions() >= least).select("a", "b", "fa", "fb")
-        close = close.mapInArrow(_same_bytes(least_fine), "a bigint, b bigint")
-        more = written(_confirmed(written(close, "stars"), docs, words, percent, text, key), "links")
-        if more.isEmpty():
-            break
-        edges = more if edges is None else edges.unionByName(more)
-        comps = labelled(edges)
-
-    # what is left: lists with more than one component, all members against each other
-    here = posted.join(comps, "node")
-    mixed = here.groupBy("j", "v").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("m")).where("c0 <> c1").select("j", "v", "m")
-    here = here.join(mixed, ["j", "v"]).join(nodes.select("node", "sig", "fine"), "node")
-    tiles = F.ceil(F.col("m") / TILE).cast("int")
-    own = F.pmod(F.xxhash64("node"), tiles).cast("int")
-    here = here.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    here = here.select("j", "v", F.least("own", "other").alias("ti"), F.greatest("own", "other").alias("tj"), "node", F.col("own").alias("side"), "comp", "n", "sig", "fine")
-    here = here.repartition(n_parts, "j", "v", "ti", "tj").sortWithinPartitions("j", "v", "ti", "tj")
-    pairs = here.mapInArrow(lambda it: _merge(it, coordinates, prefix, least, percent, least_fine), "a bigint, b bigint")
-    more = written(_confirmed(written(pairs.distinct(), "pairs"), docs, words, percent, text, key), "links")
-    if not more.isEmpty():
-        edges = more if edges is None else edges.unionByName(more)
-        comps = labelled(edges)
-
-    named = nodes.select("s1", "s2", "n", "node").join(comps, "node").select("s1", "s2", F.col("n").alias("cn"), "comp")
-    out = sigs.select("doc_id", "n", "s1", "s2").join(named, (sigs["s1"] == named["s1"]) & (sigs["s2"] == named["s2"]) & (F.col("n") == F.col("cn")), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    classes = real.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.any_value("sig").alias("sig"), F.any_value("fine").alias("fine"))
+    nodes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    cell = F.col("place").cast("bigint") * (1 << 32) + F.col("v").cast("bigint").bitwiseAND(F.lit((1 << 32) - 1))
+    posted = nodes.select("node", "n", F.posexplode(F.slice("sig", 1, prefix)).alias("place", "v")).select("node", "n", "place", cell.alias("cell"))
+    lists = posted.groupBy("cell").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("cell")
+    posted = written(posted.join(lists, "cell", "left_semi"), "posted")
+    rows = sigs.drop("sig", "fine")
+    linked = linked_rows(rows, nodes, posted, _merge(coordinates, prefix, least, least_fine), docs, words, percent, partners, text, key)
+    component = F.col("component_id")
+    return linked.select("doc_id", F.col("n").alias("n_shingles"), component, F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"),
+                         *[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)])
 
 
 def op5_query(spark: SparkSession, sf_dir: str) -> DataFrame:
