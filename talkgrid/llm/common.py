@@ -129,3 +129,33 @@ def join_hot(rows: DataFrame, facts: DataFrame, key: str | list[str], copies: st
     often = facts.where(hot)
     names = F.broadcast(often.select(key))
     return rows.join(F.broadcast(often), key).unionByName(rows.join(names, key, "left_anti").join(facts.where(~hot), key))
+
+
+#: Bits of the filters that spare rows a shuffle: 2 MB at most, whatever the number of keys.
+FILTER_BITS = 1 << 24
+
+
+def split_by_filter(df: DataFrame, keys: DataFrame, mine: list[Column], theirs: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """``df`` in two parts: rows whose key may be among ``keys``, and rows whose key is not, which need no join with them.
+
+    A bitmap of hashed keys, at most 512 rows of 4 KB, is built in Spark and broadcast. With more keys than bits the first part grows; it still wants an exact join. Nulls are keys like
+    any other.
+    """
+    def bit(columns: list[Column]) -> Column:
+        # from 1, as Spark numbers bitmap buckets from 1 for positive numbers only
+        return F.pmod(F.xxhash64(*columns, *[c.isNull() for c in columns]), F.lit(FILTER_BITS)) + 1
+
+    b = bit(theirs)
+    maps = keys.groupBy(F.bitmap_bucket_number(b).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(b)).alias("m"))
+    at, bucket, bits = (free_name(df, c) for c in ("filter_bit", "filter_bucket", "filter_bits"))
+    maps = maps.select(F.col("b").alias(bucket), F.col("m").alias(bits))
+    d = df.withColumn(at, bit(mine)).withColumn(bucket, F.bitmap_bucket_number(at)).withColumn(at, F.bitmap_bit_position(at))
+    byte = F.conv(F.hex(F.substring(bits, (F.col(at) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    set_ = F.coalesce(F.get(F.array(*[byte.bitwiseAND(F.lit(1 << i)) > 0 for i in range(8)]), F.pmod(F.col(at), F.lit(8)).cast("int")), F.lit(False))
+    d = d.join(F.broadcast(maps), bucket, "left").withColumn(at, set_)
+    return d.where(F.col(at)).select(*df.columns), d.where(~F.col(at)).select(*df.columns)
+
+
+def comparable(df: DataFrame, names: list[str] | None = None) -> list[Column]:
+    """Columns as values that hash and sort; maps as text."""
+    return [F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in df.schema[c].dataType.simpleString() else F.col(f"`{c}`") for c in (names if names is not None else df.columns)]

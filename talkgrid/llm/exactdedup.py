@@ -17,7 +17,7 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import WHITE, table, text_or_empty, written
+from .common import WHITE, split_by_filter, table, text_or_empty, written
 
 ENTRIES = "bucket string, depth int, key bigint, link int, sha string, keep_id bigint, rows bigint"
 
@@ -117,7 +117,8 @@ def exact_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", c
     once = in_bucket(per_key.where("rows = 1")).select("bucket", "depth", "key", F.lit(0).alias("link"), "sha", "keep_id", "rows")
     many = per_key.where("rows > 1").select("key")
     # copies within a task become one row before they travel
-    texts = norm.join(many, "key", "left_semi").groupBy("key", "norm").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("n"))
+    likely = split_by_filter(norm, many, [F.col("key")], [F.col("key")])[0]
+    texts = likely.join(many, "key", "left_semi").groupBy("key", "norm").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("n"))
     owned = in_bucket(texts).select("bucket", "depth", "key", "norm", "doc", "n")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     owned = owned.repartition(parts, "bucket", "depth").sortWithinPartitions("bucket", "depth", "key")
