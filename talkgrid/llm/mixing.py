@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from .common import NOT_WHITE, table, text_or_empty, written
+from .common import NOT_WHITE, comparable, free_name, table, text_or_empty, written
 
 
 def word_count(text: str = "text") -> Column:
@@ -158,7 +158,7 @@ def cube_sample(units: DataFrame, group: str, block: int = 4096, seed: int = 0)
 
 def identity(docs: DataFrame) -> list[Column]:
     """Two hashes of a whole row: rows that differ anywhere differ in them."""
-    every = [F.col(f"`{c}`") for c in docs.columns]
+    every = comparable(docs)
     every += [c.isNull() for c in every]
     return [F.xxhash64(*every).alias("u1"), F.xxhash64(F.lit(1), *every).alias("u2")]
 
@@ -190,13 +190,15 @@ def each_row(units: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as its source's target asks for (options as in ``mix_units``)."""
-    names = docs.columns
-    if len({c.lower() for c in names} & {"u1", "u2", "times"}):
-        raise ValueError("columns u1, u2 and times are taken")
-    times = mix_units(docs, **options).where("times > 0").select("u1", "u2", "times")
-    rows = docs.select("*", *identity(docs)).groupBy(*names, "u1", "u2").agg(F.count(F.lit(1)).alias("rows")).drop("rows")
-    held = rows.join(times, ["u1", "u2"])
-    return held.withColumn("times", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times")))).select(*names)
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    u1, u2, n = (free_name(docs, c) for c in ("u1", "u2", "times"))
+    times = mix_units(docs, **options).where("times > 0").select(F.col("u1").alias(u1), F.col("u2").alias(u2), F.col("times").alias(n))
+    hashes = [c.alias(name) for c, name in zip(identity(docs), (u1, u2))]
+    maps = [c for c in docs.columns if "map<" in docs.schema[c].dataType.simpleString()]
+    plain = [F.col(f"`{c}`") for c in docs.columns if c not in maps]
+    rows = docs.select("*", *hashes).groupBy(*plain, u1, u2).agg(F.count(F.lit(1)).alias(n), *[F.any_value(f"`{c}`").alias(c) for c in maps]).drop(n)
+    held = rows.join(times, [u1, u2])
+    return held.withColumn(n, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(n)))).select(*names)
 
 
 def op7_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from talkgrid.llm import binary, chat, exactdedup, importance, mixing, neardedup, pieces, pii, toxicity, vptree
+from talkgrid.llm import binary, chat, exactdedup, importance, linking, mixing, neardedup, pieces, pii, toxicity, vptree
 
 ODD = [(1, "one  two\tthree four five"), (2, "one two three four five"), (2, "one two three four five"), (3, None), (4, ""), (None, "one two three four five"),
        (5, "x"), (6, " \n "), (7, "word " * 30_000), (8, "y" * 50_000)]
@@ -166,8 +166,8 @@ def test_byte_encoder_equals_the_library():
     random.seed(2)
     texts = ["".join(random.choices(UNITS, k=random.randint(0, 30))) for _ in range(3000)] + ["", " ", "word " * 3_000]
     encoder = binary.byte_encoder(model)
-    encoder.texts(texts)  # what one call leaves in the cache must not mislead the next
-    got = [np.frombuffer(g, np.uint32).tolist() for i in range(0, len(texts), 100) for g in encoder.texts(texts[i:i + 100])]
+    assert encoder.fast is not None
+    got = encoder.encode(texts)
     assert got == [e.ids for e in Tokenizer.from_buffer(model).encode_batch(texts, add_special_tokens=False)]
 
 
@@ -286,7 +286,7 @@ def test_near_duplicates_on_awkward_rows(odd, none):
 
 def test_near_duplicates_whose_id_hashes_to_the_first_bit(spark):
     first = 25317696  # the first of consecutive ids whose hash is 0 in the bitmap of wanted documents
-    assert spark.range(first, first + 1).select(F.pmod(F.xxhash64("id"), F.lit(neardedup.FILTER_BITS))).first()[0] == 0
+    assert spark.range(first, first + 1).select(F.pmod(F.xxhash64("id"), F.lit(linking.FILTER_BITS))).first()[0] == 0
     words = [f"w{i}" for i in range(100)]
     rows = [(first, " ".join(words)), (first + 1, " ".join([*words, "more"])), (first + 2, "quite another text of a few words")]
     got = neardedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), words=4).collect()

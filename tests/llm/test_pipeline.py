@@ -10,7 +10,7 @@ import corpus_pipeline
 def test_all_queries_are_registered():
     import __spark_entry__ as entry
     names = entry.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14) )
 
 
 def test_exact_query_equals_sql(spark, sf_dir):
@@ -53,3 +53,25 @@ def test_stages_on_awkward_rows(spark, sf_dir):
         assert stage(spark, docs.limit(0), sf_dir).count() == 0, name
     assert corpus_pipeline.drop_exact_copies(spark, docs, sf_dir).groupBy("doc_id").count().orderBy(F.col("doc_id")).collect() == [(1, 1), (2, 1), (4, 1)]
     assert corpus_pipeline.drop_near_copies(spark, docs, sf_dir).count() == len(rows)
+
+
+def test_stages_on_clashing_columns(spark, sf_dir):
+    """Extra columns with the names the stages work with, in any case, and a map."""
+    rows = [(i, f"text number {i // 2} of a few words", "en", "s", 9, i, "x", i, "o", [1], {"a": i}, i) for i in range(8)] + [(2, "quite another text under an id that is taken already", "en", "t", 9, 1, "x", 1, "o", [1], {"a": 1}, 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, U1 int, times string, __id int, __of string, IDS array<int>, m map<string,int>, toxicity_score int")
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, sf_dir)
+        if name != "sentencepiece":
+            assert got.columns == docs.columns, name
+        seen = sorted((r.doc_id, r.text) for r in got.collect()) if name != "sentencepiece" else got.count()
+        if name == "exact_dedup":
+            assert seen == sorted([(0, rows[0][1]), (2, rows[2][1]), (2, rows[8][1]), (4, rows[4][1]), (6, rows[6][1])])
+        if name == "minhash_near_dedup":
+            assert len(seen) == 5 and {r[0] for r in seen} == {0, 2, 4, 6}
+
+
+def test_near_copies_under_one_id(spark, sf_dir):
+    """An id that stands for two texts: each text is kept or dropped for its own group, none is lost."""
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    docs = spark.createDataFrame([(2, a), (5, a + " more"), (5, b), (9, b + " more"), (1, "alone"), (1, "other")], "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, sf_dir).collect()) == sorted([(2, a), (5, b), (1, "alone"), (1, "other")])
