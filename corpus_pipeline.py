@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from talkgrid.llm.common import free_name, table, written
+from talkgrid.llm.common import comparable, free_name, split_by_filter, table, text_or_empty, written
 from talkgrid.llm.exactdedup import exact_duplicates, normalised
 from talkgrid.llm.mixing import mix
 from talkgrid.llm.neardedup import near_duplicates
@@ -26,21 +26,39 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal normalised texts: the smallest ``doc_id``; of rows that repeat it, the first by the other columns."""
+    """One row of each group of equal normalised texts: the smallest ``doc_id``; of rows that repeat it, the first by a hash of the row.
+
+    Rows that are neither dropped nor repeated, nearly all, stay where they are: a filter over the others' keys tells them apart.
+    """
     ship_package(spark)
-    kept = exact_duplicates(docs.select("doc_id", "text")).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    mine = docs.withColumn("__of", F.sha2(normalised().cast("binary"), 256))
-    held = mine.join(kept, (F.col("__of") == F.col("__sha")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    order = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0)]
-    first = F.row_number().over(W.partitionBy("__of", "doc_id").orderBy(*order))
-    return held.withColumn("__n", first).where("__n = 1").select(*docs.columns)
+    sha, place = free_name(docs, "normal_sha256"), free_name(docs, "place_of_row")
+    found = exact_duplicates(docs.select("doc_id", "text"))
+    found = written(found.groupBy("doc_id", "text_sha256").agg(F.bool_and("kept").alias("stays"), F.count(F.lit(1)).alias("n")), "exact-decisions")
+    open_ = found.where("not stays or n > 1")
+    mine = docs.withColumn(sha, F.sha2(normalised().cast("binary"), 256))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    doubtful, plain = split_by_filter(mine, open_, [F.col("doc_id").cast("bigint"), F.col(sha)], [F.col("doc_id"), F.col("text_sha256")])
+    gone = found.where("not stays").select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha"))
+    rest = doubtful.join(gone, (doubtful[sha] == gone["gone_sha"]) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("gone_id")), "left_anti")
+    every = comparable(docs)
+    first = F.row_number().over(W.partitionBy(sha, "doc_id").orderBy(F.xxhash64(*every), F.xxhash64(F.lit(1), *every, *[c.isNull() for c in every])))
+    return plain.select(*names).unionByName(rest.withColumn(place, first).where(F.col(place) == 1).select(*names))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest ``doc_id``, of each group linked by five-word shingles and a similarity of 0.8 or more."""
+    """One document, the smallest ``doc_id``, of each group linked by five-word shingles and a similarity of 0.8 or more.
+
+    Where an id stands for several texts each is judged by itself.
+    """
     ship_package(spark)
-    kept = near_duplicates(docs.select("doc_id", "text"), words=5, percent=80).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    of = free_name(docs, "hash_of_text")
+    named = docs.withColumn(of, F.xxhash64(text_or_empty()))
+    found = near_duplicates(named.select("doc_id", "text", of), words=5, percent=80, carry=[of])
+    gone = written(found.where("not kept").select(F.col("doc_id").alias("gone_id"), F.col(of).alias("gone_hash")).distinct(), "near-decisions")
+    doubtful, plain = split_by_filter(named, gone, [F.col("doc_id").cast("bigint"), F.col(of)], [F.col("gone_id"), F.col("gone_hash")])
+    rest = doubtful.join(gone, (F.col("doc_id").cast("bigint") == F.col("gone_id")) & (doubtful[of] == gone["gone_hash"]), "left_anti")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return plain.select(*names).unionByName(rest.select(*names))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
