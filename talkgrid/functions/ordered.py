@@ -131,3 +131,50 @@ def hash_rank(df: DataFrame, keys: Sequence[str], id_col: str, seed: int, rank:
     out = scan(h, keys, F.shiftright(F.col("__h"), 48), ["__h", id_col],
                {rank: ("sum", "__one"), total: ("total", "__one")})
     return out.drop("__h", "__one")
+
+
+RADIX_BITS = 4
+
+
+def running_positions(df: DataFrame, keys: Sequence[str], block: Column, order: str, value: str, positions: dict[str, str]) -> DataFrame:
+    """For every row, what the known values up to it hold at a sorted position: ``(keys, order, target, at, below)``.
+
+    ``positions`` maps a target to a column with a 0-based position (null: not asked). ``at`` is the value there and ``below`` the sum of the values before
+    it. A distributed descent: values become ranks, and each round fixes the next four bits of every answer's rank by one block-wise scan that counts, and sums, per
+    value of these bits, what has come up to the row. Rounds grow with the logarithm of the distinct values of a key, and no key is held by one task.
+    """
+    from ..session import checkpoint_dir
+    keys = list(keys)
+    v = F.col(value).cast("double")
+    known = df.where(v.isNotNull() & ~F.isnan(v)).select(*keys, order, v.alias("__v"))
+    distinct = known.groupBy(*keys, "__v").agg(F.lit(1).alias("__one"))
+    ranks = scan(distinct, keys, value_block(F.col("__v")), ["__v"], {"__rank": ("sum<", "__one")}).select(*keys, "__v", F.col("__rank").cast("bigint").alias("__rank"))
+    most = distinct.groupBy(*keys).count().agg(F.max("count")).first()[0] or 1
+    rounds = max(1, -(-(most - 1).bit_length() // RADIX_BITS))
+    checkpoint_dir(df.sparkSession)
+    settle = (lambda d: d.checkpoint()) if rounds > 1 else (lambda d: d)
+    elements = settle(known.join(ranks, [*keys, "__v"]))
+    asked = F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.col(c).cast("bigint").alias("k")) for t, c in positions.items()]))
+    asks = df.select(*keys, order, asked.alias("a")).select(*keys, order, "a.target", "a.k").where("k is not null")
+    asks = asks.withColumns({"__node": F.lit(0).cast("bigint"), "below": F.lit(0.0)})
+    digits = range(1 << RADIX_BITS)
+    for level in reversed(range(rounds)):
+        shift = RADIX_BITS * level
+        digit = F.shiftright("__rank", shift).bitwiseAND(F.lit((1 << RADIX_BITS) - 1))
+        none = {"target": F.lit(None).cast("string"), "k": F.lit(None).cast("bigint"), "below": F.lit(None).cast("double")}
+        counted = elements.select(*keys, order, F.shiftright("__rank", shift + RADIX_BITS).alias("__node"), digit.cast("int").alias("__digit"), "__v", F.lit(0).alias("__kind"), *[c.alias(n) for n, c in none.items()])
+        both = counted.unionByName(asks.select(*keys, order, "__node", F.lit(None).cast("int").alias("__digit"), F.lit(None).cast("double").alias("__v"), F.lit(1).alias("__kind"), "target", "k", "below"))
+        mine = lambda d: F.col("__digit") == d
+        both = both.withColumns({f"__n{d}": F.when(mine(d), 1).otherwise(0) for d in digits} | {f"__s{d}": F.when(mine(d), F.col("__v")).otherwise(0.0) for d in digits})
+        specs = {f"__cn{d}": ("sum", f"__n{d}") for d in digits} | {f"__cs{d}": ("sum", f"__s{d}") for d in digits}
+        got = scan(both, [*keys, "__node"], block, [order, "__kind"], specs).where("__kind = 1")
+        got = got.withColumns({"__counts": F.array(*[f"__cn{d}" for d in digits]), "__sums": F.array(*[f"__cs{d}" for d in digits])})
+        # the first digit whose counts, added up, pass the position
+        start = F.struct(F.lit(0).alias("d"), F.col("k").alias("k"), F.col("below").alias("below"), F.lit(False).alias("found"))
+        step = lambda a, x: F.when(a["found"] | (a["k"] < x["n"]), F.struct(a["d"].alias("d"), a["k"].alias("k"), a["below"].alias("below"), F.lit(True).alias("found"))).otherwise(
+            F.struct((a["d"] + 1).alias("d"), (a["k"] - x["n"]).alias("k"), (a["below"] + x["s"]).alias("below"), F.lit(False).alias("found")))
+        pairs = F.zip_with("__counts", "__sums", lambda n, x: F.struct(n.cast("bigint").alias("n"), x.cast("double").alias("s")))
+        got = got.withColumn("__to", F.aggregate(pairs, start, step))
+        asks = settle(got.select(*keys, order, "target", F.col("__to.k").alias("k"), (F.col("__node") * (1 << RADIX_BITS) + F.col("__to.d")).alias("__node"), F.col("__to.below").alias("below")))
+    named = ranks.withColumnsRenamed({"__rank": "__node", "__v": "at"})
+    return asks.join(named, [*keys, "__node"]).select(*keys, order, "target", "at", (F.col("below") + F.when(F.col("k") > 0, F.col("k") * F.col("at")).otherwise(0.0)).alias("below"))

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.ordered import first_k, quantiles, scan
+from ..functions.ordered import first_k, quantiles, running_positions, scan
 from ..functions.scalar import calibrate, is_confident, known_mean, logit, safe_div, sigmoid
 from .intervals import CALL
 
@@ -32,80 +32,42 @@ def progression(chunks: DataFrame, aggregation: str = "mean", a: float = 1.0, b:
     return _steps(r.withColumn("running", running), a, b, hi, lo)
 
 
-class _Ranks:
-    """Counts and sums over ranks that have come up so far; both queries and updates take logarithmic time."""
-
-    def __init__(self, n: int):
-        self.count, self.total = [0] * (n + 1), [0.0] * (n + 1)
-        self.top = 1 << max(n.bit_length() - 1, 0)
-
-    def add(self, rank: int, value: float) -> None:
-        i = rank + 1
-        while i < len(self.count):
-            self.count[i] += 1
-            self.total[i] += value
-            i += i & -i
-
-    def lowest(self, k: int) -> tuple[int, float]:
-        """The rank at 0-based sorted position ``k``, and the sum of the ``k`` values below it."""
-        at, left, below, step = 0, k, 0.0, self.top
-        while step:
-            if at + step < len(self.count) and self.count[at + step] <= left:
-                at += step
-                left -= self.count[at]
-                below += self.total[at]
-            step >>= 1
-        return at, below
-
-
-def running_order(scores: Sequence[float | None], aggregation: str) -> list[float | None]:
-    """Median, mean of the top quarter or trimmed mean of every prefix, in n log n steps; missing scores count for nothing."""
-    known = [i for i, x in enumerate(scores) if x is not None and x == x]
-    order = sorted(known, key=lambda i: scores[i])
-    values = [scores[i] for i in order]
-    rank = {i: r for r, i in enumerate(order)}
-    seen, n, out = _Ranks(len(order)), 0, []
-    for i, x in enumerate(scores):
-        if i in rank:
-            seen.add(rank[i], x)
-            n += 1
-        if not n:
-            out.append(None)
-        elif aggregation == "median":
-            lo, hi = (values[seen.lowest(k)[0]] for k in ((n - 1) // 2, n // 2))
-            out.append(lo + (hi - lo) * 0.5 if n % 2 == 0 else lo)
-        else:
-            cut = n - max(1, -(-n // 4)) if aggregation == "top25_mean" else n // 10
-            end = n if aggregation == "top25_mean" else n - cut
-            below = lambda k: seen.lowest(k)[1]
-            out.append((below(end) - below(cut)) / (end - cut))
-    return out
-
-
 def prefix_progression(chunks: DataFrame, aggregation: str, a: float, b: float, hi: float, lo: float) -> DataFrame:
-    """The same for order statistics, which no running sum gives: a call's scores, in order, go through a table of ranks.
+    """The same for order statistics, which no running sum gives: the scores at one or two sorted positions of every prefix.
 
-    One task holds the scores of one call (not its prefixes), so time is n log n and there is no limit on its length.
+    Found by :func:`running_positions`, so a call may be of any length and hold any share of the chunks. Missing scores count for nothing.
     """
-    import pandas as pd
     if aggregation not in ("median", "top25_mean", "trimmed_mean"):
         raise ValueError(f"unknown aggregation {aggregation!r}")
-    dur = F.col("end_s") - F.col("start_s")
-    c = chunks.select("call_id", F.col("chunk").cast("bigint").alias("chunk"), "start_s", "end_s", "score", dur.alias("dur"), F.lit(1).alias("one"))
-    kind = c.schema["call_id"].dataType.simpleString()
-
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("chunk", kind="stable")
-        got = running_order([None if pd.isna(x) else float(x) for x in t["score"]], aggregation)
-        return pd.DataFrame({"call_id": t["call_id"], "chunk": t["chunk"], "running": pd.array(got, "Float64")})
-
-    ranked = c.select("call_id", "chunk", "score").groupBy("call_id").applyInPandas(run, f"call_id {kind}, chunk bigint, running double")
-    r = scan(c, CALL, F.floor(F.col("chunk") / CHUNK_BLOCK), ["chunk"], {"n": ("sum", "one"), "speech": ("sum", "dur")})
-    return _steps(r.join(ranked, ["call_id", "chunk"]), a, b, hi, lo)
+    dur, score = F.col("end_s") - F.col("start_s"), F.nanvl(F.col("score").cast("double"), F.lit(None))
+    c = chunks.select("call_id", F.col("chunk").cast("bigint").alias("chunk"), "start_s", "end_s", "score", dur.alias("dur"), F.lit(1).alias("one"),
+                      score.isNotNull().cast("int").alias("has"), F.coalesce(score, F.lit(0.0)).alias("known"))
+    block = F.floor(F.col("chunk") / CHUNK_BLOCK)
+    r = scan(c, CALL, block, ["chunk"], {"n": ("sum", "one"), "speech": ("sum", "dur"), "m": ("sum", "has"), "total": ("sum", "known")})
+    m = F.col("m")
+    if aggregation == "median":
+        asked = {"low": F.floor((m - 1) / 2), "high": F.floor(m / 2)}
+    elif aggregation == "top25_mean":
+        asked = {"low": m - F.greatest(F.lit(1), F.ceil(m / 4))}
+    else:
+        asked = {"low": F.floor(m / 10), "high": F.when(m >= 10, m - F.floor(m / 10))}
+    r = r.withColumns({f"at_{t}": F.when(m > 0, p) for t, p in asked.items()})
+    found = running_positions(r.select("call_id", "chunk", "score", *[f"at_{t}" for t in asked]), CALL, block, "chunk", "score", {t: f"at_{t}" for t in asked})
+    pick = lambda t, c: F.max(F.when(F.col("target") == t, F.col(c)))
+    wide = found.groupBy("call_id", "chunk").agg(*[pick(t, c).alias(f"{t}_{c}") for t in ("low", "high") for c in ("at", "below")])
+    j = r.join(wide, ["call_id", "chunk"], "left")
+    if aggregation == "median":
+        running = F.when(F.col("low_at") == F.col("high_at"), F.col("low_at")).otherwise(F.col("low_at") + (F.col("high_at") - F.col("low_at")) * 0.5)
+    elif aggregation == "top25_mean":
+        running = (F.col("total") - F.col("low_below")) / (m - F.col("at_low"))
+    else:
+        running = (F.coalesce("high_below", "total") - F.col("low_below")) / (F.coalesce("at_high", "m") - F.col("at_low"))
+    return _steps(j.withColumn("running", F.when(m > 0, running)), a, b, hi, lo)
 
 
 def _steps(r: DataFrame, a, b, hi, lo) -> DataFrame:
-    p = calibrate(F.col("running"), a, b)
+    # without a known score there is no verdict yet
+    p = F.when(F.col("running").isNotNull(), calibrate(F.col("running"), a, b))
     return r.select("call_id", "chunk", F.bround("end_s", 2).alias("call_time_s"), F.bround("start_s", 2).alias("chunk_start_s"),
                     F.bround("speech", 2).alias("caller_speech_s"), F.bround("score", 4).alias("chunk_score"),
                     F.bround(calibrate(F.col("score"), a, b), 4).alias("chunk_probability"), F.bround(p, 4).alias("p"),

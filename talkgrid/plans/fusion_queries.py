@@ -218,6 +218,21 @@ def _(t):
     return steps(t, "median").select("call_id", "chunk", "p")
 
 
+PREFIXES = """select a.call_id, a.chunk, list_sort(list(b.score)) as s, count(b.score) as m from d_ichunks a join d_ichunks b on a.call_id=b.call_id and b.chunk<=a.chunk group by all"""
+
+
+@query("lat_01_progression_top25", f"""with v as ({PREFIXES}), r as (select call_id, chunk, list_sum(s[m - greatest(1, ceil(m/4))::int + 1 : m]) / greatest(1, ceil(m/4)) as v from v)
+  select call_id, chunk, round_even(1/(1+exp(-(0.1*v-0.05))),4) as p from r""", r="p")
+def _(t):
+    return steps(t, "top25_mean").select("call_id", "chunk", "p")
+
+
+@query("lat_01_progression_trimmed", f"""with v as ({PREFIXES}), r as (select call_id, chunk, list_avg(s[m // 10 + 1 : m - m // 10]) as v from v)
+  select call_id, chunk, round_even(1/(1+exp(-(0.1*v-0.05))),4) as p from r""", r="p")
+def _(t):
+    return steps(t, "trimmed_mean").select("call_id", "chunk", "p")
+
+
 @query("lat_02_first_confident", "select call_id, n_chunks, first_at_s, first_p, confident_at_s, confident_after_speech_s, early_p, confident_chunk from d_det",
        r="first_at_s first_p confident_at_s confident_after_speech_s early_p")
 def _(t):

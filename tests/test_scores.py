@@ -105,6 +105,26 @@ def test_order_statistics_of_a_long_call(spark, how):
         assert p[k] == pytest.approx(1 / (1 + math.exp(-v)), abs=1.01e-4)
 
 
+def test_order_statistics_of_a_call_with_a_third_of_all_chunks(spark):
+    """One call of 3,000 chunks among 600 of 10, with ties, missing scores and infinities; nothing groups a call in Python."""
+    rng = random.Random(11)
+    calls = {0: [rng.choice([None, rng.gauss(0, 1), 0.25]) for _ in range(3000)]}
+    calls |= {i: [round(rng.gauss(0, 1), 1) for _ in range(10)] for i in range(1, 600)}
+    calls[600], calls[601] = [None, None, 1.0], [float("nan"), -2.0, 3.0, None, 5.0]
+    rows = [(c, i + 1, i * 4.0, i * 4.0 + 4, x) for c, s in calls.items() for i, x in enumerate(s)]
+    df = spark.createDataFrame(rows, "call_id int, chunk bigint, start_s double, end_s double, score double").repartition(8)
+    got = X.progression(df, "median")
+    assert "FlatMapGroups" not in got._jdf.queryExecution().toString()
+    p = {(r.call_id, r.chunk): r.p for r in got.collect()}
+    assert len(p) == len(rows)
+    for call in (0, 1, 599, 600, 601):
+        for k in sorted({1, 2, 3, 7, 50, 1024, 1025, 2999, 3000}):
+            if k <= len(calls[call]):
+                s = sorted(x for x in calls[call][:k] if x is not None and x == x)
+                want = 1 / (1 + math.exp(-(s[(len(s) - 1) // 2] + s[len(s) // 2]) / 2)) if s else None
+                assert p[call, k] == (pytest.approx(want, abs=1.01e-4) if s else None)
+
+
 def test_decided_at(spark):
     assert X.decided_at(chunk_rows(spark, [-1.0, 3.0, 2.0], gap=0)).first().decided_at_s == 8.0
     rng = random.Random(8)
