@@ -185,7 +185,7 @@ def equal_weights(layers: DataFrame) -> DataFrame:
     ok = ~F.col("abstained") & F.col("scored")
     p = F.avg(F.when(ok, clamp(F.col("probability"), 0.0, 1.0)))
     return layers.groupBy("call_id").agg((1 / n).alias("weight"), F.bround(F.coalesce(p, F.lit(0.5)), 6).alias("p"),
-                                         F.coalesce(p >= 0.5, F.lit(False)).alias("is_synthetic"))
+                                         F.coalesce(F.round(p, 12) >= 0.5, F.lit(False)).alias("is_synthetic"))  # noise decides no verdict
 
 
 def simple_weighted(scores: DataFrame, weights: dict[str, float]) -> DataFrame:

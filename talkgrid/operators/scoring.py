@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.ordered import cumulative, first_k, interpolated, quantiles
@@ -87,15 +89,11 @@ def aggregation_compare(chunks: DataFrame, calls: DataFrame, by: Sequence[str] =
 # ------------------------------------------------------------------------------ vectors
 
 def mean_vector(df: DataFrame, keys: Sequence[str], emb: str = "emb", extra: dict[str, Column] | None = None) -> DataFrame:
-    """Element-wise mean, L2 normalised; partial sums per element are combined before the shuffle."""
+    """Element-wise mean, L2 normalised, and ``extra`` aggregates: one aggregation, combined before the shuffle. The vectors of a key are equally long."""
     keys = list(keys)
-    long = df.select(*keys, F.posexplode(emb).alias("__i", "__x"))
-    sums = long.groupBy(*keys, "__i").agg(F.avg(F.col("__x").cast("double")).alias("m"))
-    v = sums.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__i", "m"))).alias("v"))
-    out = v.select(*keys, l2_normalized(F.col("v.m")).alias("vec"))
-    if extra:
-        out = out.join(df.groupBy(*keys).agg(*[c.alias(n) for n, c in extra.items()]), keys)
-    return out
+    mean = Summarizer.mean(array_to_vector(F.col(emb).cast("array<double>")))
+    out = df.where(F.col(emb).isNotNull()).groupBy(*keys).agg(mean.alias("__m"), *[c.alias(n) for n, c in (extra or {}).items()])
+    return out.select(*keys, l2_normalized(vector_to_array("__m")).alias("vec"), *(extra or {}))
 
 
 def longest_chunks_vector(df: DataFrame, k: int = 8, keys: Sequence[str] = ("call_id",)) -> DataFrame:

@@ -1,19 +1,27 @@
 """Comparing call vectors with each other.
 
-Comparing all with all is quadratic by nature. It runs as many equal tasks: vectors go to
-blocks of bounded size, each pair of blocks is one task, and a task returns a best match, a
-count or a spanning set, never its pairs. Equal vectors collapse first, with their number.
+Vectors go to *cells*, each around one of about sqrt(n) pivots, and a cell knows the range of its members' distances to every pivot. The triangle
+inequality then tells, without looking at members, how far two cells, or a vector and a cell, are apart at least. A search for
+neighbours within a radius visits only the pairs of cells that may hold some; a search for the nearest one takes the best of the vector's own cell as
+the radius. Nothing is missed. What is visited runs as many equal tasks: cells are cut into blocks of bounded size, each pair of blocks is one task, and a task returns
+a best match, a count or a spanning set, never its pairs. Equal vectors collapse first, with their number.
+
+Pivots and ranges are at most ``PIVOTS`` vectors and ``PIVOTS`` squared numbers, whatever the number of vectors. Only where all pairs are
+counted (``pair_similarity_counts``) is every block compared with every block.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.ordered import hash_rank
+from ..functions.ordered import first_k, hash_rank, quantiles
+from ..session import checkpoint_dir
 
 BLOCK = 2048
 
@@ -62,26 +70,173 @@ def block_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], near: Da
     return l.groupBy(*by).cogroup(r.groupBy(*by)).applyInPandas(run, schema)
 
 
-# ------------------------------------------------------------------------------ nearest neighbour
+# ------------------------------------------------------------------------------ cells
+
+#: At most so many cells; a pivot is one vector.
+PIVOTS = 512
+#: What rounding may add to a distance.
+SLACK = 1e-9
+
+
+def pivots_of(vectors: DataFrame, most: int = PIVOTS) -> np.ndarray:
+    """About sqrt(n) of the vectors, the first by a hash, so that reruns agree."""
+    v = vectors.select("vec").distinct()
+    m = max(1, min(most, math.isqrt(v.count())))
+    return np.array([r.vec for r in v.orderBy(F.xxhash64("vec"), "vec").limit(m).collect()], np.float64)
+
+
+def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (pivots * pivots).sum(1)[None, :] - 2 * (x @ pivots.T), 0))
+
+
+def _vectors(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
+
+
+def in_cells(df: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """Adds ``cell``, the number of the nearest pivot."""
+    names = df.columns
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                d = _distances(_vectors(b.column(names.index("vec"))), pivots)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(d.argmin(1).astype(np.int32))], names=[*names, "cell"])
+
+    return df.mapInArrow(run, df.withColumn("cell", F.lit(0)).schema)
+
+
+def cell_ranges(celled: DataFrame, pivots: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Per cell in use the smallest and largest distance of its members to every pivot; at most ``PIVOTS`` rows come to the driver."""
+    m = len(pivots)
+
+    def run(batches):
+        low, high = np.full((m, m), np.inf), np.full((m, m), -np.inf)
+        for b in batches:
+            if b.num_rows:
+                cell, d = b.column(0).to_numpy(), _distances(_vectors(b.column(1)), pivots)
+                np.minimum.at(low, cell, d)
+                np.maximum.at(high, cell, d)
+        for c in np.flatnonzero(np.isfinite(low[:, 0])):
+            yield pa.RecordBatch.from_pydict({"cell": pa.array([c], pa.int32()), "low": [low[c].tolist()], "high": [high[c].tolist()]})
+
+    parts = celled.select("cell", F.col("vec").cast("array<double>").alias("vec")).mapInArrow(run, "cell int, low array<double>, high array<double>")
+    each = parts.select("cell", F.posexplode(F.arrays_zip("low", "high")).alias("p", "d")).groupBy("cell", "p").agg(F.min("d.low").alias("low"), F.max("d.high").alias("high"))
+    rows = each.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("p", "low", "high"))).alias("r")).collect()
+    return {r.cell: (np.array([x.low for x in r.r]), np.array([x.high for x in r.r])) for r in rows}
+
+
+def cells_within(a: dict, b: dict, radius: float) -> list[tuple[int, int]]:
+    """Pairs of cells that may hold vectors at most ``radius`` apart."""
+    if not a or not b:
+        return []
+    ids = np.array(sorted(b))
+    low, high = np.stack([b[c][0] for c in ids]), np.stack([b[c][1] for c in ids])
+    out = []
+    for c, (lo, hi) in sorted(a.items()):
+        gap = np.maximum(lo[None, :] - high, low - hi[None, :]).max(1)
+        out += [(c, int(o)) for o in ids[gap <= radius + SLACK]]
+    return out
 
-def nearest_train_neighbour(calls: DataFrame, rows: int = BLOCK) -> DataFrame:
-    """Nearest training call of the same class for every validation call, by cosine: ``calls(call_id, y, split, vec)``."""
-    v = calls.select("call_id", "y", "split", "vec")
-    q = in_blocks(v.where("split = 'val'").drop("split"), "call_id", ["y"], rows)
-    t = in_blocks(v.where("split = 'train'").drop("split"), "call_id", ["y"], rows)
 
+def _blocks_within(left: DataFrame, right: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
+    """Pairs of blocks ``(lb, rb)`` of cells that may match; blocks are named ``cell/number``."""
+    near = left.sparkSession.createDataFrame(pairs, "a int, b int")
+    lb, rb = left.select(F.col("cell").alias("a"), F.col("blk").alias("lb")).distinct(), right.select(F.col("cell").alias("b"), F.col("blk").alias("rb")).distinct()
+    return lb.join(near, "a").join(rb, "b").select("lb", "rb").distinct()
+
+
+def _named_blocks(celled: DataFrame, rows: int) -> DataFrame:
+    return in_blocks(celled, "call_id", ["cell"], rows).withColumn("blk", F.concat_ws("/", "cell", "blk"))
+
+
+def compared_share(left: DataFrame, right: DataFrame, near: DataFrame) -> float:
+    """Which share of all pairs of ``left`` and ``right`` (with ``blk``) a plan ``near(lb, rb)`` compares."""
+    l, r = left.groupBy(F.col("blk").alias("lb")).agg(F.count(F.lit(1)).alias("l")), right.groupBy(F.col("blk").alias("rb")).agg(F.count(F.lit(1)).alias("r"))
+    met = near.join(l, "lb").join(r, "rb").agg(F.sum(F.col("l") * F.col("r"))).first()[0] or 0
+    return met / max(1, left.count() * right.count())
+
+
+# ------------------------------------------------------------------------------ nearest neighbour
+
+def _best_match(schema_of_empty: Sequence[str] = ("call_id", "y", "neighbour", "similarity")) -> Callable:
     def kernel(a, b):
         if a.empty or b.empty:
-            return pd.DataFrame({"call_id": [], "y": [], "neighbour": [], "similarity": []})
+            return pd.DataFrame({c: [] for c in schema_of_empty})
+        b = b.sort_values("call_id")
         s = _stack(a["vec"]) @ _stack(b["vec"]).T
-        order = np.argsort(b["call_id"].to_numpy())
-        best = order[s[:, order].argmax(axis=1)]
-        return pd.DataFrame({"call_id": a["call_id"], "y": a["y"], "neighbour": b["call_id"].to_numpy()[best],
-                             "similarity": s[np.arange(len(a)), best]})
+        s[a["call_id"].to_numpy()[:, None] == b["call_id"].to_numpy()[None, :]] = -np.inf  # not oneself
+        best = s.argmax(axis=1)
+        out = pd.DataFrame({"call_id": a["call_id"].to_numpy(), "y": a["y"].to_numpy(), "neighbour": b["call_id"].to_numpy()[best], "similarity": s[np.arange(len(a)), best]})
+        return out[np.isfinite(out["similarity"])]
+
+    return kernel
+
+
+def _visits(queries: DataFrame, pivots: np.ndarray, ranges: dict) -> DataFrame:
+    """``queries(.., similarity, first)`` once per further cell that may hold a vector at least as near: ``cell`` is that cell."""
+    ids = np.array(sorted(ranges))
+    low, high = (np.stack([ranges[c][i] for c in ids]) for i in (0, 1))
+    names = queries.columns
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            d = _distances(_vectors(b.column(names.index("vec"))), pivots)
+            best = b.column(names.index("similarity")).to_numpy(zero_copy_only=False)
+            reach = np.where(np.isnan(best), np.inf, np.sqrt(np.maximum(2 - 2 * best, 0))) + SLACK
+            own = b.column(names.index("first")).to_numpy()
+            lists = []
+            for i in range(b.num_rows):
+                gap = np.maximum(low - d[i], d[i] - high).max(1)
+                lists.append(ids[(gap <= reach[i]) & (ids != own[i])].astype(np.int32))
+            cells = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)), pa.array(np.concatenate(lists)))
+            yield pa.RecordBatch.from_arrays([*b.columns, cells], names=[*names, "cells"])
+
+    found = queries.mapInArrow(run, queries.withColumn("cells", F.array(F.lit(0))).schema)
+    return found.withColumn("cell", F.explode("cells")).drop("cells")
+
+
+def nearest_of_class(queries: DataFrame, points: DataFrame, rows: int = BLOCK) -> DataFrame:
+    """The nearest of ``points`` of the same class but itself, by cosine, for each of ``queries``; both ``(call_id, y, vec)`` with unit vectors.
+
+    The best of the query's own cell bounds the distance; further cells are visited only where the triangle inequality allows them. Of equal points of a class
+    the two smallest ids are kept, which is all that a search for others can return.
+    """
+    schema = f"call_id {_kind(queries)}, y int, neighbour {_kind(points)}, similarity double"
+    double = lambda d: d.select("call_id", F.col("y").cast("int").alias("y"), F.col("vec").cast("array<double>").alias("vec"))
+    p = first_k(double(points), ["y", "vec"], [F.col("call_id")], 2).drop("rank")
+    pivots = pivots_of(p)
+    checkpoint_dir(points.sparkSession)
+    p = in_cells(p, pivots).checkpoint()
+    q = in_cells(double(queries), pivots).checkpoint()
+    ranges = cell_ranges(p, pivots)
+    if not ranges:
+        return queries.sparkSession.createDataFrame([], schema)
+    right = in_blocks(p, "call_id", ["y", "cell"], rows)
+    own = block_pairs(in_blocks(q, "call_id", ["y", "cell"], rows), right, ["y", "cell"], None, _best_match(), schema)
+    own = own.groupBy("call_id", "y").agg(_nearest("neighbour").alias("neighbour"), F.max("similarity").alias("similarity")).checkpoint()
+    asked = q.withColumnRenamed("cell", "first").join(own.select("call_id", "y", "similarity"), ["call_id", "y"], "left")
+    more = in_blocks(_visits(asked, pivots, ranges).drop("first", "similarity"), "call_id", ["y", "cell"], rows)
+    far = block_pairs(more, right, ["y", "cell"], None, _best_match(), schema)
+    return own.unionByName(far).groupBy("call_id", "y").agg(_nearest("neighbour").alias("neighbour"), F.max("similarity").alias("similarity"))
+
+
+def nearest_train_neighbour(calls: DataFrame, rows: int = BLOCK) -> DataFrame:
+    """Nearest training call of the same class for every validation call, by cosine: ``calls(call_id, y, split, vec)``."""
+    return nearest_of_class(calls.where("split = 'val'"), calls.where("split = 'train'"), rows)
 
-    m = block_pairs(q, t, ["y"], None, kernel, f"call_id {_kind(calls)}, y int, neighbour {_kind(calls)}, similarity double")
-    return m.groupBy("call_id", "y").agg(_nearest("neighbour").alias("neighbour"),
-                                         F.max("similarity").alias("similarity"))
+
+def neighbour_summary(calls: DataFrame, rows: int = BLOCK) -> DataFrame:
+    """Per class: median, least and largest similarity of validation calls to their nearest training call, and the median of training calls to each other."""
+    val = nearest_train_neighbour(calls, rows).select("y", F.lit("val").alias("side"), "similarity")
+    train = calls.where("split = 'train'")
+    both = val.unionByName(nearest_of_class(train, train, rows).select("y", F.lit("train").alias("side"), "similarity"))
+    ends = both.groupBy("y").agg(F.count_if(F.col("side") == "val").alias("n"), *[f(F.when(F.col("side") == "val", F.col("similarity"))).alias(n) for n, f in (("least", F.min), ("largest", F.max))])
+    mid = quantiles(both, ["y", "side"], "similarity", {"m": .5})
+    pick = lambda s: F.max(F.when(F.col("side") == s, F.col("m")))
+    return ends.join(mid.groupBy("y").agg(pick("val").alias("median_similarity"), pick("train").alias("train_median")), "y")
 
 
 # ------------------------------------------------------------------------------ pair similarities
@@ -90,8 +245,9 @@ def pair_similarity_counts(calls: DataFrame, label: str = "y", digits: int = 4,
     """How many call pairs of each pair of labels have each cosine, to ``digits``: ``calls(call_id, label, vec)``."""
     d = calls.groupBy(F.col(label).cast("string").alias("label"), "vec").agg(F.count(F.lit(1)).alias("n"), F.min("call_id").alias("call_id"))
     b = in_blocks(d, "call_id", (), rows)
-    ids = b.select("blk").distinct()
-    near = ids.select(F.col("blk").alias("lb")).join(ids.select(F.col("blk").alias("rb")), F.col("lb") <= F.col("rb"))
+    # blocks are numbered without gaps, so each names its partners
+    last = F.max("blk").over(W.partitionBy(F.lit(1)))
+    near = b.select("blk").distinct().select("blk", last.alias("last")).select(F.col("blk").alias("lb"), F.explode(F.sequence("blk", "last")).alias("rb"))
     scale = 10 ** digits
 
     def kernel(x, z):
@@ -129,32 +285,20 @@ def pair_similarity_histogram(counts: DataFrame, bins: int = 50, lo: float = -0.
 
 # ------------------------------------------------------------------------------ near duplicates
 
-def _bands(df: DataFrame, width: float, rows: int) -> DataFrame:
-    """Blocks along a fixed direction: near vectors have near projections, so only neighbouring bands can match."""
-    d = F.size("vec")
-    proj = F.aggregate(F.transform("vec", lambda x, i: x * F.when(i % 2 == 0, 1.0).otherwise(-1.0) / F.sqrt(d)), F.lit(0.0), lambda s, x: s + x)
-    b = df.withColumn("band", F.floor(proj / width))
-    return in_blocks(b, "call_id", ["band"], rows)
-
-
 def near_duplicates(calls: DataFrame, threshold: float = 0.995, rows: int = BLOCK) -> DataFrame:
     """Validation calls (equal vectors once, with their number) that have training calls above ``threshold``:
     the nearest one and how many call pairs that makes.
 
-    Two unit vectors that close are at most ``sqrt(2 - 2 threshold)`` apart, hence within one band of
-    each other on any direction: bands that cannot match are never compared, and nothing is missed.
+    Two unit vectors that close are at most ``sqrt(2 - 2 threshold)`` apart: pairs of cells that are further apart are never compared, and nothing is missed.
     """
-    width = float(np.sqrt(2 - 2 * threshold)) * (1 + 1e-9)
-    d = calls.groupBy("split", "vec").agg(F.count(F.lit(1)).alias("n"), F.min("call_id").alias("call_id"))
-
-    def blocks(split):
-        b = _bands(d.where(F.col("split") == split).drop("split"), width, rows)
-        return b.withColumn("blk", F.concat_ws("/", "band", "blk"))
-
-    l, r = blocks("val"), blocks("train")
-    lb = l.select(F.col("blk").alias("lb"), F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("b")).distinct()
-    rb = r.select(F.col("blk").alias("rb"), F.col("band").alias("b")).distinct()
-    near = lb.join(rb, "b").select("lb", "rb").distinct()
+    radius = math.sqrt(max(0.0, 2 - 2 * threshold))
+    d = calls.groupBy("split", F.col("vec").cast("array<double>").alias("vec")).agg(F.count(F.lit(1)).alias("n"), F.min("call_id").alias("call_id"))
+    pivots = pivots_of(d)
+    checkpoint_dir(calls.sparkSession)
+    sides = [in_cells(d.where(F.col("split") == s).drop("split"), pivots).checkpoint() for s in ("val", "train")]
+    pairs = cells_within(*[cell_ranges(x, pivots) for x in sides], radius)
+    l, r = (_named_blocks(x, rows) for x in sides)
+    near = _blocks_within(l, r, pairs)
 
     def kernel(a, b):
         if a.empty or b.empty:
@@ -175,12 +319,13 @@ def near_duplicates(calls: DataFrame, threshold: float = 0.995, rows: int = BLOC
 
 def similarity_edges(calls: DataFrame, threshold: float, rows: int = BLOCK) -> DataFrame:
     """Enough edges to connect whatever cosine ``threshold`` connects: each pair of blocks returns a spanning forest."""
-    width = float(np.sqrt(2 - 2 * threshold)) * (1 + 1e-9)
-    d = calls.groupBy("vec").agg(F.min("call_id").alias("call_id"))
-    b = _bands(d, width, rows).withColumn("blk", F.concat_ws("/", "band", "blk"))
-    lb = b.select(F.col("blk").alias("lb"), F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("b")).distinct()
-    rb = b.select(F.col("blk").alias("rb"), F.col("band").alias("b")).distinct()
-    near = lb.join(rb, "b").where("lb <= rb").select("lb", "rb").distinct()
+    d = calls.groupBy(F.col("vec").cast("array<double>").alias("vec")).agg(F.min("call_id").alias("call_id"))
+    pivots = pivots_of(d)
+    checkpoint_dir(calls.sparkSession)
+    celled = in_cells(d, pivots).checkpoint()
+    ranges = cell_ranges(celled, pivots)
+    b = _named_blocks(celled, rows)
+    near = _blocks_within(b, b, cells_within(ranges, ranges, math.sqrt(max(0.0, 2 - 2 * threshold)))).where("lb <= rb")
 
     def kernel(x, z):
         if x.empty or z.empty:
@@ -190,7 +335,7 @@ def similarity_edges(calls: DataFrame, threshold: float, rows: int = BLOCK) -> D
 
     e = block_pairs(b, b, (), near, kernel, f"a {_kind(calls)}, b {_kind(calls)}")
     # equal vectors collapsed above: tie each call to the one that stands for it
-    same = calls.join(d.withColumnRenamed("call_id", "a"), "vec").select("a", F.col("call_id").alias("b")).where("a <> b")
+    same = calls.withColumn("vec", F.col("vec").cast("array<double>")).join(d.withColumnRenamed("call_id", "a"), "vec").select("a", F.col("call_id").alias("b")).where("a <> b")
     return e.unionByName(same)
 
 
@@ -218,7 +363,6 @@ def connected_components(nodes: DataFrame, edges: DataFrame, id_col: str = "call
 
     Every round is written to the checkpoint folder, so a lost executor costs one round.
     """
-    from ..session import checkpoint_dir
     spark = nodes.sparkSession
     checkpoint_dir(spark)
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct().checkpoint()

@@ -370,6 +370,13 @@ def _(t):
     return V.nearest_train_neighbour(vectors(t), rows=16)
 
 
+@query("jon_06_neighbour_summary", """with s as (select a.call_id, a.y, a.split, max(list_dot_product(a.vec,b.vec)) as s from d_vec a join d_vec b on a.y=b.y and b.split='train' and a.call_id<>b.call_id group by all)
+  select y, count(*) filter (split='val') as n, min(s) filter (split='val') as least, max(s) filter (split='val') as largest, median(s) filter (split='val') as median_similarity, median(s) filter (split='train') as train_median from s group by y""",
+       r="least largest median_similarity train_median")
+def _(t):
+    return V.neighbour_summary(vectors(t), rows=16)
+
+
 @query("jon_07_near_duplicates", """select a.call_id as val_id, arg_max(b.call_id, list_dot_product(a.vec,b.vec)) as train_id, max(list_dot_product(a.vec,b.vec)) as similarity, count(*) filter (list_dot_product(a.vec,b.vec) > 0.3) as n_pairs
   from d_vec a join d_vec b on a.split='val' and b.split='train' group by a.call_id having max(list_dot_product(a.vec,b.vec)) > 0.3""", r="similarity")
 def _(t):
@@ -395,7 +402,8 @@ def _(t):
     return V.pair_similarity_medians(V.pair_similarity_counts(vectors(t), rows=32))
 
 
-@query("mod_18_threshold_clusters")
+@query("mod_18_threshold_clusters", """with recursive e as materialized (select a.call_id as a, b.call_id as b from d_vec a join d_vec b on list_dot_product(a.vec,b.vec) >= 0.35),
+  r(a, b) as (select call_id, call_id from d_vec union select r.a, e.b from r join e on r.b=e.a) select a as call_id, min(b) as cluster from r group by a""")
 def _(t):
     v = vectors(t)
     return V.connected_components(v, V.similarity_edges(v, 0.35, rows=32))
@@ -417,9 +425,9 @@ def _(t):
     return Q.top_errors(p, 30)
 
 
-@query("set_03_split_overlap", "select l_orderkey as call_id from lineitem where l_linenumber=1 intersect select l_orderkey from lineitem where l_linenumber=2")
+@query("set_03_split_overlap", "select l_orderkey as call_id from lineitem where l_linenumber % 2 = 1 intersect select l_orderkey from lineitem where l_linenumber % 2 = 0")
 def _(t):
-    s = F.when(F.col("l_linenumber") == 1, "train").when(F.col("l_linenumber") == 2, "val")
+    s = F.when(F.col("l_linenumber") % 2 == 1, "train").otherwise("val")
     return Q.split_overlap(t.raw("lineitem").select(F.col("l_orderkey").alias("call_id"), s.alias("split")))
 
 

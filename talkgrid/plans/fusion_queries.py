@@ -141,7 +141,7 @@ def _(t):
 
 
 @query("fus_10_equal_weights", """select call_id, 1.0::double/count(*) as weight, round_even(coalesce(avg(probability) filter (not abstained),0.5),6) as p,
-  coalesce(avg(probability) filter (not abstained) >= 0.5, false) as is_synthetic from d_layers group by call_id""", r="weight p")
+  coalesce(round(avg(probability) filter (not abstained), 12) >= 0.5, false) as is_synthetic from d_layers group by call_id""", r="weight p")
 def _(t):
     return U.equal_weights(t.layer_scores())
 

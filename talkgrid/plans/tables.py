@@ -72,12 +72,13 @@ class Tables:
                         F.lit(70.0).alias("duration_s"))
 
     def layer_scores(self) -> DataFrame:
-        c = self.chunks().where(F.col("chunk") <= 3)
-        key = F.when(F.col("chunk") == 1, "acoustic").when(F.col("chunk") == 2, "behaviour").otherwise("semantic")
-        return c.select("call_id", key.alias("key"), ((F.col("quantity") - 1) / 49).alias("probability"),
-                        (F.col("discount") * 10).alias("quality"),
-                        ((F.col("flag") == "N") & (F.col("chunk") == 2)).alias("abstained"),
-                        F.lit(True).alias("scored"), (F.col("quantity") * 10).alias("latency_ms"))
+        """Every chunk of a call in one of three layers, by its number; a layer is the mean of its chunks, and abstains where all of them do."""
+        third = F.pmod(F.col("chunk"), F.lit(3))
+        key = F.when(third == 1, "acoustic").when(third == 2, "behaviour").otherwise("semantic")
+        c = self.chunks().groupBy("call_id", key.alias("key")).agg(
+            F.avg("quantity").alias("quantity"), F.avg(F.round(F.col("discount") * 100)).alias("percent"), F.bool_and(F.col("flag") == "N").alias("quiet"))
+        return c.select("call_id", "key", ((F.col("quantity") - 1) / 49).alias("probability"), (F.col("percent") / 10).alias("quality"),
+                        (F.col("quiet") & (F.col("key") == "behaviour")).alias("abstained"), F.lit(True).alias("scored"), (F.col("quantity") * 10).alias("latency_ms"))
 
     def predictions(self) -> DataFrame:
         """Rounded order scores; domain = status, condition = priority, model a/b by customer parity."""
@@ -156,9 +157,10 @@ VIEWS = {
     "d_order_calls": """select o_orderkey as call_id, case when left(o_orderpriority,1) in ('1','2') then 1 else 0 end as y,
   case when left(o_orderpriority,1) in ('1','2') then 'synthetic' else 'human' end as label,
   case when o_orderkey % 5 = 0 then 'val' else 'train' end as split, 70.0::double as duration_s from orders""",
-    "d_layers": """select call_id, case chunk when 1 then 'acoustic' when 2 then 'behaviour' else 'semantic' end as key,
-  (quantity-1)/49 as probability, discount*10 as quality, (flag='N' and chunk=2) as abstained, true as scored,
-  quantity*10 as latency_ms from d_chunks where chunk <= 3""",
+    "d_layers0": """select call_id, case chunk % 3 when 1 then 'acoustic' when 2 then 'behaviour' else 'semantic' end as key,
+  avg(quantity) as quantity, avg(round(discount*100)) as percent, bool_and(flag='N') as quiet from d_chunks group by all""",
+    "d_layers": """select call_id, key, (quantity-1)/49 as probability, percent/10 as quality, (quiet and key='behaviour') as abstained, true as scored,
+  quantity*10 as latency_ms from d_layers0""",
     "d_preds": """select o_orderkey as call_id, cast(o_custkey % 2 as int) as y,
   round((o_totalprice-250000)/100000 + (o_custkey % 2)*0.8::double, 2) as score, o_orderstatus as domain,
   o_orderpriority as condition, case when o_orderkey % 3 = 0 then 'a' else 'b' end as model,
@@ -203,6 +205,8 @@ def with_views(body: str, extra: dict[str, str] | None = None) -> str:
         return body
     head = ",\n".join(f"{n} as ({s})" for n, s in done.items())
     body = body.lstrip()
+    if body.lower().startswith("with recursive "):
+        return f"with recursive {head},\n{body[15:]}"
     if body.lower().startswith("with "):
         rec = "recursive " if re.search(r"\bfrom p join s\b", body) else ""
         return f"with {rec}{head},\n{body[5:]}"

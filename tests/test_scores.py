@@ -295,6 +295,52 @@ def test_near_duplicates_miss_nothing(spark):
         assert r.similarity == pytest.approx(max(s[i, j] for j, _, b, _ in rows if b == "train"))
 
 
+def clustered(n, dim=8, centres=30, noise=0.03, seed=6):
+    draw = np.random.default_rng(seed)
+    c = draw.normal(size=(centres, dim))
+    v = c[draw.integers(0, centres, n)] + noise * draw.normal(size=(n, dim))
+    return v / np.linalg.norm(v, axis=1)[:, None]
+
+
+@pytest.mark.parametrize("copies", [False, True])
+def test_nearest_neighbours_by_cells_equal_brute_force(spark, copies):
+    v = clustered(600)
+    if copies:
+        v[100:300] = v[100]
+    rows = [(i, int(i % 3 == 0), "val" if i % 4 == 0 else "train", x.tolist()) for i, x in enumerate(v)]
+    rows.append((601, 2, "val", rows[0][3]))  # a class without training calls
+    df = spark.createDataFrame(rows, "call_id bigint, y int, split string, vec array<double>")
+    got = {r.call_id: (r.neighbour, r.similarity) for r in V.nearest_train_neighbour(df, rows=40).collect()}
+    train = df.where("split = 'train'")
+    among = {r.call_id: (r.neighbour, r.similarity) for r in V.nearest_of_class(train, train, rows=40).collect()}
+    y = np.array([r[1] for r in rows[:600]])
+    val = np.array([r[2] == "val" for r in rows[:600]])
+    for found, asked in ((got, np.flatnonzero(val)), (among, np.flatnonzero(~val))):
+        assert set(found) == set(asked.tolist())
+        for i in asked.tolist():
+            ok = np.flatnonzero((y == y[i]) & ~val & (np.arange(600) != i))
+            s = v[ok] @ v[i]
+            assert found[i][1] == pytest.approx(s.max(), abs=1e-12) and v[found[i][0]] @ v[i] == pytest.approx(s.max(), abs=1e-12)
+            if copies and 100 <= i < 300:
+                assert found[i][0] == ok[np.isclose(s, 1, atol=1e-12)].min()
+
+
+def test_cells_leave_out_what_is_too_far(spark):
+    v = clustered(900)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "call_id bigint, vec array<double>")
+    pivots = V.pivots_of(df)
+    assert len(pivots) == 30
+    celled = V.in_cells(df, pivots)
+    ranges = V.cell_ranges(celled, pivots)
+    b = V._named_blocks(celled, 64)
+    near = V._blocks_within(b, b, V.cells_within(ranges, ranges, math.sqrt(2 - 2 * .99)))
+    assert V.compared_share(b, b, near) < 0.3
+    cell = {r.call_id: r.cell for r in celled.select("call_id", "cell").collect()}
+    met = set(V.cells_within(ranges, ranges, math.sqrt(2 - 2 * .99)))
+    s = v @ v.T
+    assert all((cell[i], cell[j]) in met for i, j in zip(*np.nonzero(s >= .99)))
+
+
 def test_pair_counts_and_components(spark):
     v, rows, df = unit_vectors(spark, n=40, copies=6)
     c = V.pair_similarity_counts(df, rows=9)
