@@ -127,14 +127,12 @@ def class_balance(df: DataFrame, y: str = "y") -> Column:
 
 def fit_logistic(train: DataFrame, names: Sequence[str], y: str = "y", c: float = 1.0, balanced: bool = True, min_observed: int = 0,
                  clip: float | None = None, weight: Column | None = None) -> LinearModel:
-    """Standardised logistic regression with inverse regularisation ``c``."""
-    shell = prepare(train, names, min_observed, clip)
-    w = weight if weight is not None else (class_balance(train, y) if balanced else F.lit(1.0))
-    data = train.select(F.col(y).cast("double").alias("label"), w.alias("w"), array_to_vector(shell.terms()).alias("features"))
-    total, n = data.agg(F.sum("w"), F.count(F.lit(1))).first()
-    data = sized(data, n)
-    m = LogisticRegression(weightCol="w", regParam=1.0 / (c * total), elasticNetParam=0.0, standardization=False, maxIter=100).fit(data)
-    return replace(shell, coef=[float(x) for x in m.coefficients], intercept=float(m.intercept))
+    """Standardised logistic regression with inverse regularisation ``c``: the one-fit case of ``manyfits.fit_many``."""
+    from .manyfits import Fit, fit_many
+    if weight is not None:
+        train = train.withColumn("__weight", weight)
+    fit = Fit("one", tuple(names), F.lit(True), y)
+    return fit_many(train, [fit], c, balanced and weight is None, min_observed, clip, weight="__weight" if weight is not None else None)["one"]
 
 
 def fit_behaviour(train: DataFrame, names: Sequence[str], c: float = 0.1, min_observed: int = 20, seed: int = 2026,
@@ -171,14 +169,10 @@ def out_of_fold(df: DataFrame, fit: Callable[[DataFrame], LinearModel], k: int,
 
 
 def repeated_cv(df: DataFrame, names: Sequence[str], k: int = 5, repeats: int = 10, c: float = 1.0) -> DataFrame:
-    """Validation AUC of every fold of every repeat."""
-    out = None
-    with kept(df) as d:
-        for r in range(repeats):
-            oof = out_of_fold(d, lambda t: fit_logistic(t, names, c=c), k, 100 + r)
-            m = result_rows(evaluate(oof, ["fold"]).select(F.lit(r).alias("repeat"), "fold", "n", "auc", "accuracy"))
-            out = m if out is None else out.unionByName(m)
-    return out
+    """Validation AUC of every fold of every repeat; the fits of all folds and repeats advance together."""
+    from .manyfits import out_of_fold_many
+    oof = out_of_fold_many(df, {"all": names}, k, [100 + r for r in range(repeats)], c=c)
+    return evaluate(oof, ["repeat", "fold"]).select("repeat", "fold", "n", "auc", "accuracy")
 
 
 def cv_summary(cv: DataFrame) -> DataFrame:
@@ -254,14 +248,16 @@ def _collect(parts: Sequence[DataFrame]) -> DataFrame:
 
 def column_set_ladder(df: DataFrame, sets: dict[str, Sequence[str]], c: float = 0.1, balanced: bool = False, clip: float | None = CLIP,
                       split: str = "split") -> DataFrame:
-    """The same fit on several column sets, judged on both splits."""
-    parts = []
-    with kept(df) as d:
-        train = d.where(F.col(split) == "train")
-        for name, cols in sets.items():
-            m = fit_logistic(train, cols, c=c, balanced=balanced, clip=clip)
-            parts.append(result_rows(scored_metrics(d, m.logit(), name)))
-    return _collect(parts)
+    """The same fit on several column sets, all in common passes, judged on both splits."""
+    from .manyfits import Fit, fit_many, score_many
+    models = fit_many(df, [Fit(name, tuple(cols), F.col(split) == "train") for name, cols in sets.items()], c=c, balanced=balanced, clip=clip)
+    return scored_sets(score_many(df, models), ["split"])
+
+
+def scored_sets(scored: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Metrics of every fit of a ``score_many`` table."""
+    m = evaluate(scored, ["fit", *by])
+    return m.select(F.col("fit").alias("experiment"), *by, "n", "accuracy", "balanced_accuracy", "auc", "eer", "f1", "far", "frr", "brier")
 
 
 # fixed values: the ladder's experiments as (name, column set, kind, inverse regularisation)
@@ -386,14 +382,11 @@ def family_ablation(df: DataFrame, names: Sequence[str], families: dict[str, Seq
 
 
 def leave_one_out_auc(df: DataFrame, names: Sequence[str], k: int = 5, c: float = 0.1, seed: int = 2026) -> DataFrame:
-    """Out-of-fold AUC lost without each column."""
-    parts = []
-    with kept(df.where("split = 'train'")) as d:
-        for left in [None, *names]:
-            cols = [n for n in names if n != left]
-            oof = out_of_fold(d, lambda t: fit_logistic(t, cols, c=c, balanced=False, clip=CLIP), k, seed)
-            parts.append(result_rows(evaluate(oof.withColumn("left_out", F.lit(left or "none")), ["left_out"]).select("left_out", "auc")))
-    t = _collect(parts)
+    """Out-of-fold AUC lost without each column; (columns + 1) x k fits in common passes."""
+    from .manyfits import out_of_fold_many
+    sets = {left or "none": [n for n in names if n != left] for left in (None, *names)}
+    oof = out_of_fold_many(df.where("split = 'train'"), {s: cols for s, cols in sets.items() if cols}, k, [seed], c=c, balanced=False, clip=CLIP)
+    t = result_rows(evaluate(oof, ["set"]).select(F.col("set").alias("left_out"), "auc"))
     full = t.where("left_out = 'none'").select(F.col("auc").alias("full_auc"))
     return t.where("left_out <> 'none'").join(F.broadcast(full)).select("left_out", "auc", (F.col("full_auc") - F.col("auc")).alias("auc_lost"))
 
@@ -406,15 +399,27 @@ def permuted_labels(df: DataFrame, seed: int, id_col: str = "call_id", y: str =
     return a.join(b, "rank").drop("rank", "__k")
 
 
+def permuted_runs(df: DataFrame, seeds: Sequence[int], id_col: str = "call_id", y: str = "y") -> DataFrame:
+    """``(id, y_0, y_1, ..)``: the labels of ``permuted_labels`` under every seed, by one ordered pass for all."""
+    from ..functions.ordered import scan
+    d = df.select(id_col, y).withColumn("__run", F.explode(F.sequence(F.lit(0), F.lit(len(seeds) - 1)))).withColumn("__one", F.lit(1))
+    seed = F.get(F.array(*[F.lit(int(s)) for s in seeds]), F.col("__run"))
+
+    def ranked(more: int):
+        h = d.withColumn("__h", F.xxhash64(F.col(id_col), seed + more))
+        return scan(h, ["__run"], F.shiftright("__h", 48), ["__h", id_col], {"__rank": ("sum", "__one")})
+
+    dealt = ranked(0).select("__run", "__rank", id_col).join(ranked(1).select("__run", "__rank", y), ["__run", "__rank"])
+    return dealt.groupBy(id_col).agg(*[F.max(F.when(F.col("__run") == i, F.col(y))).alias(f"{y}_{i}") for i in range(len(seeds))])
+
+
 def permutation_control(df: DataFrame, names: Sequence[str], runs: int = 5, c: float = 0.1) -> DataFrame:
-    """Validation AUC of fits on shuffled training labels; chance if nothing leaks."""
-    parts = []
-    with kept(df) as d:
-        val = d.where("split = 'val'")
-        for r in range(runs):
-            m = fit_logistic(permuted_labels(d.where("split = 'train'"), 1000 + r), names, c=c)
-            parts.append(result_rows(scored_metrics(val, m.logit(), f"permutation_{r}")))
-    return _collect(parts)
+    """Validation AUC of fits on shuffled training labels, all runs in common passes; chance if nothing leaks."""
+    from .manyfits import Fit, fit_many, score_many
+    train = df.where("split = 'train'")
+    dealt = train.select("call_id", *names).join(permuted_runs(train, [1000 + r for r in range(runs)]), "call_id")
+    models = fit_many(dealt, [Fit(f"permutation_{r}", tuple(names), F.lit(True), f"y_{r}") for r in range(runs)], c=c)
+    return scored_sets(score_many(df.where("split = 'val'"), models), ["split"])
 
 
 # ------------------------------------------------------------------------------ voices
@@ -472,16 +477,21 @@ def recall_of_unseen(loo: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------------------ training sets
 
 def tiny_training(df: DataFrame, names: Sequence[str], per_class: int = 5, repeats: int = 10) -> DataFrame:
-    """Fits on a handful of calls, and one on the validation side only."""
+    """Fits on a handful of calls, and one on the validation side only; all in common passes."""
+    from .manyfits import Fit, fit_many, score_many
     from .sampling import sample_per_class
-    parts = []
-    with kept(df) as d:
-        train, val = d.where("split = 'train'"), d.where("split = 'val'")
-        for r in range(repeats):
-            m = fit_logistic(sample_per_class(train, "y", "call_id", per_class, r), names)
-            parts.append(result_rows(scored_metrics(val, m.logit(), f"tiny_{r}")))
-        parts.append(result_rows(scored_metrics(train, fit_logistic(val, names).logit(), "reversed")))
-    return _collect(parts)
+    train = df.where("split = 'train'")
+    drawn = None
+    for r in range(repeats):
+        s = sample_per_class(train, "y", "call_id", per_class, r).select("call_id", F.lit(r).alias("r"))
+        drawn = s if drawn is None else drawn.unionByName(s)
+    # a few ids a repeat
+    held = drawn.groupBy("call_id").agg(F.collect_set("r").alias("drawn"))
+    with kept(df.join(held, "call_id", "left")) as d:
+        fits = [Fit(f"tiny_{r}", tuple(names), F.array_contains("drawn", r)) for r in range(repeats)] + [Fit("reversed", tuple(names), F.col("split") == "val")]
+        scored = score_many(d, fit_many(d, fits)).drop("drawn")
+        judged = (F.col("fit") == "reversed") == (F.col("split") == "train")
+        return result_rows(scored_sets(scored.where(judged), ["split"]))
 
 
 def domain_class_weight(df: DataFrame, domain: str = "domain", y: str = "y") -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions.feature_sets import BEHAVIOUR_SETS
 from ..operators import models as O
 from ..operators import scoring as A
+from ..operators.manyfits import out_of_fold_many
 from ..operators.sampling import best_model
 from .corpus_queries import vectors
 from .event_queries import features as behaviour
@@ -129,14 +130,14 @@ def _(t):
 
 @query("mod_13_repeated_cv")
 def _(t):
-    return O.cv_summary(O.repeated_cv(table(t), ["signal", "qty"], k=3, repeats=2))
+    return O.cv_summary(O.repeated_cv(table(t), COLS))
 
 
 @query("mod_14_holdout")
 def _(t):
     d = table(t)
     held = O.scored_metrics(d.where("split = 'val'"), O.fit_logistic(d.where("split = 'train'"), COLS).logit(), "train_fit")
-    oof = O.out_of_fold(d, lambda x: O.fit_logistic(x, COLS), 3, 5)
+    oof = out_of_fold_many(d, {"all": COLS}, 5, [5])
     return held.unionByName(O.scored_metrics(oof.where("split = 'val'"), F.col("score"), "out_of_fold"))
 
 
@@ -147,12 +148,12 @@ def _(t):
 
 @query("mod_16_leave_one_feature_out")
 def _(t):
-    return O.leave_one_out_auc(table(t), ["signal", "qty"], k=2)
+    return O.leave_one_out_auc(table(t), COLS)
 
 
 @query("mod_17_permutation_control")
 def _(t):
-    return O.permutation_control(table(t), ["signal", "qty"], runs=2)
+    return O.permutation_control(table(t), COLS)
 
 
 @query("mod_17_permuted_labels", "select split, count(*) as n, sum(y)::bigint as positives from d_table where split='train' group by split")
@@ -175,7 +176,7 @@ def _(t):
 
 @query("mod_21_tiny_training")
 def _(t):
-    return O.tiny_training(table(t), ["signal", "qty"], repeats=2)
+    return O.tiny_training(table(t), COLS)
 
 
 @query("mod_22_domain_class_weight", "select domain, y, sum(w) as total from (select domain, y, 1.0::double/count(*) over (partition by domain, y) as w from d_table) group by all", r="total")
