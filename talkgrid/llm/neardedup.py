@@ -80,8 +80,8 @@ def _merge(coordinates: int, prefix: int, least: int, least_fine: int):
         for m in np.unique(size[small]):
             i, j = np.triu_indices(int(m), 1)
             heads = cut[small[size[small] == m]]
-            for k in range(0, len(heads), max(1, 200_000 // len(i))):
-                h = heads[k:k + max(1, 200_000 // len(i)), None]
+            for k in range(0, len(heads), max(1, 50_000 // len(i))):
+                h = heads[k:k + max(1, 50_000 // len(i)), None]
                 yield (h + i).ravel(), (h + j).ravel()
         for g in np.flatnonzero(size > 64):
             rows = np.arange(cut[g], cut[g] + size[g])
@@ -111,7 +111,7 @@ def _merge(coordinates: int, prefix: int, least: int, least_fine: int):
         for p in pairs(heads, sizes):
             held.append(p)
             rows += len(p[0])
-            if rows >= 200_000:
+            if rows >= 50_000:
                 yield near(held)
                 held, rows = [], 0
         if held:

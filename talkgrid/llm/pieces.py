@@ -30,7 +30,7 @@ MAX_MODEL_BYTES = 64 << 20
 class PrefixTable:
     """Encoder and decoder for one model."""
 
-    def __init__(self, model: bytes, pairs: int = 1_000_000):
+    def __init__(self, model: bytes, pairs: int = 300_000):
         import ahocorasick
         import sentencepiece
         self.library = lib = sentencepiece.SentencePieceProcessor(model_proto=model)
