@@ -10,7 +10,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
@@ -267,12 +271,32 @@ def spearman(df: DataFrame, by: Sequence[str], a: str, b: str) -> DataFrame:
 
 
 def correlation_pairs(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Pearson of every feature pair, all of them in one pass."""
-    pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1:]]
-    wide = df.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
-    out = wide.unpivot([], [f"`{a}|{b}`" for a, b in pairs], "pair", "r")
-    return out.select(F.split_part("pair", F.lit("|"), F.lit(1)).alias("a"),
-                      F.split_part("pair", F.lit("|"), F.lit(2)).alias("b"), "r")
+    """Pearson of every feature pair over the rows that know both: one matrix of products per task, summed.
+
+    What comes to the driver grows with the square of the columns, never with the rows.
+    """
+    features, k = list(features), len(features)
+    x = F.array(*[F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(None)), F.lit(float("nan"))) for f in features])
+    means = df.agg(*[F.avg(F.nanvl(F.col(f).cast("double"), F.lit(None))).alias(f"m{i}") for i, f in enumerate(features)]).first()
+    centre = np.array([0.0 if m is None else m for m in means])
+
+    def run(batches):
+        total = np.zeros((4, k, k))
+        for b in batches:
+            if b.num_rows:
+                v = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, k) - centre
+                known = (~np.isnan(v)).astype(float)
+                v = np.nan_to_num(v, nan=0.0)
+                total += np.stack((known.T @ known, v.T @ known, (v * v).T @ known, v.T @ v))
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], names=["v"])
+
+    parts = df.select(x.alias("x")).mapInArrow(run, "v array<double>")
+    n, s, ss, xy = parts.agg(Summarizer.sum(array_to_vector("v")).alias("s")).first().s.toArray().reshape(4, k, k)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cov = xy - s * s.T / n
+        r = cov / np.sqrt(np.maximum(ss - s * s / n, 0) * np.maximum(ss.T - s.T * s.T / n, 0))
+    rows = [(features[i], features[j], float(r[i, j]) if np.isfinite(r[i, j]) else None) for i in range(k) for j in range(i + 1, k)]
+    return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
 
 
 def rank_table(df: DataFrame, id_col: str, features: Sequence[str]) -> DataFrame:
@@ -346,21 +370,3 @@ def claims_check(claims: DataFrame, computed: DataFrame, on: Sequence[str], tole
     j = claims.join(computed, list(on), "left")
     ok = F.coalesce(F.abs(F.col("stated") - F.col("computed")) <= tolerance, F.lit(False))
     return j.withColumn("ok", ok)
-
-
-def bootstrap_auc_difference(df: DataFrame, id_col: str, a: str, b: str, y: str = "y", repeats: int = 100,
-                             seed: int = 2026) -> DataFrame:
-    """AUC difference of two scores with a percentile interval over hash-seeded Poisson resamples."""
-    from .sampling import poisson_weights
-    base = df.select(id_col, y, F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
-    w = poisson_weights(base, id_col, repeats, seed).where(F.col("w") > 0)
-    every = base.withColumns({"replicate": F.lit(-1), "w": F.lit(1)}).unionByName(w.select(*base.columns, "replicate", "w"))
-    long = every.unpivot(["replicate", "w", y], ["a", "b"], "which", "score")
-    auc = roc_auc(long, ["replicate", "which"], "score", y, weight="w")
-    diff = auc.groupBy("replicate").agg(
-        (F.max(F.when(F.col("which") == "a", F.col("auc"))) - F.max(F.when(F.col("which") == "b", F.col("auc")))).alias("d"))
-    rep = F.col("replicate") >= 0
-    q = F.percentile(F.when(rep, F.col("d")), F.array(F.lit(.025), F.lit(.975)))  # one value per replicate
-    return diff.agg(F.max(F.when(~rep, F.col("d"))).alias("delta_auc"), q.alias("q"),
-                    F.count_if(rep & F.col("d").isNotNull()).alias("replicates")).select(
-        "delta_auc", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"), "replicates")

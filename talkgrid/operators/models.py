@@ -141,7 +141,8 @@ def fit_behaviour(train: DataFrame, names: Sequence[str], c: float = 0.1, min_ob
     m = fit_logistic(train, names, c=c, balanced=False, min_observed=min_observed, clip=CLIP)
     if not calibrated:
         return m
-    oof = out_of_fold(train, lambda t: fit_logistic(t, m.names, c=c, balanced=False, clip=CLIP), 5, seed)
+    from .manyfits import out_of_fold_many
+    oof = out_of_fold_many(train, {"all": m.names}, 5, [seed], c=c, balanced=False, clip=CLIP)
     cal = fit_platt(oof, "score", c=1.0)
     if cal["a"] <= 0:
         raise ValueError("calibration is not monotone: is there any signal?")
@@ -181,12 +182,41 @@ def cv_summary(cv: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------------------ calibration
 
-def fit_platt(df: DataFrame, score: str = "score", y: str = "y", c: float | None = None) -> dict:
-    """Slope and offset of ``sigmoid(a s + b)``; plain likelihood unless ``c`` regularises."""
-    d = df.select(F.col(y).cast("double").alias("label"), array_to_vector(F.array(F.col(score).cast("double"))).alias("features"))
-    n = d.count()
-    m = LogisticRegression(regParam=0.0 if c is None else 1.0 / (c * n), standardization=False, maxIter=500, tol=1e-10).fit(sized(d, n))
-    return {"method": "platt", "a": float(m.coefficients[0]), "b": float(m.intercept)}
+def fit_platt(df: DataFrame, score: str = "score", y: str = "y", c: float | None = None, steps: int = 50) -> dict:
+    """Slope and offset of ``sigmoid(a s + b)``; plain likelihood unless ``c`` regularises the slope.
+
+    Newton's method on the table of distinct scores: a step is one aggregation of six sums. A step that makes the loss larger is halved.
+    """
+    counts = df.where(F.col(score).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(F.sum(F.col(y).cast("double")).alias("pos"), F.count(F.lit(1)).cast("double").alias("n"))
+    ridge = 0.0 if c is None else 1.0 / c
+    at = best = (0.0, 0.0)
+    step, loss = (0.0, 0.0), math.inf
+    with kept(counts) as d:
+        for _ in range(steps):
+            m = F.col("s") * at[0] + at[1]
+            q = sigmoid(m, None)
+            e, h = F.col("n") * q - F.col("pos"), F.col("n") * q * (1 - q)
+            now = F.col("n") * (F.greatest(m, F.lit(0.0)) + F.log1p(F.exp(-F.abs(m)))) - F.col("pos") * m
+            r = d.agg(F.sum(now), F.sum(e * F.col("s")), F.sum(e), F.sum(h * F.col("s") * F.col("s")), F.sum(h * F.col("s")), F.sum(h)).first()
+            if r[0] is None:
+                raise ValueError("no scores to calibrate on")
+            value = r[0] + ridge * at[0] ** 2 / 2
+            if not value <= loss * (1 + 1e-12) + 1e-12:
+                step = (step[0] / 2, step[1] / 2)
+                if max(map(abs, step)) < 1e-12:
+                    break
+                at = (best[0] + step[0], best[1] + step[1])
+                continue
+            best, loss = at, value
+            ga, gb, haa, hab, hbb = r[1] + ridge * at[0], r[2], r[3] + ridge, r[4], r[5]
+            det = haa * hbb - hab * hab
+            if det <= 1e-300:  # one score, or classes that a slope parts perfectly
+                break
+            step = (-(hbb * ga - hab * gb) / det, -(haa * gb - hab * ga) / det)
+            if max(map(abs, step)) < 1e-11:
+                break
+            at = (at[0] + step[0], at[1] + step[1])
+    return {"method": "platt", "a": float(best[0]), "b": float(best[1])}
 
 
 def temperature_grid(n: int = 400, lo: float = 0.05, hi: float = 50.0) -> list[float]:

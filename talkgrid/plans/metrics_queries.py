@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import sigmoid
 from ..operators import metrics as M
+from ..operators.resampling import bootstrap_auc_difference
 from .registry import query
 
 
@@ -254,10 +255,21 @@ def _(t):
     return M.stress_matrix(t.predictions(), clean="5-LOW")
 
 
+def two_scores(t):
+    return t.predictions().withColumn("other", F.col("score") + (F.col("call_id") % 7 - 3) / 2)
+
+
 @query("met_21_bootstrap_auc_difference")
 def _(t):
-    p = t.predictions().withColumn("other", F.col("score") + (F.col("call_id") % 7 - 3) / 2)
-    return M.bootstrap_auc_difference(p, "call_id", "score", "other", repeats=40)
+    return bootstrap_auc_difference(two_scores(t), "call_id", "score", "other")
+
+
+@query("met_21_auc_difference", f"""with s as (select 'a' as which, y, score from d_preds union all select 'b', y, score + (call_id % 7 - 3)/2.0::double from d_preds),
+  c as ({curve_sql('s', 'which')}), u as (select which, {AUC} as auc from c group by which)
+  select max(auc) filter (which='a') - max(auc) filter (which='b') as delta_auc, 1000::bigint as replicates, true as within from u""", r="delta_auc")
+def _(t):
+    d = bootstrap_auc_difference(two_scores(t), "call_id", "score", "other")
+    return d.select("delta_auc", "replicates", F.col("delta_auc").between(F.col("lo"), F.col("hi")).alias("within"))
 
 
 @query("met_22_error_free_lower_bound", """select domain, count(*) as n, count(*) filter ((score>=2)<>(score>=2 and y>=0)) as errors,

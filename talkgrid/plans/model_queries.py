@@ -2,13 +2,15 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.feature_sets import BEHAVIOUR_SETS
+from ..functions.feature_sets import ALL_BEHAVIOUR, BEHAVIOUR_SETS
 from ..operators import models as O
 from ..operators import scoring as A
 from ..operators.manyfits import out_of_fold_many
+from ..operators.metrics import spearman_matrix
 from ..operators.sampling import best_model
 from .corpus_queries import vectors
 from .event_queries import features as behaviour
+from .metrics_queries import RANK
 from .registry import query
 from .tables import VIEWS
 
@@ -47,6 +49,27 @@ def term(name, i, missing=False):
 LOGIT = "1.2*(-0.05 + " + " + ".join([term(n, i) for i, n in enumerate(COLS)] + [term("qty", 0, True), term("sparse", 0, True)]) + ") + 0.1"
 
 
+def term_sql(name, impute, flag):
+    x = f"({name} is null)::int" if flag else f"coalesce({name}, {impute})"
+    gaps = f" having count({name}) < count(*)" if flag else ""
+    return f"select '{name}{' missing' if flag else ''}' as term, avg({x}) as mean, stddev_pop({x}) as scale, 0.0::double as slope from d_table where split='train'{gaps}"
+
+
+@query("mod_01_optimum", "with m as (select median(signal) as signal, median(qty) as qty, median(tax) as tax, median(sparse) as sparse from d_table where split='train') select * from ("
+       + " union all ".join([term_sql(c, f"(select {c} from m)", False) for c in COLS] + [term_sql(c, None, True) for c in COLS]) + ") union all select 'intercept', 0, 1, 0", r="mean scale slope")
+def _(t):
+    """Where the fit ends the slope of the regularised loss is zero in every direction, computed anew from columns."""
+    d = table(t).where("split = 'train'")
+    m = O.fit_logistic(d, COLS)
+    n = {r.y: r["count"] for r in d.groupBy("y").count().collect()}
+    w = F.when(F.col("y") == 1, sum(n.values()) / (2 * n[1])).otherwise(sum(n.values()) / (2 * n[0]))
+    terms = d.select(m.terms().alias("z"), (w * (m.probability() - F.col("y"))).alias("e"))
+    names = [*m.names, *[f"{m.names[i]} missing" for i in m.flagged], "intercept"]
+    sums = terms.agg(*[F.sum(F.col("e") * F.get("z", F.lit(i))).alias(f"s{i}") for i in range(len(m.coef))], F.sum("e").alias("s")).first()
+    slope = [float(sums[f"s{i}"] + c) for i, c in enumerate(m.coef)] + [float(sums["s"])]
+    return t.spark.createDataFrame([(k, float(a), float(b), abs(round(x, 6))) for k, a, b, x in zip(names, [*m.mean, 0.0], [*m.scale, 1.0], slope)], "term string, mean double, scale double, slope double")
+
+
 @query("mod_01_logistic")
 def _(t):
     d = table(t)
@@ -70,8 +93,7 @@ def _(t):
 
 @query("mod_04_behaviour_ladder")
 def _(t):
-    ladder = [x for x in O.LADDER if x[0] in ("A_dummy", "B_shortcut", "C_temporal", "E_consistency", "E_no_counts", "G_with_global")]
-    return O.behaviour_ladder(behaviour_table(t), BEHAVIOUR_SETS, ladder)
+    return O.behaviour_ladder(behaviour_table(t), BEHAVIOUR_SETS)
 
 
 @query("mod_05_shortcut_models")
@@ -82,7 +104,7 @@ def _(t):
 @query("mod_06_tree_control")
 def _(t):
     d = table(t)
-    return O.scored_metrics(O.tree_scores(d.where("split = 'train'"), d, COLS, trees=20), F.col("score"), "trees")
+    return O.scored_metrics(O.tree_scores(d.where("split = 'train'"), d, COLS), F.col("score"), "trees")
 
 
 @query("mod_07_prior", "with p as (select avg(y) as p from d_table where split='train') select split, count(*) as n, ln(any_value(p)/(1-any_value(p))) as score from d_table, p group by split", r="score")
@@ -94,40 +116,72 @@ def _(t):
 @query("mod_08_neural_head")
 def _(t):
     c = chunks(t)
-    return O.call_metrics(O.neural_head_scores(c.where("split = 'train'"), c, hidden=16, rounds=15), "neural")
+    return O.call_metrics(O.neural_head_scores(c.where("split = 'train'"), c), "neural")
 
 
 @query("mod_09_layer_probe")
 def _(t):
     c = chunks(t)
-    both = c.unionByName(c.withColumns({"layer": F.lit(1), "emb": F.slice("emb", 1, 8)}))
+    both = c.unionByName(c.withColumns({"layer": F.lit(1), "emb": F.transform("emb", lambda x: x * x)}))
     return O.best_layer(O.layer_probe(both, [0, 1]))
 
 
-@query("mod_10_platt")
+def newton_sql(groups: str, rows: str, keys: str = "") -> str:
+    """Newton's method for ``sigmoid(a s + b)`` per group, as SQL over ``rows(keys, s, pos, n)`` and ``groups(keys)``."""
+    k, on = (f"{keys}, ", f" using ({keys})") if keys else ("", "")
+    join = f"p join c{on}" if keys else "p, c"
+    return f"""with recursive c as ({rows}), p as (select {k}0 as i, 0.0::double as a, 0.0::double as b from {groups}
+  union all
+  select {k}i+1, a - (hbb*ga - hab*gb)/(haa*hbb - hab*hab), b - (haa*gb - hab*ga)/(haa*hbb - hab*hab) from (
+    select {k}i, any_value(a) as a, any_value(b) as b, sum((n*q-pos)*s) as ga, sum(n*q-pos) as gb, sum(n*q*(1-q)*s*s) as haa, sum(n*q*(1-q)*s) as hab, sum(n*q*(1-q)) as hbb
+    from (select {k}i, a, b, s, pos, n, 1/(1+exp(-(a*s+b))) as q from {join}) where i < 25 group by all)),
+  f as (select * from p where i = 25)"""
+
+
+@query("mod_10_platt", newton_sql("(select 1)", "select score as s, sum(y)::double as pos, count(*)::double as n from d_preds group by score")
+       + " select call_id, 1/(1+exp(-least(greatest(a*score+b,-40),40))) as p from d_preds, f", r="p")
 def _(t):
     cal = O.fit_platt(t.predictions())
     return t.predictions().select("call_id", O.calibrate(F.col("score"), cal["a"], cal["b"]).alias("p"))
 
 
-@query("mod_11_temperature", """with g as (select exp(ln(0.05)+i*(ln(50)-ln(0.05))/39) as t from range(40) r(i)), l as (select t, y, least(greatest(1/(1+exp(-least(greatest(score/t,-40),40))),1e-7),1-1e-7) as p from d_preds, g)
-  select t, avg(-(y*ln(p)+(1-y)*ln(1-p))) as log_loss from l group by t""", r="t log_loss")
+TEMPERATURES = """with g as (select exp(ln(0.05)+i*(ln(50)-ln(0.05))/399) as t from range(400) r(i)), s as (select score, sum(y) as pos, count(*) as n from d_preds group by score),
+  q as (select t, pos, n, least(greatest(1/(1+exp(-least(greatest(score/t,-40),40))),1e-7),1-1e-7) as p from s, g),
+  l as (select t, sum(-(pos*ln(p)+(n-pos)*ln(1-p)))/sum(n) as log_loss from q group by t)"""
+
+
+@query("mod_11_temperature", f"{TEMPERATURES} select t, log_loss from l", r="t log_loss")
 def _(t):
-    return O.temperature_losses(t.predictions(), grid=O.temperature_grid(40))
+    return O.temperature_losses(t.predictions())
 
 
-@query("mod_11_fit_temperature")
+@query("mod_11_fit_temperature", f"{TEMPERATURES}, b as (select arg_min(t, log_loss) as t from l) select call_id, 1/(1+exp(-least(greatest(score*(1/t),-40),40))) as p from d_preds, b", r="p")
 def _(t):
     cal = O.fit_temperature(t.predictions())
     return t.predictions().select("call_id", O.calibrate(F.col("score"), cal["a"]).alias("p"))
 
 
-@query("mod_12_out_of_fold_calibration")
+@query("mod_12_out_of_fold_calibration", newton_sql("(select unnest(range(5)) as fold)", """select o.fold, score as s, sum(y)::double as pos, count(*)::double as n
+  from d_preds, (select unnest(range(5)) as fold) o where call_id % 5 <> o.fold group by all""", "fold")
+       + " select call_id, fold::int as fold, 1/(1+exp(-(a*score+b))) as p from d_preds join f on f.fold = call_id % 5", r="p")
 def _(t):
-    d = O.grouped_folds(t.predictions(), 5, 3)
+    d = t.predictions().withColumn("fold", (F.col("call_id") % 5).cast("int"))
     return O.calibrated_out_of_fold(d, O.fit_platt).select("call_id", "fold", "p")
 
 
+@query("mod_12_choose_calibration")
+def _(t):
+    cal = O.choose_calibration(t.predictions(), grouped=True)
+    return t.spark.createDataFrame([(cal["method"], float(cal["a"]), float(cal["b"]), float(cal["cv_log_loss"]))], "method string, a double, b double, cv_log_loss double")
+
+
+@query("mod_01_served_recipe")
+def _(t):
+    d = table(t)
+    m = O.fit_behaviour(d.where("split = 'train'"), COLS)
+    return O.scored_metrics(d, m.logit(), "served")
+
+
 @query("mod_13_repeated_cv")
 def _(t):
     return O.cv_summary(O.repeated_cv(table(t), COLS))
@@ -164,13 +218,13 @@ def _(t):
 
 @query("mod_18_cluster_sweep")
 def _(t):
-    return O.cluster_sweep(vectors(t), max_k=4)[0]
+    return O.cluster_sweep(vectors(t), max_k=8)[0]
 
 
 @query("mod_20_leave_one_cluster_out")
 def _(t):
     c = chunks(t)
-    clusters = c.select("call_id").distinct().withColumn("cluster", (F.col("call_id") % 3).cast("int"))
+    clusters = O.cluster_sweep(vectors(t), max_k=6)[0]
     return O.recall_of_unseen(O.leave_one_cluster_out(c, "emb", clusters, 1))
 
 
@@ -217,3 +271,16 @@ def _(t):
     d = meta_features(telemetry_view(t.layer_scores()), keys).join(t.order_calls(), "call_id")
     m = O.fit_logistic(d.where("split = 'train'"), keys)
     return d.select("call_id", m.probability().alias("p"))
+
+
+NAMES = ", ".join(map(repr, ALL_BEHAVIOUR))
+
+
+@query("met_27_behaviour_matrix", f"""with u as (unpivot (select call_id, {', '.join(f'{c}::double as {c}' for c in ALL_BEHAVIOUR)} from d_features) on {', '.join(ALL_BEHAVIOUR)} into name metric value val),
+  r as (select call_id, metric, list_position([{NAMES}], metric) as i, {RANK.format(by='metric', c='round(val, 9)')} as k from u),
+  p as (select a.metric as a, b.metric as b, corr(a.k, b.k) as r from r a join r b on a.call_id=b.call_id and a.i<b.i group by all),
+  c as (select unnest([{NAMES}]) as name, unnest(range({len(ALL_BEHAVIOUR)})) as i)
+  select x.name as a, z.name as b, case when isfinite(r) then r end as r from c x join c z on x.i<z.i left join p on p.a=x.name and p.b=z.name""", r="r")
+def _(t):
+    f = behaviour(t).select("call_id", *[F.round(F.col(c).cast("double"), 9).alias(c) for c in ALL_BEHAVIOUR])
+    return spearman_matrix(f, "call_id", ALL_BEHAVIOUR)
