@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.fixed import MERGE_GAP_MS
@@ -285,27 +287,83 @@ def chunk_regions(regions: DataFrame, keys: Sequence[str] = CALL, chunk_ms: int
     return scan(pieces.withColumn("__one", F.lit(1)), keys, minute, ["start_ms"], {"chunk": ("sum", "__one")}).drop("__one")
 
 
+PACK_BLOCK = 4096
+
+
+def _successors(d: DataFrame, keys: list[str], max_ms: int) -> DataFrame:
+    """For each segment ``(idx, before, after)`` (its number and the voice before and after it) the first one that no longer fits a pack starting with it, in ``nxt``."""
+    span = F.lit(max(64 * max_ms, 1)).cast("bigint")
+    seg = d.select(*keys, (-F.col("after")).alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("asker"), F.lit(None).cast("bigint").alias("from"),
+                   F.struct(F.col("idx").alias("idx"), F.col("before").alias("before")).alias("seg"))
+    ask = d.select(*keys, (-(F.col("before") + max_ms)).alias("at"), F.lit(0).alias("kind"), F.col("idx").alias("asker"), F.col("before").alias("from"),
+                   F.lit(None).cast("struct<idx:bigint,before:bigint>").alias("seg"))
+    # from the right: what lies beyond the question's place has come up before it, the nearest last; of equal places the first segment counts
+    both = seg.unionByName(ask).withColumn("order", F.when(F.col("kind") == 1, -F.col("seg.idx")).otherwise(F.lit(-(1 << 62)).cast("bigint")))
+    r = scan(both, keys, F.floor(F.col("at") / span), ["at", "order"], {"first": ("last", "seg")}, inclusive=False).where("kind = 0")
+    # a pack that holds nothing yet takes even what does not fit
+    nxt = F.when(F.col("first.before") > F.col("from"), F.col("first.idx")).otherwise(F.col("first.idx") + 1)
+    return r.select(*keys, F.col("asker").alias("idx"), nxt.alias("nxt"))
+
+
 def pack_segments(segs: DataFrame, keys: Sequence[str] = CALL, max_ms: int = 20_000) -> DataFrame:
     """Greedy runs of consecutive disjoint segments with at most ``max_ms`` of voice; adds ``pack``.
 
-    Each fill depends on the one before, so a call is folded over its ordered, disjoint
-    segments; their number is bounded by the length of the call.
+    Each fill depends on the one before. Every segment first finds, by running sums and an as-of search, where a pack that starts with it would end. Within blocks of
+    ``PACK_BLOCK`` segments these jumps are followed to the block's border; over blocks they are doubled until the blocks' entries are known, in a number of rounds
+    that is the logarithm of a call's blocks (none for a call of one block). No call is held by one task.
     """
+    from ..session import checkpoint_dir
     keys = list(keys)
-    g = segs.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("start_ms", "end_ms"))).alias("segs"))
-    zero = F.struct(F.lit(0).cast("bigint").alias("pack"), F.lit(0).cast("bigint").alias("acc"),
-                    F.array().cast("array<bigint>").alias("ids"))
-
-    def step(a, x):
-        d = x["end_ms"] - x["start_ms"]
-        full = (F.size(a["ids"]) > 0) & (a["acc"] + d > max_ms) & (a["acc"] > 0)
-        pack = F.when(full, a["pack"] + 1).otherwise(a["pack"])
-        return F.struct(pack.alias("pack"), F.when(full, d).otherwise(a["acc"] + d).alias("acc"),
-                        F.concat(a["ids"], F.array(pack)).alias("ids"))
-
-    ids = F.aggregate("segs", zero, step, lambda a: a["ids"])
-    return g.select(*keys, F.explode(F.arrays_zip("segs", ids.alias("ids"))).alias("z")).select(
-        *keys, "z.segs.start_ms", "z.segs.end_ms", F.col("z.ids").alias("pack"))
+    checkpoint_dir(segs.sparkSession)
+    voice = (F.col("end_ms") - F.col("start_ms")).cast("bigint")
+    d = segs.select(*keys, "start_ms", "end_ms", voice.alias("voice"), F.lit(1).cast("bigint").alias("one"))
+    d = scan(d, keys, F.floor(F.col("start_ms") / TILE), ["start_ms", "end_ms"], {"number": ("sum", "one"), "before": ("sum<", "voice")})
+    d = d.select(*keys, "start_ms", "end_ms", (F.col("number") - 1).alias("idx"), F.col("before").cast("bigint").alias("before"), (F.col("before") + F.col("voice")).cast("bigint").alias("after")).checkpoint()
+    n = d.groupBy(*keys).agg(F.max("idx").alias("final"))
+    jumps = _successors(d, keys, max_ms).join(n, keys).select(*keys, "idx", F.when(F.col("nxt") <= F.col("final"), F.col("nxt")).alias("nxt"), F.floor(F.col("idx") / PACK_BLOCK).alias("blk")).checkpoint()
+    types = ", ".join(f"`{k}` {segs.schema[k].dataType.simpleString()}" for k in keys)
+
+    def borders(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("idx")
+        first, m = int(t["idx"].iat[0]), len(t)
+        nxt = t["nxt"].fillna(-1).to_numpy(np.int64)
+        out = nxt.copy()
+        for i in range(m - 1, -1, -1):
+            j = nxt[i] - first
+            if nxt[i] >= 0 and j < m:
+                out[i] = out[j]
+        t = t[[*keys, "idx"]].assign(out=pd.array(np.where(out < 0, 0, out), "Int64"))
+        t.loc[out < 0, "out"] = pd.NA
+        return t
+
+    entries = d.where("idx = 0").select(*keys, F.col("idx").alias("entry"))
+    if not d.where(F.col("idx") >= PACK_BLOCK).isEmpty():
+        far = jumps.groupBy(*keys, "blk").applyInPandas(borders, f"{types}, idx bigint, out bigint").where("out is not null").checkpoint()
+        known = 0
+        while True:
+            reached = entries.withColumnRenamed("entry", "idx").join(far, [*keys, "idx"]).select(*keys, F.col("out").alias("entry"))
+            entries = entries.unionByName(reached).distinct().checkpoint()
+            now = entries.count()
+            if now == known:
+                break
+            known = now
+            far = far.join(far.select(*keys, F.col("idx").alias("out"), F.col("out").alias("further")), [*keys, "out"]).select(*keys, "idx", F.col("further").alias("out")).checkpoint()
+    entries = entries.withColumn("blk", F.floor(F.col("entry") / PACK_BLOCK))
+
+    def starts(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("idx")
+        first, m = int(t["idx"].iat[0]), len(t)
+        nxt, flag = t["nxt"].fillna(-1).to_numpy(np.int64), np.zeros(m, np.int64)
+        i = -1 if pd.isna(t["entry"].iat[0]) else int(t["entry"].iat[0])
+        while first <= i < first + m:
+            flag[i - first] = 1
+            i = int(nxt[i - first])
+        return t[[*keys, "idx"]].assign(starts=flag)
+
+    marked = jumps.join(entries, [*keys, "blk"], "left").groupBy(*keys, "blk").applyInPandas(starts, f"{types}, idx bigint, starts bigint")
+    j = d.join(marked, [*keys, "idx"])
+    packed = scan(j, keys, F.floor(F.col("idx") / PACK_BLOCK), ["idx"], {"packs": ("sum", "starts")})
+    return packed.select(*keys, "start_ms", "end_ms", (F.col("packs") - 1).cast("bigint").alias("pack"))
 
 
 def compact_timeline(segs: DataFrame, keys: Sequence[str] = CALL, join_ms: int = 500) -> DataFrame:

@@ -89,3 +89,26 @@ def test_a_stream_accounts_for_every_chunk(spark, tmp_path):
     b = sorted((r.settled, r.chunk, r.gap, r.missing) for r in got if r.call_id == "call_b")
     assert b == [(False, 1, False, 0), (False, 2, False, 0), (True, 2, False, 0)]
     assert next(r.p for r in got if r.call_id == "call_a" and r.settled) == pytest.approx(1 / (1 + math.exp(-2)), abs=1e-4)
+
+
+@pytest.mark.parametrize("block", [4096, 16])
+def test_packing_of_a_call_with_a_third_of_all_segments(spark, monkeypatch, block):
+    """A call of 1,500 segments among 100 short ones; small blocks make it cross many borders."""
+    import random
+    monkeypatch.setattr(I, "PACK_BLOCK", block)
+    rng = random.Random(6)
+    calls = {0: [rng.randrange(0, 9000) for _ in range(1500)], 1: [0, 0, 25_000, 1, 0, 19_999, 1], 2: [30_000, 30_000], 3: [20_000, 0, 1]}
+    calls |= {i: [rng.randrange(100, 25_000) for _ in range(rng.randrange(1, 40))] for i in range(4, 100)}
+    rows, want = [], {}
+    for c, lengths in calls.items():
+        at = pack = acc = 0
+        for n, d in enumerate(lengths):
+            rows.append((c, at, at + d))
+            if n and acc > 0 and acc + d > 20_000:
+                pack, acc = pack + 1, 0
+            acc += d
+            want[c, at] = pack
+            at += d + 500
+    df = spark.createDataFrame(rows, "call_id bigint, start_ms bigint, end_ms bigint").repartition(8)
+    got = {(r.call_id, r.start_ms): r.pack for r in I.pack_segments(df).collect()}
+    assert got == want
