@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ MAX_MODEL_BYTES = 64 << 20
 class PrefixTable:
     """Encoder and decoder for one model."""
 
-    def __init__(self, model: bytes, pairs: int = 300_000):
+    def __init__(self, model: bytes, pairs: int = 200_000):
         import ahocorasick
         import sentencepiece
         self.library = lib = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -132,13 +133,17 @@ class PrefixTable:
         """Ids of whole texts, as 32-bit integers. A space is put before a text that is not empty."""
         return self.cache.texts([" " + t.replace(SPACE, " ") if t else "" for t in texts])
 
-    def decode(self, ids: list[int]) -> str:
-        return self.library.decode(ids)
-
 
 _TABLES: dict[int, PrefixTable] = {}
 
 
+@lru_cache(maxsize=2)
+def library_of(model: bytes):
+    """The library's processor alone, all that decoding needs; one per Python worker and model."""
+    import sentencepiece
+    return sentencepiece.SentencePieceProcessor(model_proto=model)
+
+
 def prefix_table(model: bytes) -> PrefixTable:
     """One per Python worker and model."""
     key = hash(model)
@@ -183,7 +188,7 @@ def decode_pieces(docs: DataFrame, model_path: str, ids: str = "ids", output: st
     schema = held.withColumn(output, F.lit("")).schema
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        decode = prefix_table(sent.value).decode
+        decode = library_of(sent.value).decode
         lists = b.column(b.num_columns - 1)
         flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))).astype(int)
         texts = pa.array([decode(flat[i:j].tolist()) if j > i else "" for i, j in zip(ends[:-1], ends[1:])], pa.string())

@@ -20,7 +20,7 @@ class UnitCache:
     When the cache is full it becomes the old one, from which words still in use move to the new.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 150_000):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 100_000):
         self.encode, self.limit = encode, limit
         self.inner: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
