@@ -59,6 +59,7 @@ LINE_CHOICE = {
     "noise_colour": ["white", "pink"], "hum_hz": [0.0, 0.0, 0.0, 50.0, 60.0],
 }
 LINE_CHANCE = {"agc": 0.75, "comfort_noise": 0.5}
+LINE_SCALED = ["tilt_db_oct", "input_gain_db", "loss_rate", "clock_drift_ppm"]
 
 # --- fixed values: trivial cues by group --------------------------------------------------
 SHORTCUT_COLUMNS = {

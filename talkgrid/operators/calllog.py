@@ -59,11 +59,30 @@ def prune(log: DataFrame, now, days: float = 30) -> DataFrame:
     return since(log, now, days * 24)
 
 
-def prune_partitions(spark, path: str, now, days: int = 30, out: str | None = None) -> None:
-    """Rewrite a day-partitioned log without the old days; only the boundary day is filtered row by row."""
+def prune_partitions(spark, path: str, now, days: int = 30) -> list[str]:
+    """Drops the old days of a log partitioned by ``date``, in place; returns the days removed.
+
+    Whole days go one by one, a removal each, so a retry goes on where it stopped; of the boundary day only what stays is written back, over that day alone. Days
+    that stay whole are not touched.
+    """
+    from ..session import checkpoint_dir
+    edge = spark.range(1).select((_now(now) - F.make_dt_interval(days=F.lit(days))).alias("t")).select(F.to_date("t").cast("string")).first()[0]
     log = spark.read.parquet(path)
-    keep = log.where(F.col("date") >= F.to_date(_now(now) - F.make_dt_interval(days=F.lit(days))))
-    prune(keep, now, days).write.mode("overwrite").partitionBy("date").parquet(out or f"{path}_pruned")
+    dates = sorted(r[0] for r in log.select(F.col("date").cast("string")).distinct().collect() if r[0] is not None)
+    emptied = False
+    if edge in dates:
+        checkpoint_dir(spark)
+        kept = prune(log.where(F.col("date").cast("string") == edge), now, days).checkpoint()  # settled before its files are replaced
+        emptied = kept.isEmpty()
+        if not emptied:
+            kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = [d for d in dates if d < edge or (d == edge and emptied)]
+    for d in gone:
+        store.delete(jvm.org.apache.hadoop.fs.Path(root, f"date={d}"), True)
+    return gone
 
 
 def detection_stats(log: DataFrame) -> DataFrame:

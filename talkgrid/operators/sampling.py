@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.fixed import (AUGMENTATION_PLAN, CODEC_FAMILIES, LINE_CHANCE, LINE_CHOICE, LINE_UNIFORM,
+from ..functions.fixed import (AUGMENTATION_PLAN, CODEC_FAMILIES, LINE_CHANCE, LINE_CHOICE, LINE_SCALED, LINE_UNIFORM,
                                ONE_HOP_SHARE)
 from ..functions.ordered import first_k, hash_rank
 from ..functions.scalar import hash_uniform
@@ -65,8 +65,8 @@ def categorical_draw(seed: Column, name: str, values: Sequence) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (F.floor(u * len(values)) + 1).cast("int"))
 
 
-def draw_line_parameters(plan: DataFrame) -> DataFrame:
-    """Seeded line parameters of every planned sample, each parameter from its own hash stream."""
+def draw_line_parameters(plan: DataFrame, severity: float = 1.0) -> DataFrame:
+    """Seeded line parameters of every planned sample, each parameter from its own hash stream; ``severity`` scales the impairments, not the draws."""
     s = F.col("seed")
 
     def codec(i):
@@ -78,7 +78,8 @@ def draw_line_parameters(plan: DataFrame) -> DataFrame:
     cols |= {n: uniform_draw(s, n, *r) for n, r in LINE_UNIFORM.items()}
     cols |= {n: categorical_draw(s, n, v) for n, v in LINE_CHOICE.items()}
     cols |= {n: hash_uniform(s, F.lit(n)) < p for n, p in LINE_CHANCE.items()}
-    return plan.withColumns(cols)
+    cols |= {n: cols[n] * F.lit(float(severity)) for n in LINE_SCALED}
+    return plan.withColumns(cols | {"severity": F.lit(float(severity))})
 
 
 def best_model(results: DataFrame, domains: list[str] | None = None) -> DataFrame:

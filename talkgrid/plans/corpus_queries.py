@@ -222,16 +222,43 @@ def _(t):
     return S.level_stats(S.level_partials(recordings(t))).drop("n", "clip_fraction_strict")
 
 
-@query("int_29_spectral_stats")
+VIEWS["d_spec"] = """select vec_id, ch, k as bin, k*15.625::double as hz, pow(sum(x*w*cos(2*pi()*((k*i) % 512)/512)), 2) + pow(sum(x*w*sin(2*pi()*((k*i) % 512)/512)), 2) as power
+  from (select vec_id, ch, i, x, 0.5-0.5*cos(2*pi()*i/512) as w from d_pcm where i < 512), range(257) r(k) group by all"""
+
+
+def spec_stats_sql(rows):
+    return f"""c as (select *, sum(power) over (partition by vec_id, ch order by bin) as cum, sum(power) over (partition by vec_id, ch) as tot from {rows})
+  select vec_id::varchar as call_id, ch::int as channel, min(hz) filter (cum/greatest(tot,1e-12) >= 0.95) as rolloff95_hz, sum(hz*power)/greatest(sum(power),1e-12) as centroid_hz,
+  10*log10(coalesce(sum(power) filter (hz>=3400 and hz<4000),0)/greatest(coalesce(sum(power) filter (hz>=300 and hz<3400),0),1e-12) + 1e-12) as hf_ratio_db from c group by vec_id, ch"""
+
+
+@query("int_29_spectral_stats", f"with {spec_stats_sql('d_spec')}", r="rolloff95_hz centroid_hz hf_ratio_db")
 def _(t):
     return S.spectral_stats(S.spectrum(recordings(t)))
 
 
-@query("int_30_spectral_distance")
+@query("int_29_caller_speech", f"""with g as (select vec_id, (vec_id % 3)*10 as s, (vec_id % 3)*10 + 30 as e from embeddings where vec_id % 4 < 3),
+  f as (select p.vec_id, f, 20*log10(sqrt(avg(x*x))+1e-9) as db from d_pcm p, range(7) r(f) where ch=0 and i >= f*80 and i < f*80+160 group by all),
+  n as (select vec_id, quantile_cont(db, 0.1) as floor from f group by vec_id),
+  l as (select p.vec_id, 20*log10(sqrt(avg(x*x))+1e-9) as rms from d_pcm p left join g using (vec_id) where ch=0 and (s is null or (i/8.0 >= s and i/8.0 < e)) group by p.vec_id),
+  o as (select * from ({'with ' + spec_stats_sql('d_spec')}) where channel=0)
+  select call_id, 1::bigint as n_frames, rms as speech_rms_db, floor as noise_floor_db, rms-floor as snr_db, rolloff95_hz, centroid_hz, hf_ratio_db from o join n on n.vec_id::varchar=call_id join l on l.vec_id=n.vec_id""",
+       r="speech_rms_db noise_floor_db snr_db rolloff95_hz centroid_hz hf_ratio_db")
+def _(t):
+    v = t.raw("embeddings").select("vec_id").where("vec_id % 4 < 3")
+    regions = v.select(F.col("vec_id").alias("call_id"), (F.col("vec_id") % 3 * 10).alias("start_ms"), (F.col("vec_id") % 3 * 10 + 30).alias("end_ms"))
+    return S.caller_speech_stats(S.caller_speech(recordings(t), regions))
+
+
+@query("int_30_spectral_distance", """with s as materialized (select vec_id, ch, bin, hz, 10*log10(power + 1e-14) as db from d_spec),
+  d as (select a.vec_id, a.ch, sqrt(avg(pow(a.db-b.db,2))) as distance_db from s a join s b on b.vec_id=a.vec_id+1 and a.ch=b.ch and a.bin=b.bin group by all),
+  m as (select *, max(db) over (partition by vec_id, ch) as top from s), e as (select vec_id, ch, max(hz) filter (db >= top-20) as band_edge_hz from m group by all)
+  select vec_id::varchar as call_id, ch::int as channel, distance_db, band_edge_hz from d join e using (vec_id, ch)""", r="distance_db band_edge_hz")
 def _(t):
-    sp = S.spectrum(recordings(t))
-    shifted = sp.withColumn("power", F.col("power") * 2)
-    return S.spectral_distance(sp.where("reason is null"), shifted.where("reason is null")).join(S.band_edge(sp), ["call_id", "channel"])
+    """Every recording against the one that follows it."""
+    sp = S.spectrum(recordings(t)).where("reason is null")
+    after = sp.withColumn("call_id", (F.col("call_id").cast("bigint") - 1).cast("string"))
+    return S.spectral_distance(sp, after).join(S.band_edge(sp), ["call_id", "channel"])
 
 
 @query("int_31_frame_descriptor_stats")

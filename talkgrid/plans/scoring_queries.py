@@ -7,6 +7,7 @@ from ..operators import metrics as M
 from ..operators import sampling as P
 from ..operators import scoring as A
 from .metrics_queries import AUC, FEATS, curve_sql, features
+from ..functions.fixed import LINE_SCALED, LINE_UNIFORM
 from .registry import query
 from .tables import VIEWS
 
@@ -347,6 +348,18 @@ def _(t):
     return P.draw_line_parameters(P.augmentation_plan(t.order_calls())).drop("seed")
 
 
+@query("set_09_severity", """select count(*) as n, 2.0::double as ratio_least, 2.0::double as ratio_most, true as inside from (select o_orderkey from orders)""")
+def _(t):
+    """Twice the severity is twice every impairment, with the draws as they were; every draw lies in its range."""
+    plan = t.order_calls().select("call_id", F.col("call_id").alias("seed"), F.lit("seen").alias("family"))
+    one, two = (P.draw_line_parameters(plan, s).select("call_id", *LINE_UNIFORM, "loss_rate") for s in (1.0, 2.0))
+    j = one.join(two.select("call_id", *[F.col(c).alias(f"{c}_2") for c in LINE_SCALED]), "call_id")
+    r = F.array(*[F.when(F.col(c) != 0, F.col(f"{c}_2") / F.col(c)) for c in LINE_SCALED])
+    known = F.filter(r, lambda x: x.isNotNull())
+    inside = F.forall(F.array(*[F.col(c).between(lo, hi) for c, (lo, hi) in LINE_UNIFORM.items()]), lambda x: x)
+    return j.agg(F.count(F.lit(1)).alias("n"), F.min(F.array_min(known)).alias("ratio_least"), F.max(F.array_max(known)).alias("ratio_most"), F.bool_and(inside).alias("inside"))
+
+
 @query("set_10_model_selection", f"""with c as ({curve_sql('d_preds', 'domain, model')}), a as (select domain, model, {AUC} as auc from c group by all),
   d as (select domain, model, avg(((score>=0)=(y=1))::int) as acc, avg(pow(least(greatest(1/(1+exp(-score)),1e-6),1-1e-6)-y,2)) as brier from d_preds group by all),
   g as (select model, round_even(min(auc),4) as worst_auc, round_even(min(acc),4) as worst_accuracy, round_even(max(brier),5) as worst_brier from a join d using (domain, model) group by model)

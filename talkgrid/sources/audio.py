@@ -170,6 +170,58 @@ def spectrum(recordings: DataFrame, n_fft: int = 512, hop: int = 256) -> DataFra
     return recordings.select("call_id", "content").mapInPandas(_per_recording(build, SPECTRUM_SCHEMA), SPECTRUM_SCHEMA)
 
 
+SPEECH_SCHEMA = ("call_id string, power array<double>, n_frames bigint, speech_rms_db double, noise_floor_db double, snr_db double, reason string")
+
+
+def caller_speech(recordings: DataFrame, regions: DataFrame, n_fft: int = 512, hop: int = 256, frame_ms: int = 20, hop_ms: int = 10) -> DataFrame:
+    """Per call the caller's mean spectrum over speech, speech level, noise floor (10th percentile of the frame levels) and their distance.
+
+    ``regions(call_id, start_ms, end_ms)`` are the caller's speech; without any, or where no frame starts in one, everything counts. They meet
+    the frames in the decoder, so a recording is read once and no frame is written. A call's regions are disjoint, so its length bounds them.
+    """
+    mine = regions.groupBy(F.col("call_id").cast("string").alias("call_id")).agg(F.sort_array(F.collect_list(F.struct("start_ms", "end_ms"))).alias("r"))
+    d = recordings.select(F.col("call_id").cast("string").alias("call_id"), "content").join(mine, "call_id", "left").select(
+        "call_id", "content", F.transform("r", lambda x: x["start_ms"].cast("double")).alias("starts"), F.transform("r", lambda x: x["end_ms"].cast("double")).alias("ends"))
+    names = [c.split()[0] for c in SPEECH_SCHEMA.split(", ")]
+    level = lambda v: 20 * np.log10(np.sqrt((v ** 2).mean(axis=-1)) + 1e-9)
+
+    def inside(t, starts, ends):
+        at = np.searchsorted(starts, t, "right") - 1
+        return (at >= 0) & (t < ends[np.maximum(at, 0)]) if len(starts) else np.zeros(len(t), bool)
+
+    def build(x, starts, ends):
+        win, power, n = np.hanning(n_fft + 1)[:-1], np.zeros(n_fft // 2 + 1), 0
+        f = _framed(x, n_fft, hop)
+        keep = inside(np.arange(len(f)) * hop * 1000.0 / RATE, starts, ends)
+        keep = np.flatnonzero(keep if keep.any() else ~keep)
+        for s in range(0, len(keep), 4096):
+            power += (np.abs(np.fft.rfft(f[keep[s:s + 4096]] * win, axis=1)) ** 2).sum(axis=0)
+            n += len(keep[s:s + 4096])
+        spoken = inside(np.arange(len(x)) * 1000.0 / RATE, starts, ends)
+        frames = _framed(x, frame_ms * RATE // 1000, hop_ms * RATE // 1000)
+        levels = np.concatenate([level(frames[s:s + 65536]) for s in range(0, len(frames), 65536)])
+        rms, floor = float(level(x[spoken] if spoken.any() else x)), float(np.percentile(levels, 10))
+        return power / n, n, rms, floor, rms - floor, None
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for call_id, content, starts, ends in zip(batch["call_id"], batch["content"], batch["starts"], batch["ends"]):
+                samples, reason = decode_pcm(bytes(content)) if content is not None else (None, "empty")
+                some = starts is not None
+                rows.append((call_id, *((None,) * 5 + (reason,) if reason else build(samples[:, 0], np.asarray(starts if some else [], float), np.asarray(ends if some else [], float)))))
+            yield pd.DataFrame(rows, columns=names)
+
+    return d.mapInPandas(run, SPEECH_SCHEMA)
+
+
+def caller_speech_stats(speech: DataFrame, n_fft: int = 512) -> DataFrame:
+    """Roll-off, centroid and high-band ratio of :func:`caller_speech`, beside its levels."""
+    bins = speech.where("reason is null").select("call_id", F.lit(0).alias("channel"), F.posexplode("power").alias("bin", "power"), F.lit(None).cast("string").alias("reason"))
+    stats = spectral_stats(bins.withColumn("hz", F.col("bin") * (RATE / n_fft)))
+    return speech.where("reason is null").select("call_id", "n_frames", "speech_rms_db", "noise_floor_db", "snr_db").join(stats.drop("channel"), "call_id")
+
+
 def spectral_stats(spec: DataFrame) -> DataFrame:
     """95% roll-off, centroid and high-band ratio of a spectrum table (a few hundred bins per channel)."""
     keys = ["call_id", "channel"]

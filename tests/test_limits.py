@@ -112,3 +112,23 @@ def test_packing_of_a_call_with_a_third_of_all_segments(spark, monkeypatch, bloc
     df = spark.createDataFrame(rows, "call_id bigint, start_ms bigint, end_ms bigint").repartition(8)
     got = {(r.call_id, r.start_ms): r.pack for r in I.pack_segments(df).collect()}
     assert got == want
+
+
+def test_old_days_go_and_kept_files_stay(spark, tmp_path):
+    import datetime as dt
+    import os
+
+    from talkgrid.operators.calllog import prune_partitions
+    path = str(tmp_path / "log")
+    rows = [(i, dt.datetime(2024, 1, 1 + i // 4, 6 * (i % 4))) for i in range(40)]
+    df = spark.createDataFrame(rows, "id bigint, at timestamp").withColumn("date", F.to_date("at"))
+    df.write.partitionBy("date").parquet(path)
+    before = {d: set(os.listdir(f"{path}/{d}")) for d in os.listdir(path) if d.startswith("date=")}
+    gone = prune_partitions(spark, path, "2024-01-10 12:00:00", 5)
+    assert gone == [f"2024-01-0{d}" for d in (1, 2, 3, 4)]
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [i for i, at in rows if at >= dt.datetime(2024, 1, 5, 12)]
+    after = {d: set(os.listdir(f"{path}/{d}")) for d in os.listdir(path) if d.startswith("date=")}
+    assert set(after) == {d for d in before if d >= "date=2024-01-05"} and all(after[d] == before[d] for d in after if d > "date=2024-01-05")
+    assert prune_partitions(spark, path, "2024-01-10 12:00:00", 5) == []
+    assert prune_partitions(spark, path, "2024-01-11 00:00:00", 5) == ["2024-01-05"]
+    assert prune_partitions(spark, path, "2024-03-01 00:00:00", 5) and True
