@@ -159,23 +159,27 @@ def model_bytes(path: str) -> bytes:
         return f.read()
 
 
-def encode_pieces(docs: DataFrame, model_path: str, text: str = "text", output: str = "ids") -> DataFrame:
+def encode_pieces(docs: DataFrame, model_path: str, text: str = "text", output: str = "ids", decoded: str | None = None) -> DataFrame:
     """``docs`` with ``output`` (array<int>): the ids of the whole text; null and empty texts have none.
 
-    A column of the same name (without regard to case) is replaced. One narrow pass: no shuffle, memory for
-    a few hundred texts and the caches. The model is read on the driver and sent along.
+    ``decoded`` names a second column, what the library makes of these ids again, by the same pass and worker. Columns of the same names (without regard to case) are replaced. One
+    narrow pass: no shuffle, memory for a few hundred texts and the caches. The model is read on the driver and sent along.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model_bytes(model_path))
-    held = docs.drop(*[c for c in docs.columns if c.lower() == output.lower() and c != text])
+    new = [output] if decoded is None else [output, decoded]
+    held = docs.drop(*[c for c in docs.columns if c.lower() in {n.lower() for n in new} and c != text])
     work = free_name(held, "encoded_text")
-    schema = held.withColumn(output, F.array(F.lit(0))).schema
+    schema = held.withColumns({output: F.array(F.lit(0))} | ({} if decoded is None else {decoded: F.lit("")})).schema
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         got = prefix_table(sent.value).encode(b.column(b.num_columns - 1).to_pylist())
         ends = np.concatenate(([0], np.cumsum([len(g) >> 2 for g in got]))).astype(np.int32)
         ids = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(got))])
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)
-        return pa.RecordBatch.from_arrays([*b.columns[:-1], lists], names=[*b.schema.names[:-1], output])
+        made = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)]
+        if decoded is not None:
+            decode = prefix_table(sent.value).library.decode
+            made.append(pa.array([decode(np.frombuffer(g, np.int32).tolist()) if g else "" for g in got], pa.string()))
+        return pa.RecordBatch.from_arrays([*b.columns[:-1], *made], names=[*b.schema.names[:-1], *new])
 
     return held.withColumn(work, text_or_empty(text)).mapInArrow(per_batch(run, 256), schema)
 
@@ -206,7 +210,7 @@ def piece_model() -> str:
 def op3_query(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
     path = model_path or piece_model()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = decode_pieces(encode_pieces(docs, path).drop("text"), path)
+    both = encode_pieces(docs, path, decoded="decoded").drop("text")
     return both.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

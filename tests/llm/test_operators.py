@@ -154,6 +154,7 @@ def test_prefix_table_equals_the_library():
 def test_encode_and_decode_keep_rows_and_columns(spark, odd, none):
     path = pieces.piece_model()
     both = pieces.decode_pieces(pieces.encode_pieces(odd, path), path)
+    assert pieces.encode_pieces(odd, path, decoded="decoded").collect() == both.collect()
     assert both.columns == ["doc_id", "text", "source", "score", "ids", "decoded"]
     for r in both.collect():
         assert r.decoded == (r.text or "") and (r.ids == []) == (not r.text)
