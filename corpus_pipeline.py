@@ -12,7 +12,7 @@ from talkgrid.llm.common import comparable, free_name, split_by_filter, table, t
 from talkgrid.llm.exactdedup import exact_duplicates, normalised
 from talkgrid.llm.mixing import mix
 from talkgrid.llm.neardedup import near_duplicates
-from talkgrid.llm.pieces import decode_pieces, encode_pieces, piece_model
+from talkgrid.llm.pieces import encode_pieces, piece_model
 from talkgrid.llm.toxicity import fit_toxicity, score_toxicity
 from talkgrid.session import ship_package
 
@@ -71,7 +71,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``(doc_id, source, n_tokens, ids, decoded_chars)``: the ids of every whole text, and the length of what they decode to."""
     ship_package(spark)
     path = piece_model()
-    both = decode_pieces(encode_pieces(docs.select("doc_id", "source", "text"), path).drop("text"), path)
+    both = encode_pieces(docs.select("doc_id", "source", "text"), path, decoded="decoded")
     return both.select("doc_id", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.length("decoded").cast("bigint").alias("decoded_chars"))
 
 
