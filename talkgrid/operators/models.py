@@ -300,17 +300,18 @@ LADDER = [
 
 
 def behaviour_ladder(df: DataFrame, sets: dict[str, Sequence[str]], ladder=tuple(LADDER)) -> DataFrame:
-    """Prior, linear and tree models from the shortcut columns up to all of them."""
+    """Prior, linear and tree models from the shortcut columns up to all of them; the linear ones of one regularisation advance together."""
+    from .manyfits import Fit, fit_many, score_many
     parts = []
     with kept(df) as d:
         train = d.where("split = 'train'")
-        for name, cols, kind, c in ladder:
-            if kind == "logistic":
-                score = fit_logistic(train, sets[cols], c=c, balanced=False, clip=CLIP).logit()
-                parts.append(result_rows(scored_metrics(d, score, name)))
-            elif kind == "prior":
+        for c in sorted({c for _, _, kind, c in ladder if kind == "logistic"}):
+            models = fit_many(train, [Fit(name, tuple(sets[cols]), F.lit(True)) for name, cols, kind, x in ladder if kind == "logistic" and x == c], c=c, balanced=False, clip=CLIP)
+            parts.append(result_rows(scored_sets(score_many(d, models), ["split"])))
+        for name, cols, kind, _ in ladder:
+            if kind == "prior":
                 parts.append(result_rows(scored_metrics(d, prior_score(train), name)))
-            else:
+            elif kind == "trees":
                 parts.append(result_rows(scored_metrics(tree_scores(train, d, sets[cols]), F.col("score"), name)))
     return _collect(parts)
 
