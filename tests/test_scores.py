@@ -12,6 +12,7 @@ from talkgrid.operators import fusion as U
 from talkgrid.operators import joins as J
 from talkgrid.operators import metrics as M
 from talkgrid.operators import prefix as X
+from talkgrid.operators.resampling import bootstrap_auc_difference
 from talkgrid.operators import sampling as P
 from talkgrid.operators import scoring as A
 from talkgrid.operators import vectors as V
@@ -223,7 +224,7 @@ def test_bootstrap_contract(spark):
     rng = np.random.default_rng(6)
     d = [(i, int(i % 2), float(rng.normal() + i % 2), float(rng.normal())) for i in range(120)]
     df = spark.createDataFrame(d, "call_id int, y int, a double, b double")
-    r, again = (M.bootstrap_auc_difference(df, "call_id", "a", "b", repeats=30, seed=1).first() for _ in range(2))
+    r, again = (bootstrap_auc_difference(df, "call_id", "a", "b", repeats=30, seed=1).first() for _ in range(2))
     assert r == again and r.lo < r.delta_auc < r.hi and r.replicates == 30
     w = P.poisson_weights(df.select("call_id"), "call_id", 50, 1).agg(F.avg("w"), F.var_pop("w")).first()
     assert w[0] == pytest.approx(1, abs=.05) and w[1] == pytest.approx(1, abs=.1)
