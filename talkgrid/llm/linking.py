@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from .common import FILTER_BITS, join_hot, mix64, per_batch, text_or_empty, written
@@ -142,8 +143,8 @@ def _bits(ids: DataFrame, column: str) -> np.ndarray:
     return out
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, words: int, text: str, key: str) -> DataFrame:
-    """``(node, shingles)`` for ``wanted(node, first, n, s1, s2)``: the set of a text of id ``first`` that has these fingerprints.
+def sets_of(docs: DataFrame, wanted: DataFrame, words: int, text: str, key: str) -> tuple[DataFrame, Broadcast]:
+    """``(node, shingles)`` for ``wanted(node, first, n, s1, s2)``: the set of a text of id ``first`` that has these fingerprints; and the broadcast filter it reads.
 
     Texts are not shuffled: a bitmap of fixed size (2 MB) drops most unwanted ones where they are read, a join on id and fingerprints the rest. A row that is repeated in
     ``docs`` gives its set as often.
@@ -164,7 +165,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words: int, text: str, key: str)
     # bitmap_bit_position counts from 0 within a bucket, as the bits of this number do
     d = d.withColumn("bit", _hashed("first")).withColumn("bit", (F.bitmap_bucket_number("bit") - 1) * 32768 + F.bitmap_bit_position("bit"))
     found = d.mapInArrow(per_batch(run, 256), "first bigint, n bigint, s1 bigint, s2 bigint, shingles array<bigint>")
-    return found.join(wanted, ["first", "n", "s1", "s2"]).select("node", "shingles")
+    return found.join(wanted, ["first", "n", "s1", "s2"]).select("node", "shingles"), sent
 
 
 def forest(node: np.ndarray, comp: np.ndarray, codes: np.ndarray, start: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -254,10 +255,12 @@ def confirmed(groups: DataFrame, nodes: DataFrame, comps: DataFrame, docs: DataF
     """Links ``(a, b)`` that connect what the full sets of ``groups(g1, g2, node)`` connect, written."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     wanted = written(nodes.join(groups.select("node").distinct(), "node", "left_semi").select("node", "first", "n", "s1", "s2"), "wanted")
-    sets = sets_of(docs, wanted, words, text, key)
+    sets, sent = sets_of(docs, wanted, words, text, key)
     rows = groups.join(comps, "node").join(sets, "node").select("g1", "g2", "node", "comp", "shingles")
     rows = rows.repartition(parts, "g1", "g2").sortWithinPartitions("g1", "g2")
-    return written(rows.mapInArrow(_confirm(percent), "a bigint, b bigint"), "links")
+    links = written(rows.mapInArrow(_confirm(percent), "a bigint, b bigint"), "links")
+    sent.destroy()  # the links are a table now; nothing reads the filter again
+    return links
 
 
 def components(edges: DataFrame) -> DataFrame:
